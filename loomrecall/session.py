@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,8 +30,23 @@ def local_session(cores: int = 8, app: str = "loomrecall", partitions: int = 8,
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application, as ``--py-files`` would."""
+    context = spark.sparkContext
+    if getattr(context, "_loomrecall_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp" if os.path.isdir("/tmp") else None)) / "loomrecall.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context._loomrecall_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` under ``sf_dir``."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -70,5 +87,6 @@ def env_int(name: str, default: int) -> int:
 
 def spread(df: DataFrame, factor: int = 1) -> DataFrame:
     """``df`` over at least ``factor`` partitions per task slot: rows move only when the source has fewer splits than that."""
+    ship(df.sparkSession)
     want = factor * slots(df.sparkSession)
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
