@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomrecall.llm import conversations, encoding, leaks, neighbors
+from loomrecall.llm import conversations, credentials, encoding, leaks, neighbors, residue
 from loomrecall.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbors.similar_pairs(neighbors.similar_vectors(table(spark, sf_dir, "record_embeddings")))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.find_credentials(table(spark, sf_dir, "indexed_chunks"))
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.redact_chunks(table(spark, sf_dir, "indexed_chunks"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.rebuild_conversations(table(spark, sf_dir, "transcript_lines"), table(spark, sf_dir, "session_turns"))
 
@@ -39,5 +47,9 @@ def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.without_leaks(docs, leaks.find_leaks(docs, table(spark, sf_dir, "eval_items"))).select("doc_id", "lang", "source", F.length("text").alias("chars"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p5_found, p5_channels, p6_ids, p7_found, p7_clean)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.find_residue(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p4_found, p4_redacted, p5_found, p5_channels, p6_ids, p7_found, p7_clean, p8_found)}
 SQL: dict[str, str] = {}
