@@ -7,12 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomrecall.llm import conversations, credentials, encoding, leaks, neighbors, residue
+from loomrecall.llm import conversations, credentials, encoding, leaks, neighbors, personal, residue
 from loomrecall.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.find_personal(table(spark, sf_dir, "memory_records"), table(spark, sf_dir, "session_turns"))
+
+
+def p1_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.redact_personal(table(spark, sf_dir, "memory_records"), table(spark, sf_dir, "session_turns"), placeholders=True)
+
+
+def p1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.redact_personal(table(spark, sf_dir, "memory_records"), table(spark, sf_dir, "session_turns"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbors.similar_pairs(neighbors.similar_vectors(table(spark, sf_dir, "record_embeddings")))
 
@@ -51,5 +63,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.find_residue(table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p4_found, p4_redacted, p5_found, p5_channels, p6_ids, p7_found, p7_clean, p8_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_placeholders, p1_surrogates, p2_found, p4_found, p4_redacted, p5_found, p5_channels, p6_ids, p7_found, p7_clean, p8_found)}
 SQL: dict[str, str] = {}
