@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomrecall.llm import conversations, credentials, encoding, leaks, neighbors, personal, residue
+from loomrecall.llm import conversations, credentials, encoding, handwritten, leaks, neighbors, personal, residue
 from loomrecall.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbors.similar_pairs(neighbors.similar_vectors(table(spark, sf_dir, "record_embeddings")))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, sf_dir, "file_records"), table(spark, sf_dir, "indexed_chunks"))
+
+
+def p3_searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search results that lead to hand-written files."""
+    return handwritten.handwritten_results(table(spark, sf_dir, "search_results"), table(spark, sf_dir, "file_records"), table(spark, sf_dir, "indexed_chunks")).select("result_id", "query_text", "project_key", "file_path", "chunk_index", "score")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.find_credentials(table(spark, sf_dir, "indexed_chunks"))
 
@@ -63,5 +72,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.find_residue(table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_placeholders, p1_surrogates, p2_found, p4_found, p4_redacted, p5_found, p5_channels, p6_ids, p7_found, p7_clean, p8_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_placeholders, p1_surrogates, p2_found, p3_found, p3_searchable, p4_found, p4_redacted, p5_found, p5_channels, p6_ids, p7_found, p7_clean, p8_found)}
 SQL: dict[str, str] = {}
