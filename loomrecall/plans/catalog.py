@@ -1,12 +1,6 @@
 """All registered queries outside the llm subpackage, with their SQL."""
 
-from __future__ import annotations
+from loomrecall.plans import graph, index, reports, search, sessions, store, texts  # noqa: F401
+from loomrecall.plans.registry import QUERIES, SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
