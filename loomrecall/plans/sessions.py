@@ -1 +1,104 @@
-"""Queries."""
+"""Queries on session capture, queues, polling and event windows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomrecall.functions import constants as C
+from loomrecall.operators import sessions as S
+from loomrecall.plans.registry import query
+from loomrecall.session import table
+
+_TURNS_SQL = "turns AS (SELECT DISTINCT session_id, id, turn_ts, user_text, assistant_text FROM session_turns WHERE session_id IS NOT NULL AND NOT regexp_matches(user_text, '^[\\s\\p{Z}]*$') AND NOT regexp_matches(assistant_text, '^[\\s\\p{Z}]*$'))"
+
+
+@query(
+    f"""WITH {_TURNS_SQL}, g AS (SELECT session_id, count(*) AS pending, bool_or(length(user_text) + length(assistant_text) >= 1200) AS lg, max(turn_ts) AS last_ts FROM turns GROUP BY 1), m AS (SELECT max(turn_ts) AS top FROM turns), al AS (SELECT DISTINCT session_id FROM session_turns WHERE session_id IS NOT NULL)
+  SELECT al.session_id, coalesce(pending, 0) AS pending, CASE WHEN coalesce(pending, 0) = 0 THEN 'no-pending-turns' WHEN last_ts < top - INTERVAL 30 DAY THEN 'idle' WHEN pending >= 3 THEN 'threshold' WHEN lg THEN 'large-turn' ELSE 'waiting' END AS reason FROM al LEFT JOIN g USING (session_id), m"""
+)
+def flush_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each session's pending turns would be written (with a large-turn size that these tables reach)."""
+    turns = table(spark, sf_dir, "session_turns")
+    done = S.complete_turns(turns)
+    per = done.groupBy("session_id").agg(F.count(F.lit(1)).alias("pending"), F.max(F.length("user_text") + F.length("assistant_text") >= 1200).alias("large"), F.max("turn_ts").alias("last_ts"))
+    top = done.agg(F.max("turn_ts").alias("top"))
+    every = turns.where("session_id is not null").select("session_id").distinct().join(per, "session_id", "left").join(F.broadcast(top))
+    n = F.coalesce("pending", F.lit(0))
+    idle = F.col("last_ts") < F.col("top") - F.expr("INTERVAL 30 DAYS")
+    return every.select("session_id", n.alias("pending"), F.coalesce(S.flush_reason(n, F.col("large"), idle), F.lit("waiting")).alias("reason"))
+
+
+_TRACE = "[\"'']?(tool_call|tool_result|toolCall|toolResult)[\"'']?\\s*:\\s*"
+
+
+@query(
+    f"""WITH {_TURNS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn_ts NULLS FIRST, id) - 1 AS pos FROM turns), b AS (SELECT session_id, pos // {C.FLUSH_TURNS} AS batch, pos, id, '- ' || (pos % {C.FLUSH_TURNS} + 1) || '. ' || user_text || ' => ' || assistant_text AS b FROM n),
+  g AS (SELECT session_id, batch, count(*) AS turns, string_agg(b, chr(10) ORDER BY pos) AS t, string_agg(id, '|' ORDER BY pos) AS ids FROM b GROUP BY 1, 2),
+  c AS (SELECT *, array_to_string(list_transform(string_split_regex(t, '\\r?\\n'), lambda x: CASE WHEN regexp_matches(x, '{_TRACE}') THEN ltrim(rtrim(regexp_replace(x, '{_TRACE}.*$', '')) || ' [REDACTED TOOL TRACE]') ELSE x END), chr(10)) AS clean FROM g)
+  SELECT session_id, batch::BIGINT AS batch, turns, left(sha256(session_id || ':' || batch || ':' || ids), 12) AS rollup_key, md5(left(clean, {C.ROLLUP_MAX_CHARS})) AS text_hash FROM c"""
+)
+def session_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.rollups(table(spark, sf_dir, "session_turns")).select("session_id", "batch", "turns", "rollup_key", F.md5("rollup_text").alias("text_hash"))
+
+
+@query("WITH e AS (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 3 = 0) SELECT event_id, min(ts) AS ts, min(user_id) AS user_id, count(*) AS deliveries FROM e GROUP BY event_id")
+def queue_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with replays, each once."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
+    return S.first_deliveries(e.unionByName(e.where("event_id % 3 = 0")), "event_id", ["ts", "user_id"])
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE event_type = 'click') AS queued, count(*) FILTER (WHERE event_type = 'purchase') AS flushed, count(*) FILTER (WHERE event_type = 'error') AS failed, count(DISTINCT user_id) AS sessions FROM events")
+def queue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = lambda t: F.count_if(F.col("event_type") == t)
+    return table(spark, sf_dir, "events").agg(F.count(F.lit(1)).alias("total"), n("click").alias("queued"), n("purchase").alias("flushed"), n("error").alias("failed"), F.count_distinct("user_id").alias("sessions"))
+
+
+@query("SELECT event_id, user_id, event_type, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
+def recent_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts").orderBy(F.desc("ts"), F.desc("event_id")).limit(50)
+
+
+@query(
+    """WITH o AS (SELECT user_id, event_type = 'view' AS quiet, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p, row_number() OVER (PARTITION BY user_id, event_type = 'view' ORDER BY ts, event_id) AS q FROM events),
+  r AS (SELECT user_id, p - q AS run, count(*) AS n FROM o WHERE quiet GROUP BY 1, 2) SELECT user_id, max(n) AS longest_idle_run, count(*) AS idle_runs, max(n) >= 3 AS disabled FROM r GROUP BY user_id"""
+)
+def polling_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consecutive polls without change per source; three in a row disable it."""
+    runs = S.idle_runs(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "view", "polling")
+    return runs.groupBy("user_id").agg(F.max("n").alias("longest_idle_run"), F.count(F.lit(1)).alias("idle_runs"), (F.max("n") >= 3).alias("disabled"))
+
+
+@query(
+    """WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS st FROM events), s AS (SELECT user_id, ts, sum(st) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)
+  SELECT user_id, min(ts) AS start_ts, max(ts) + INTERVAL 6 HOUR AS end_ts, count(*) AS n FROM s GROUP BY user_id, k"""
+)
+def debounce_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.debounced(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "6 hours").select("user_id", F.col("start_ts").cast("timestamp_ntz").alias("start_ts"), F.col("end_ts").cast("timestamp_ntz").alias("end_ts"), "n")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by hour and type (an extension: windows for running the flush and polling policies at scale)."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "total")
+
+
+@query("WITH w AS (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS window_start, user_id FROM events) SELECT window_start, count(*) AS n, count(DISTINCT user_id) AS users FROM w GROUP BY 1")
+def event_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.groupBy(F.window("ts", "1 hour", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users")).select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n", "users")
+
+
+@query(
+    """WITH t AS (SELECT session_id, event_id, min(line_offset) AS pos, min(lower(regexp_extract(content, '^\\s*((?i)user|assistant)\\s*:', 1))) AS speaker FROM transcript_lines WHERE session_id IS NOT NULL AND line_offset IS NOT NULL AND regexp_matches(content, '(?is)^\\s*(user|assistant)\\s*:\\s*\\S') GROUP BY 1, 2),
+  o AS (SELECT *, sum(CASE WHEN speaker = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY pos, event_id ROWS UNBOUNDED PRECEDING) - 1 AS turn FROM t)
+  SELECT session_id, turn::BIGINT AS turn, min(event_id) FILTER (WHERE speaker = 'user') AS user_event, (count(*) - 1)::BIGINT AS replies FROM o WHERE turn >= 0 GROUP BY 1, 2"""
+)
+def assembled_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns from the plain-text transcript lines: each user message with the number of replies up to the next one."""
+    lines = table(spark, sf_dir, "transcript_lines").where("session_id is not null and line_offset is not null").where(F.col("content").rlike(r"(?is)^\s*(user|assistant)\s*:\s*\S"))
+    said = lines.select("session_id", "event_id", "line_offset", F.lower(F.regexp_extract("content", r"(?i)^\s*(user|assistant)\s*:", 1)).alias("speaker"))
+    messages = said.groupBy("session_id", "event_id").agg(F.min("line_offset").alias("at"), F.min("speaker").alias("speaker"))
+    return S.assembled_turns(messages)
