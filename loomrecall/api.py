@@ -84,7 +84,8 @@ class Engine:
 
     def graph_path(self, source: str, target: str, max_depth: int = 4) -> DataFrame:
         """A shortest path between the best vertices for two texts."""
-        ends = self.graph_query(source, 1).select(F.col("id").alias("s")).crossJoin(self.graph_query(target, 1).select(F.col("id").alias("t")))
+        both = self.graph_query(source, 1).select(F.col("id").alias("s"), F.lit(None).cast("string").alias("t")).unionByName(self.graph_query(target, 1).select(F.lit(None).cast("string").alias("s"), F.col("id").alias("t")))
+        ends = both.agg(F.max("s").alias("s"), F.max("t").alias("t")).where("s is not null and t is not null")
         return codegraph.shortest_path(self.graph()[1], "s", "t", ends, max_depth)
 
     def status(self) -> DataFrame:

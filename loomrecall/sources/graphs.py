@@ -25,7 +25,7 @@ def read_export(spark: SparkSession, path: str, base: str = "") -> tuple[DataFra
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     """Communities of markdown reports: community, name, cohesion, nodes."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     blocks = text.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^#{2,4} Community \d+[^\n]*(?:\n(?!#)[^\n]*)*"), F.lit(0))).alias("b"))
     grab = lambda p: F.regexp_extract("b", p, 1)
     return blocks.select(grab(r"Community (\d+)").cast("int").alias("community"), F.trim(grab(r"Community \d+\s*[-–:]?\s*\"?([^\"\n(]*)")).alias("name"), grab(r"(?i)cohesion:?\*{0,2}\s*([\d.]+)").try_cast("double").alias("cohesion"), grab(r"(?i)nodes(?: \((\d+)\))").try_cast("int").alias("nodes"))
