@@ -249,13 +249,11 @@ _JSON_STRING = re.compile(r'"(?:[^"\\]|\\.)*"')
 def field_strings(text: str, is_json: bool) -> list[tuple[int, int, str]]:
     """(start, end, decoded text) of the strings to scan: the string values of a JSON text, or the text itself."""
     if is_json and text.lstrip()[:1] in "{[":
-        out = []
-        for m in _JSON_STRING.finditer(text):
-            try:
-                out.append((m.start(), m.end(), json.loads(m.group(), strict=False)))
-            except ValueError:
-                return [(0, len(text), text)]
-        return out
+        try:
+            json.loads(text, strict=False)
+        except ValueError:
+            return [(0, len(text), text)]
+        return [(m.start(), m.end(), json.loads(m.group(), strict=False)) for m in _JSON_STRING.finditer(text)]
     return [(0, len(text), text)]
 
 

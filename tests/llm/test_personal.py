@@ -1,0 +1,94 @@
+"""Personal information: detection on hand-made cases, surrogates, placeholders and edge cases."""
+
+import pytest
+
+from loomrecall.llm import personal as P
+
+
+def kinds(text):
+    return sorted((k, text[a:b]) for k, a, b in P.find_entities(text))
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("write to anna.b+x@mail.example now", [("email", "anna.b+x@mail.example")]),
+        ("cc petra [at] post [dot] example please", [("email", "petra [at] post [dot] example")]),
+        ("mail jo at mail dot example", [("email", "jo at mail dot example")]),
+        ("<mailto:jo%40mail.example>", [("email", "mailto:jo%40mail.example")]),
+        ("git clone git@code.host.test:team/repo.git", []),
+        ("installed @scope/pkg@2.14.3 today", []),
+        ("call +49 (0)30 23125173 or (796) 555-0111", [("phone", "(796) 555-0111"), ("phone", "+49 (0)30 23125173")]),
+        ("offset 4915 3012 5880 in the byte map", []),
+        ("IP 192.0.2.867 and 00:14:55.012, key=306-372-243-579", []),
+        ("his file says 929-36-2029", [("id_number", "929-36-2029")]),
+        ("ID card T7KK64G04, wants a copy", [("id_number", "T7KK64G04")]),
+        ("build 20250114-0312 passed", []),
+        ("ticket QQ-360 is open", []),
+        ("lives at 106 Millpond Avenue, Quillstadt 00671.", [("address", "106 Millpond Avenue, Quillstadt 00671")]),
+        ("Moved 12 Quarry Lane caches into one", []),
+        ("send it to PO Box 860, Puerto Gris", [("address", "PO Box 860, Puerto Gris")]),
+        ("Reviewed by Parity Check at 12:45", []),
+        ("Reviewed by Hugo Garsadze.", [("name", "Hugo Garsadze")]),
+        ("according to N. Tarnquist the queue", [("name", "N. Tarnquist")]),
+        ("Haladze, Noor said so", [("name", "Haladze, Noor")]),
+        ("It was Frau Ulmellano who", [("name", "Frau Ulmellano")]),
+        ("Waiting for Мирослав Дравинов", [("name", "Мирослав Дравинов")]),
+        ("привет мир", []),
+        ("the half of nadia eckkamp", [("name", "nadia eckkamp")]),
+        ("", []),
+    ],
+)
+def test_entities(text, want):
+    assert kinds(text) == sorted(want)
+
+
+def test_long_text_and_json():
+    text = "word " * 60000 + "jo@mail.example" + " 1" * 50000
+    assert kinds(text) == [("email", "jo@mail.example")]
+    body = '{"note": "see Darius Baskstr\\u00f6m", "n": 1}'
+    assert [s for _, _, s in P.field_strings(body, True)][1:2] == ["see Darius Baskström"]
+    assert P.field_strings('{"a": "b', True)[0][2] is not None
+
+
+SCHEMA_M = "id string, content struct<text:string,structured:string>, table_name string, body string"
+SCHEMA_T = "id string, user_text string, assistant_text string, kind string, value string"
+
+
+def frames(spark):
+    m = spark.createDataFrame(
+        [("m1", ("Hugo Garsadze, 07700 900325, hugo@mail.example", '{"owner": "Anna Berg", "k": [1, "Call Anna Berg"]}'), "x", "y"), ("m1", ("Hugo Garsadze, 07700 900325, hugo@mail.example", '{"owner": "Anna Berg", "k": [1, "Call Anna Berg"]}'), "x", "y"), ("m2", None, None, None), ("m3", (None, "{broken jo@mail.example"), None, None), (None, ("jo@mail.example", None), None, None)],
+        SCHEMA_M,
+    )
+    t = spark.createDataFrame([("t1", "Ms Garsadze asked Hugo Garsadze", "", "a", "b"), ("t2", None, "   ", None, None)], SCHEMA_T)
+    return m, t
+
+
+def test_found_and_edges(spark):
+    m, t = frames(spark)
+    got = {tuple(r) for r in P.find_personal(m, t).collect()}
+    assert got == {
+        ("memory_records", "m1", "content.text", "name"), ("memory_records", "m1", "content.text", "phone"), ("memory_records", "m1", "content.text", "email"),
+        ("memory_records", "m1", "content.structured", "name"), ("memory_records", "m3", "content.structured", "email"), ("session_turns", "t1", "user_text", "name"),
+    }
+    assert P.find_personal(m.limit(0), t.limit(0)).count() == 0
+
+
+def test_surrogates_are_distinct_and_coreferent(spark):
+    m, t = frames(spark)
+    got = {(r.row_key, r.field_name): r.body for r in P.redact_personal(m, t).collect()}
+    one, two = got[("m1", "content.text")], got[("t1", "user_text")]
+    first, last = one.split(",")[0].split()
+    assert two == f"Ms {last} asked {first} {last}" and "Hugo" not in one and "hugo@" not in one and "900325" not in one
+    assert [c for c in one.split(",")[1] if c.isspace()] == [" ", " "]
+    assert got[("m1", "content.structured")].startswith('{"owner": "') and '"k": [1, "Call ' in got[("m1", "content.structured")]
+    marks = {(r.row_key, r.field_name): r.body for r in P.redact_personal(m, t, placeholders=True).collect()}
+    assert marks[("m1", "content.text")].count("[") == 3 and marks[("m3", "content.structured")].startswith("{broken [EMAIL_")
+
+
+def test_collision_check(spark, monkeypatch):
+    ent = spark.createDataFrame([([f"name:x{i}" for i in range(300)],)], "parts array<string>")
+    real = P.draw
+    monkeypatch.setattr(P, "draw", lambda part, key, n: real(part, key, n)[:2 + n])
+    got = P.surrogates(ent, "k", rounds=20).collect()
+    assert len(got) == 300 and len({r.surrogate for r in got}) == 300
