@@ -131,7 +131,7 @@ def nearest_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE pairs AS (SELECT DISTINCT s_suppkey AS a, 1000000 + s_nationkey AS b FROM supplier UNION SELECT DISTINCT 2000000 + c_custkey, 1000000 + c_nationkey FROM customer), m AS (SELECT b, min(a) AS lo, count(*) AS n FROM pairs GROUP BY b) SELECT lo::BIGINT AS component, n + 1 AS vertices FROM m"""
+    """WITH RECURSIVE pairs AS (SELECT DISTINCT s_suppkey AS a, 1000000 + s_nationkey AS b FROM supplier UNION SELECT DISTINCT 2000000 + c_custkey, 1000000 + c_nationkey FROM customer), m AS (SELECT b, least(min(a), b) AS lo, count(*) AS n FROM pairs GROUP BY b) SELECT lo::BIGINT AS component, n + 1 AS vertices FROM m"""
 )
 def linked_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected components of suppliers and customers that share a nation."""
