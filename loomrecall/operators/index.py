@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomrecall.functions import constants as C
 from loomrecall.functions import text as T
+from loomrecall.session import materialize
 
 
 def postings(df: DataFrame, key: list[str], tokens: Column) -> DataFrame:
@@ -31,8 +32,10 @@ def bm25(df: DataFrame, key: list[str], tokens: Column, terms: list[str], length
     Only tokens of the query are exploded, so the shuffle carries the matching postings and not the corpus.
     """
     wanted = sorted(set(terms))
-    size = F.size(tokens) if length is None else length
-    base = df.select(*key, size.alias("_len"), F.filter(tokens, lambda t: t.isin(wanted)).alias("_hits"))
+    # Two projections: the tokens of a text are made once. The slim result is written, so the texts are read once for all that follows.
+    once = df.select(*key, tokens.alias("_toks"), *([] if length is None else [length.alias("_len")]))
+    size = F.size("_toks").alias("_len") if length is None else F.col("_len")
+    base = materialize(once.select(*key, size, F.filter("_toks", lambda t: t.isin(wanted)).alias("_hits")), "bm25")
     stats = base.agg(F.count(F.lit(1)).alias("_n"), F.sum("_len").alias("_total"))
     hits = base.where(F.size("_hits") > 0)
     post = hits.select(*key, "_len", F.explode("_hits").alias("token")).groupBy(*key, "_len", "token").agg(F.count(F.lit(1)).alias("tf"))
