@@ -64,7 +64,7 @@ _TYPE = r"(?:street|avenue|lane|road|drive|close|mews|rise|court|square|terrace|
 _CAP = r"[A-ZÀ-ÖØ-Þ][\w'’.-]*"
 _STREET = rf"(?:(?:{_CAP} ){{1,3}}(?i:{_TYPE})|(?i:rue|avenue|boulevard|chemin|place|impasse|calle|avenida|plaza|paseo|camino|via|viale|piazza|corso|largo|praça|rua)(?: (?:de la|de los|de las|de l'|del|des|de|du|da|do|dei|della|la|le|les|los|el|il))? {_CAP}(?: {_CAP}){{0,2}}|{_CAP}(?:straße|strasse|weg|allee|platz|gasse|ring|ufer|damm|gatan|vägen|gränd|vej|gade|veien|straat|laan|gracht|plein)|[A-ZÄÖÜ][a-zäöüß]+(?:er|scher|n) (?:Straße|Strasse|Weg|Allee|Platz|Ring|Ufer|Damm|Str\.))"
 _STREET_LOW = rf"(?:(?:[a-z'’.-]+ ){{1,3}}{_TYPE}|(?:rue|boulevard|chemin|impasse|calle|avenida|plaza|paseo|camino|via|viale|piazza|corso)(?: (?:de la|des|de|du|del|dei|della|la|le|les|los))? [\w'’-]+(?: [\w'’-]+)?|[a-zäöüß]+(?:straße|strasse|weg|allee|platz|gasse|ring|ufer|gatan|vägen|straat|laan))"
-_TAIL = rf"(?:,? (?:\d{{4,6}} )?{_CAP}(?: {_CAP})?(?: \d{{4,6}})?|, \d{{4,6}}\b[^\n,;.]{{0,30}})?"
+_TAIL = rf"(?:,? (?:\d{{4,6}} )?{_CAP}(?: [A-ZÀ-ÖØ-Þ][\w'’-]{{2,}})?(?: \d{{4,6}})?|, \d{{4,6}}\b[^\n,;.]{{0,30}})?"
 _ADDRESS = re.compile(
     rf"(?i:\b(?:p\.? ?o\.? ?box|postfach|apartado(?: de correos)?|boîte postale|b\.p\.|casella postale|postbus|postboks) ?(?:no\.? ?|nr\.? ?)?\d{{1,6}}\b){_TAIL}"
     rf"|(?:(?i:c/o) [\w ]{{2,30}}, )?(?:(?i:flat|apt\.?|apartment|unit|suite|wohnung) ?\d+\w?,? )?\b\d{{1,4}}(?: ?[a-zA-Z])?,? (?P<a>{_STREET})(?P<ta>{_TAIL})"
@@ -81,7 +81,7 @@ _ROLE = frozenset("guard check blender worker writer index indexer observer hold
 _STOP = frozenset("the a an it its see we open both version next don't when if until once since unless while because without for with only as on at in of after during before not no yes this that these those there here what why how who can could should would may please reviewed assigned waiting thanks regards merci gruß call text send left invoice ship verification moved main project calle rue via po box ip in i you he she they from to and or but by is was are were be been has had have do does did new old just also then than so such more most very all any each every some one two three der die das und le la les et el los las y dear hi hello cc stand état estado during note ticket item".split())
 _W = r"\p{L}[\p{L}\p{M}'’-]*"
 _PART = r"(?:(?i:van der|van den|van de|von der|de la|de los|van|von|vom|zu|de|del|della|di|da|dos|du|le|la|el|al|bin|ibn|ter|ten|af|av)\s+)?"
-_TITLE = regex.compile(rf"(?<![\p{{L}}\p{{N}}_])(?P<t>Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Herr|Hr|Frau|Fr|Monsieur|Madame|Mme|Mlle|Señora?|Sra?|Signora?|Don|Doña|Sir|Lady|Mister)\.?\s+(?:Dr\.?\s+)?(?P<n>(?:\p{{Lu}}\.\s?)?{_PART}(?:al-|el-|O['’]|d['’])?\p{{Lu}}{_W[5:]}(?:\s\p{{Lu}}{_W[5:]})?)")
+_TITLE = regex.compile(rf"(?<![\p{{L}}\p{{N}}_])(?P<t>Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Herr|Hr|Frau|Fr|Monsieur|Madame|Mme|Mlle|Señora?|Sra?|Signora?|Don|Doña|Sir|Lady|Mister)\.?\s+(?:Dr\.?\s+)?(?P<n>(?:\p{{Lu}}\.\s?)?{_PART}(?:al-|el-|O['’]|d['’])?\p{{Lu}}{_W[5:]}(?: \p{{Lu}}{_W[5:]})?)")
 _INITIAL = regex.compile(rf"(?<![\p{{L}}\p{{N}}_.])(?:\p{{Lu}}\.\s?){{1,2}}{_PART}(?:al-|O['’])?(?P<s>\p{{Lu}}[\p{{L}}'’-]{{2,}})")
 _PAIR = regex.compile(rf"(?<![\p{{L}}\p{{N}}_.@/-])(?P<g>{_W})")
 _REST = regex.compile(rf"[ \t]+(?P<x>(?:\p{{Lu}}\.(?!\p{{L}})[ \t]*)?(?P<p>{_PART})(?P<s>{_W}))")
@@ -188,6 +188,10 @@ def _luhn(s: str) -> bool:
 
 
 def _names(text: str, low: str, spans: list, given: frozenset[str]) -> None:
+    if "," in text:
+        for m in _COMMA.finditer(text, overlapped=True):
+            if m.group("g").lower() in given and m.group("g")[0].isupper() and _surname(m.group("s").split()[-1], False):
+                _add(spans, "name", *m.span(), text)
     for m in _PAIR.finditer(text):
         g = m.group("g")
         first = g.lower()
@@ -218,16 +222,12 @@ def _names(text: str, low: str, spans: list, given: frozenset[str]) -> None:
             end, found = init.end(), True
         if found:
             _add(spans, "name", m.start(), end, text)
-    if "," in text:
-        for m in _COMMA.finditer(text):
-            if m.group("g").lower() in given and m.group("g")[0].isupper() and _surname(m.group("s").split()[-1], False):
-                _add(spans, "name", *m.span(), text)
     for m in _TITLE.finditer(text):
-        last = regex.split(r"\s", m.group("n"))[-1]
-        first = regex.split(r"\s", m.group("n"))[0]
-        if _surname(first, False) or _surname(last, False):
-            end = m.end() if _surname(last, False) and last.lower() not in _STOP else m.start("n") + len(first)
-            _add(spans, "name", m.start(), end, text)
+        n = m.group("n")
+        while n and not _surname(regex.split(r"\s", n)[-1], False):
+            n = n.rpartition(" ")[0].rstrip()
+        if n and not (len(n.split()) > 1 and all(w.lower() in _PARTICLES for w in n.split())):
+            _add(spans, "name", m.start(), m.start("n") + len(n), text)
     if "." in text:
         for m in _INITIAL.finditer(text):
             s = m.group("s")
