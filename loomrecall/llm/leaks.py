@@ -30,7 +30,7 @@ MIN_WORDS = 12
 #: Characters of test text that one broadcast may hold.
 BLOCK_CHARS = 8_000_000
 #: Characters of documents in one shard.
-SHARD_CHARS = 24_000_000
+SHARD_CHARS = 8_000_000
 _WORD = re.compile(r"[^\W_]+")
 #: Default-ignorable code points that are no format characters by category.
 _IGNORABLE = {0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10)}
