@@ -55,19 +55,30 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     if configured:
         return configured.rstrip("/")
-    made = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set(CHECKPOINT_KEY, made)
-    return made
+    context = spark.sparkContext
+    if not hasattr(context, "_loomrecall_dir"):  # the setting can't be changed in a running session
+        context._loomrecall_dir = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return context._loomrecall_dir
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/loomrecall/{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the tables that this application has written into the shared folder; call it when no result of it is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a parquet table into the shared folder and read it back.
 
     Cuts the lineage: a lost executor re-reads files instead of recomputing the whole chain, and later reads are column-pruned.
-    The caller's cluster owns the folder and its clean-up, as with any Spark checkpoint directory.
+    The tables of one application lie in one folder, which ``sweep`` deletes.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomrecall/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -154,3 +154,13 @@ def test_idle_runs_and_turns(spark):
     assert sorted(r.n for r in sessions.idle_runs(e, "u", ["t"], F.col("k") == "v", "t").collect()) == [1, 2, 3]
     m = spark.createDataFrame([("s", f"e{i}", k, i) for i, k in enumerate(["assistant", "user", "assistant", "assistant", "user"])], "session_id string, event_id string, speaker string, at long")
     assert [(r.turn, r.user_event, r.replies) for r in sessions.assembled_turns(m).orderBy("turn").collect()] == [(0, "e1", 2), (1, "e4", 0)]
+
+
+def test_materialize_and_sweep(spark, tmp_path, monkeypatch):
+    from loomrecall import session
+
+    monkeypatch.setattr(session, "shared_dir", lambda s: f"file://{tmp_path}")
+    assert session.materialize(spark.range(5), "t").count() == 5
+    assert list(tmp_path.rglob("*.parquet"))
+    session.sweep(spark)
+    assert not list(tmp_path.rglob("*.parquet"))
