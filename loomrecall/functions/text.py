@@ -157,3 +157,16 @@ def feature_key(path: Column) -> Column:
         out = out.when(any_of(*words), F.concat(prefix, F.lit(key)))
     own = F.element_at(F.split(F.regexp_replace(F.element_at(F.split(p, "/"), -1), r"\.[^.]+$", ""), "-"), 1)
     return out.when(tests != "", F.concat(tests, F.lit("other"))).when(src != "", F.concat(src, F.coalesce(F.nullif(own, F.lit("")), F.lit("other")))).otherwise(F.coalesce(F.nullif(F.array_join(F.slice(F.split(p, "/"), 1, 2), "/"), F.lit("")), F.lit("root")))
+
+
+def escape_html(c: Column) -> Column:
+    """The five reserved characters as entities, and inline event handlers made harmless."""
+    for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        c = F.replace(c, F.lit(raw), F.lit(entity))
+    return F.regexp_replace(c, r"(?i)\bon(\w+)\s*=", "data-on$1=")
+
+
+def display_name(c: Column, limit: int = 60) -> Column:
+    """Control characters and runs of blanks as one blank, cut with an ellipsis."""
+    flat = F.trim(F.regexp_replace(c, r"[\s\x{00}-\x{1f}\x{7f}]+", " "))
+    return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit - 3), F.lit("…"))).otherwise(flat)

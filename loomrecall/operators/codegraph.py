@@ -130,3 +130,23 @@ def communities(n: DataFrame, e: DataFrame) -> DataFrame:
     possible = F.greatest(F.lit(1), F.col("node_count") * F.greatest(F.lit(1), F.col("node_count") - 1))
     out = size.join(inner, ["project_key", "feature"], "left").join(preview, ["project_key", "feature"])
     return out.select("project_key", (F.row_number().over(rank) - 1).cast("long").alias("community"), "feature", "node_count", F.round(F.coalesce("edges", F.lit(0)) / possible, 3).alias("cohesion"), "preview")
+
+
+def guarded_replace(nodes_: DataFrame, edges_: DataFrame, path: str, project: str, allow_downgrade: bool = False, share: float = 0.8) -> str:
+    """Replace one project's graph below ``path``; ``skipped`` if it would shrink below ``share`` of its nodes or edges, else ``imported``.
+
+    Only that project's partition is overwritten, and only counts come to the driver.
+    """
+    spark = nodes_.sparkSession
+    new = nodes_.count(), edges_.count()
+    if not allow_downgrade:
+        for name, n in zip(("nodes", "edges"), new, strict=True):
+            try:
+                old = spark.read.parquet(f"{path}/{name}").where(F.col("project_key") == project).count()
+            except Exception:  # nothing imported yet
+                old = 0
+            if n < share * old:
+                return "skipped"
+    for name, df in (("nodes", nodes_), ("edges", edges_)):
+        df.drop("project_key").withColumn("project_key", F.lit(project)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_key").parquet(f"{path}/{name}")
+    return "imported"

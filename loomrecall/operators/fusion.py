@@ -76,3 +76,26 @@ def defines(text: Column, name: Column) -> Column:
     general = F.concat(F.lit(r"(?m)(?:^|(?<=\s))(?:" + "|".join(C.DEFINITION_KEYWORDS) + r")\s+" + space), esc, F.lit(after))
     sql = F.concat(F.lit(r"(?mi)(?:^|(?<=\s))(?:" + "|".join(C.SQL_DEFINITION_KEYWORDS) + r")\s+" + space), esc, F.lit(after))
     return F.regexp_like(text, general) | F.regexp_like(text, sql)
+
+
+def definition_boost(df: DataFrame, by: list[str], query: str, path: str, text: str, score: str) -> DataFrame:
+    """Symbol queries: chunks that define the symbol gain three times the best score, half as much again if the file is named after it."""
+    name = T.symbol_name(F.col(query))
+    low = F.lower(name)
+    bare = lambda v: F.regexp_replace(v, "_", "")
+    plural = lambda v: F.regexp_replace(v, "s$", "")
+    named = F.exists(T.stem_variants(F.col(path)), lambda v: (v == low) | (bare(v) == low) | (plural(v) == low) | (plural(bare(v)) == low))
+    top = F.max(score).over(Window.partitionBy(*by))
+    held = df.withColumn("_top", top)
+    gain = F.when(T.is_symbol_query(F.col(query)) & F.coalesce(defines(F.col(text), name), F.lit(False)), F.col("_top") * C.DEFINITION_BOOST * F.when(named, 1.5).otherwise(1.0)).otherwise(0.0)
+    return held.withColumn(score, F.col(score) + gain).drop("_top")
+
+
+def embedded_boost(df: DataFrame, by: list[str], query: str, path: str, text: str, score: str) -> DataFrame:
+    """Questions that hold symbols: chunks that define one of them gain one and a half times the best score, half as much again if the file is named after one."""
+    names = F.array_distinct(F.regexp_extract_all(F.col(query), F.lit(C.EMBEDDED_SYMBOL), F.lit(0)))
+    held = df.withColumn("_top", F.max(score).over(Window.partitionBy(*by))).withColumn("_names", names)
+    named = F.exists("_names", lambda n: F.exists(T.stem_variants(F.col(path)), lambda v: v == F.lower(n)))
+    hit = F.exists("_names", lambda n: F.coalesce(defines(F.col(text), n), F.lit(False)))
+    gain = F.when(~T.is_symbol_query(F.col(query)) & hit, F.col("_top") * C.DEFINITION_BOOST * C.EMBEDDED_BOOST_SCALE * F.when(named, 1.5).otherwise(1.0)).otherwise(0.0)
+    return held.withColumn(score, F.col(score) + gain).drop("_top", "_names")

@@ -83,3 +83,27 @@ def first_deliveries(events: DataFrame, ident: str, order: list[str]) -> DataFra
 
 def numbered(df: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+
+
+def message_tree(messages: DataFrame, label: str = "tree", max_rounds: int = 40) -> DataFrame:
+    """Turns from parent links: each user message with the number of assistant messages below it, up to the next user messages.
+
+    Input: session_id, event_id, parent_id, speaker. Every message that is no user's points to its parent; each round doubles the
+    pointers (an equi-join on session and event), so the number of rounds grows with the logarithm of the longest chain. Messages that
+    hang below no user message, or in a circle, count nowhere.
+    """
+    from loomrecall.session import materialize
+
+    rows = materialize(messages.where("session_id is not null and event_id is not null").dropDuplicates(["session_id", "event_id"]), f"{label}-messages")
+    hop = materialize(rows.where("speaker <> 'user'").select("session_id", "event_id", F.col("parent_id").alias("up")), f"{label}-hops")
+    state = None
+    for _ in range(max_rounds):
+        nxt = hop.select("session_id", F.col("event_id").alias("up"), F.col("up").alias("_next"))
+        hop = materialize(hop.join(nxt, ["session_id", "up"], "left").select("session_id", "event_id", F.coalesce("_next", "up").alias("up")), f"{label}-hops")
+        now = hop.agg(F.sum(F.xxhash64("session_id", "event_id", "up").cast("decimal(38,0)"))).first()[0]
+        if now == state:
+            break
+        state = now
+    users = rows.where("speaker = 'user'").select("session_id", F.col("event_id").alias("user_event"))
+    replies = hop.join(rows.where("speaker = 'assistant'").select("session_id", "event_id"), ["session_id", "event_id"]).groupBy("session_id", F.col("up").alias("user_event")).agg(F.count(F.lit(1)).alias("replies"))
+    return users.join(replies, ["session_id", "user_event"], "left").select("session_id", "user_event", F.coalesce("replies", F.lit(0)).alias("replies"))

@@ -222,3 +222,34 @@ def symbol_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = chunks.select("id", "project_key", "chunk_text", F.explode(F.array_distinct(T.raw_words(F.col("chunk_text")))).alias("symbol"))
     hit = words.join(symbols, ["project_key", "symbol"])
     return hit.groupBy("project_key", "symbol").agg(F.count(F.lit(1)).alias("mentions"), F.count_if(fusion.defines(F.col("chunk_text"), F.col("symbol"))).alias("definitions"))
+
+
+_NAMED_SQL = "CASE WHEN v = low OR replace(v, '_', '') = low OR regexp_replace(v, 's$', '') = low OR regexp_replace(replace(v, '_', ''), 's$', '') = low THEN 1 ELSE 0 END"
+
+
+@query(
+    f"""WITH {CHUNKS_SQL}, {_HITS_SQL}, j AS (SELECT h.*, c.chunk_text, trim(regexp_extract(trim(h.query_text), '(?s)^(?:.*(?:::|\\\\|->|\\.))?(.*)$', 1)) AS symbol, h.file_path AS p FROM hits h LEFT JOIN (SELECT file_record_id, chunk_index, min(chunk_text) AS chunk_text FROM chunks GROUP BY 1, 2) c ON c.file_record_id = 'file-record:' || h.project_key || ':' || h.file_path AND c.chunk_index = h.chunk_index),
+  pv AS (SELECT *, lower(symbol) AS low, {STEM_SQL} AS st, lower(coalesce(list_extract(list_filter(string_split(p, '/'), lambda x: x <> ''), -2), '')) AS par FROM j),
+  nm AS (SELECT *, list_sum(list_transform(list_filter(list_concat({split_sql("st")}, {split_sql("par")}), lambda x: x <> ''), lambda v: {_NAMED_SQL})) > 0 AS named FROM pv)
+  SELECT query_text, project_key, file_path, chunk_index, round(score + CASE WHEN regexp_matches(trim(query_text), '{C.SYMBOL_QUERY}') AND coalesce(regexp_matches(chunk_text, '{_DEF_SQL.replace("sy.symbol", "symbol")}'), false) THEN max(score) OVER (PARTITION BY query_text) * 3.0::DOUBLE * CASE WHEN named THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END ELSE 0 END, 6) AS score FROM nm"""
+)
+def definition_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logged hits of symbol queries, the defining chunks first."""
+    texts = current_chunks(table(spark, sf_dir, "indexed_chunks")).groupBy("file_record_id", "chunk_index").agg(F.min("chunk_text").alias("chunk_text"))
+    hits = logged_hits(spark, sf_dir).withColumn("file_record_id", F.concat(F.lit("file-record:"), "project_key", F.lit(":"), "file_path"))
+    held = hits.join(texts, ["file_record_id", "chunk_index"], "left")
+    return fusion.definition_boost(held, _BY, "query_text", "file_path", "chunk_text", "score").select(*_OUT, F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""WITH c AS (SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS cs FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+  SELECT query_id, vec_id, round(cs, 6) AS cosine, row_number() OVER (PARTITION BY query_id ORDER BY round(cs, 9) DESC, vec_id) AS rank FROM c QUALIFY rank <= 5"""
+)
+def find_related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of the seed's own kind, the seed left out (seeds: every row whose id is divisible by 100)."""
+    rows = table(spark, sf_dir, "embeddings")
+    seeds = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
+    cs = V.cosine(F.col("q"), F.col("embedding"))
+    near = rows.join(seeds, "label").where("query_id <> vec_id").select("query_id", "vec_id", cs.alias("cosine"))
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), "vec_id")
+    return near.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").withColumn("cosine", F.round("cosine", 6))

@@ -102,3 +102,24 @@ def assembled_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = lines.select("session_id", "event_id", "line_offset", F.lower(F.regexp_extract("content", r"(?i)^\s*(user|assistant)\s*:", 1)).alias("speaker"))
     messages = said.groupBy("session_id", "event_id").agg(F.min("line_offset").alias("at"), F.min("speaker").alias("speaker"))
     return S.assembled_turns(messages)
+
+
+@query(
+    """SELECT user_id, CASE arg_max(event_type, (ts, event_id)) FILTER (WHERE event_type IN ('signup', 'error')) WHEN 'signup' THEN 'enabled' WHEN 'error' THEN 'disabled' ELSE 'seen' END AS state, count(*) FILTER (WHERE event_type = 'error') AS failures, max(ts) FILTER (WHERE event_type <> 'error') AS last_success, max(ts) AS last_seen FROM events GROUP BY 1"""
+)
+def registry_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry's state per source: the last transition decides, by a mergeable maximum instead of a fold over ordered rows."""
+    e = table(spark, sf_dir, "events")
+    turn = F.col("event_type").isin("signup", "error")
+    last = F.max_by(F.when(turn, F.col("event_type")), F.when(turn, F.struct("ts", "event_id")))
+    state = F.when(last == "signup", "enabled").when(last == "error", "disabled").otherwise("seen")
+    return e.groupBy("user_id").agg(state.alias("state"), F.count_if(F.col("event_type") == "error").alias("failures"), F.max(F.when(F.col("event_type") != "error", F.col("ts"))).alias("last_success"), F.max("ts").alias("last_seen"))
+
+
+@query("WITH m AS (SELECT max(last_seen_at) AS top FROM file_search_projects) SELECT project_key, CASE WHEN state = 'disabled' THEN 'idle' WHEN last_seen_at IS NULL THEN 'never' WHEN last_seen_at < top - INTERVAL 180 DAY THEN 'abandoned' ELSE 'running' END AS scan_state, coalesce(poll_seconds, 60)::BIGINT AS poll_seconds FROM file_search_projects, m")
+def scan_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans by the age of their last sign of life against the newest one."""
+    p = table(spark, sf_dir, "file_search_projects")
+    top = p.agg(F.max("last_seen_at").alias("top"))
+    state = F.when(F.col("state") == "disabled", "idle").when(F.col("last_seen_at").isNull(), "never").when(F.col("last_seen_at") < F.col("top") - F.expr("INTERVAL 180 DAYS"), "abandoned").otherwise("running")
+    return p.join(F.broadcast(top)).select("project_key", state.alias("scan_state"), F.coalesce("poll_seconds", F.lit(60)).cast("long").alias("poll_seconds"))

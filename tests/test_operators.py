@@ -164,3 +164,46 @@ def test_materialize_and_sweep(spark, tmp_path, monkeypatch):
     assert list(tmp_path.rglob("*.parquet"))
     session.sweep(spark)
     assert not list(tmp_path.rglob("*.parquet"))
+
+
+def test_message_tree(spark):
+    rows = [("s", "u1", None, "user"), ("s", "a1", "u1", "assistant"), ("s", "t1", "a1", "tool"), ("s", "a2", "t1", "assistant"), ("s", "u2", "a2", "user"), ("s", "a3", "u2", "assistant"), ("s", "x", "gone", "assistant"), ("s", "c1", "c2", "assistant"), ("s", "c2", "c1", "assistant")]
+    got = {r.user_event: r.replies for r in sessions.message_tree(spark.createDataFrame(rows, "session_id string, event_id string, parent_id string, speaker string")).collect()}
+    assert got == {"u1": 2, "u2": 1}
+
+
+def test_refresh_takes_known_vectors(spark):
+    from loomrecall.operators import providers
+
+    rows = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y"), ("d", None), ("e", "z")], "i string, t string")
+    import hashlib
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    ready = spark.createDataFrame([("a", sha("x"), [1.0, 2.0]), ("e", sha("old"), [3.0, 4.0])], "i string, text_hash string, embedding array<float>")
+    got = {r.i: (r.status, r.embedding) for r in providers.refresh(rows, ready, "i", "t", providers.hash_provider(2), 2).collect()}
+    assert got["b"] == ("ready", [1.0, 2.0]) and set(got) == {"b", "c", "e"} and got["c"][0] == "ready" and len(got["c"][1]) == 2
+
+    def broken(texts):
+        raise OSError("no provider")
+
+    assert {r.error for r in providers.refresh(rows, ready.limit(0), "i", "t", broken, 2).collect()} == {"no provider"}
+
+
+def test_guarded_replace(spark, tmp_path):
+    n = spark.createDataFrame([("p", str(i)) for i in range(10)], "project_key string, id string")
+    e = spark.createDataFrame([("p", str(i), "x") for i in range(10)], "project_key string, source string, target string")
+    assert codegraph.guarded_replace(n, e, str(tmp_path / "g"), "p") == "imported"
+    assert codegraph.guarded_replace(n.limit(5), e, str(tmp_path / "g"), "p") == "skipped"
+    assert codegraph.guarded_replace(n.limit(5), e, str(tmp_path / "g"), "p", allow_downgrade=True) == "imported"
+    assert spark.read.parquet(str(tmp_path / "g" / "nodes")).count() == 5
+
+
+def test_display_helpers(spark):
+    assert one(spark, T.escape_html(F.lit("<a onclick='x'>&"))) == "&lt;a data-onclick=&#39;x&#39;&gt;&amp;"
+    assert one(spark, T.display_name(F.lit(" a\n\tb  c "))) == "a b c" and len(one(spark, T.display_name(F.lit("y" * 99)))) == 58
+
+
+def test_embedded_boost(spark):
+    df = spark.createDataFrame([("q", "where is parseUrl used", "lib/other.ts", "function parseUrl(", 1.0), ("q", "where is parseUrl used", "lib/parseurl.ts", "function parseUrl(", 0.5), ("q", "where is parseUrl used", "x.ts", "parseUrl()", 2.0)], "k string, q string, p string, t string, score double")
+    got = {r.p: r.score for r in fusion.embedded_boost(df, ["k"], "q", "p", "t", "score").collect()}
+    assert got == {"lib/other.ts": 4.0, "lib/parseurl.ts": 5.0, "x.ts": 2.0}
