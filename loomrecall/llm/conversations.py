@@ -74,8 +74,8 @@ def calibrated_gap(rows: DataFrame, channel: str, ts: str, share: float = 0.98,
 
     Read over all rows (``percentile_approx`` is a mergeable sketch). Without any pause the gap is infinite.
     """
-    w = Window.partitionBy(channel).orderBy(ts)
-    pauses = rows.where(F.col(channel).isNotNull() & F.col(ts).isNotNull()).select((F.unix_micros(F.col(ts).cast("timestamp")) - F.lag(F.unix_micros(F.col(ts).cast("timestamp"))).over(w)).alias("p"))
+    usable = rows.where(F.col(channel).isNotNull() & F.col(ts).isNotNull()).select(channel, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t")).withColumn("_i", F.monotonically_increasing_id())
+    pauses = split_ordered(usable, [channel], ["_t", "_i"], "pauses", around={"_after": "_t"}).select((F.col("_after") - F.col("_t")).alias("p")).where("p is not null")
     got = pauses.agg(F.percentile_approx("p", share, 10000).alias("q")).first()["q"]
     return float("inf") if got is None else factor * got / 1e6
 
