@@ -54,10 +54,12 @@ _NO_PHONE = re.compile(r"(?i)(?:\b(?:key|id|run|offset|lines?|epoch|addr|port|bu
 _NO_PHONE_AFTER = re.compile(r"(?i)^\s*(?:ms|msec|seconds?|rows?|bytes?|tokens?|kb|mb|of the dump|in the byte)\b")
 
 _ID_WORD = r"(?:passport|id card|identity card|identification|personal id|national id|identity|driv(?:ing|er'?s?) licen[cs]e|licen[cs]e|(?:national )?insurance|social security|ssn|social insurance|tax|tin|vat id|steuer-?id|steuernummer|steuer(?:liche)?|personalausweis|ausweis|reisepass|führerschein|sozialversicherung\w*|versicherung\w*|passeport|carte d'identité|permis de conduire|sécurité sociale|numéro fiscal|pasaporte|dni|nie|carnet de conducir|seguridad social|codice fiscale|bank account|account|iban|bic|sort code|credit card|debit card|card|konto|kontonummer|personnummer|personal number|cpr|cpf|bsn|pesel|nhs|medicare|medical|health)"
-_ID = re.compile(
-    r"(?<![\w-])(?:\d{3}-\d{2}-\d{4}|(?:19|20)\d{6}-\d{4}|[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]{5}-?\d{6}-?[A-Z0-9]{4,5})(?![\w-])"
-    rf"|(?i:\b{_ID_WORD})(?i:[ -]*(?:no|number|nr|num|nummer|numéro|número|n°|id|#)\.?)?[:=#]?\s*(?i:is |ist |: )?(?=[A-Z\d -]*\d)(?P<v>[A-Z\d](?:[A-Z\d]|[ -](?=[A-Z\d])){{5,30}})(?![\w])"
+_ID = re.compile(r"(?<![\w-])(?:\d{3}-\d{2}-\d{4}|(?:19|20)\d{6}-\d{4}|[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]{5}-?\d{6}-?[A-Z0-9]{4,5})(?![\w-])")
+_ID_NAMED = re.compile(
+    rf"(?i:\b{_ID_WORD})(?i:[ -]*(?:no|number|nr|num|nummer|numéro|número|n°|id|#)\.?)?[:=#]?\s*(?i:is |ist |: )?(?=[A-Z\d -]*\d)(?P<v>[A-Z\d](?:[A-Z\d]|[ -](?=[A-Z\d])){{5,30}})(?![\w])"
 )
+#: Parts of the words above; a text with none of them needs no search for them.
+_ID_GATE = ("passport", "passeport", "pasaporte", "reisepass", "id card", "identi", "personal", "national", "licen", "insurance", "social", "ssn", "tax", "tin ", "tin:", "vat id", "steuer", "ausweis", "führerschein", "versicherung", "permis", "sécurité", "fiscal", "dni", " nie", "carnet", "seguridad", "account", "iban", " bic", "sort code", " card", "konto", "personnummer", " cpr", " cpf", " bsn", "pesel", " nhs", "medic", "health")
 _CARD = re.compile(r"(?<![\w.-])\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?![\w-])")
 
 _TYPE = r"(?:street|avenue|lane|road|drive|close|mews|rise|court|square|terrace|place|crescent|gardens|grove|boulevard|parkway|alley|quay|embankment|highway|walk|wharf|row|hill|gate|green|park|way|view)"
@@ -71,6 +73,8 @@ _ADDRESS = re.compile(
     rf"|\b(?P<b>{_STREET}) \d{{1,4}}(?: ?[a-zA-Z])?\b(?P<tb>,? ?(?:\d{{4,6}}|\d{{1,2}}\. (?:Stock|Etage|OG))?{_TAIL})"
     rf"|\b\d{{1,4}}(?: ?[a-z])? (?P<c>{_STREET_LOW})(?: [a-z][\w-]+(?: [a-z][\w-]+)?)?"
 )
+#: Parts of every street word; a text with none of them has no address.
+_STREET_GATE = ("street", "avenue", "lane", "road", "drive", "close", "mews", "rise", "court", "square", "terrace", "place", "crescent", "garden", "grove", "boulevard", "parkway", "alley", "quay", "embankment", "highway", "walk", "wharf", " row", "hill", " gate", "green", " park", " way", " view", "rue ", "chemin", "impasse", "calle", "avenida", "plaza", "paseo", "camino", "via ", "viale", "piazza", "corso", "largo", "praça", "rua ", "straße", "strasse", "str.", "weg", "allee", "platz", "gasse", "ring", "ufer", "damm", "gatan", "vägen", "gränd", "vej", "gade", "veien", "straat", "laan", "gracht", "plein", "box", "postfach", "apartado", "boîte", "b.p.", "casella", "postbus", "postboks", "c/o")
 #: Lower-case words that may follow a capitalized address; another noun there means that the words name something else.
 _FOLLOW = re.compile(
     r"(?i)^(?:\s*$|\s*[^\w\s]|\s*\n|\s+(?:\d|\W|(?:instead|last|since|until|till|once|when|whenever|if|unless|on|in|only|during|before|after|for|from|to|with|without|while|because|at|as|and|or|but|is|was|were|by|near|opposite|again|now|then|next|this|that|the|a|an|we|it|i|they|he|she|who|where|which|see|don't|open|both|version|please|today|tomorrow|yesterday|und|oder|seit|bis|et|ou|depuis|y|desde|hasta|[A-ZÀ-Þ])\b))"
@@ -90,6 +94,8 @@ _FOREIGN = regex.compile(r"(?<![\p{L}\p{N}_])(?:(?=\p{Cyrillic})\p{Lu}[\p{Cyrill
 _CARRIER = regex.compile(
     rf"(?i:\b(?:reviewed by|signed-off-by:?|co-authored-by:?|author:?|written by|approved by|reported by|my name is|i am|assigned to|cc:|thanks,|regards,|cheers,|gruß,|grüße,|viele grüße,|merci à|cordialement,|saludos,|contact card:|contact:|customer|client:|patient|employee|owner[:=]|user=|name[:=]|taken over by|i paired with|in the call|please ask|patch from|it was|waiting for|according to|notes are by|with)\s*)(?P<n>(?:\p{{Lu}}[\p{{L}}\p{{M}}'’-]+)(?:\s\p{{Lu}}[\p{{L}}\p{{M}}'’-]+)?\s{_PART}(?:al-|O['’])?\p{{Lu}}[\p{{L}}\p{{M}}'’-]+)(?![\p{{L}}\p{{N}}_(])"
 )
+_ANY_WORD = re.compile(r"[^\W\d_]+")
+_CARRIER_GATE = ("by", "author", "my name", "i am", "assigned", "cc:", "thanks", "regards", "cheers", "grü", "gruß", "merci", "cordial", "saludos", "contact", "customer", "client", "patient", "employee", "owner", "user", "name", "paired", "the call", "please ask", "patch from", "it was", "waiting", "according", "with")
 _CAMEL = re.compile(r"[a-z][A-Z]")
 
 
@@ -116,7 +122,7 @@ def find_entities(text: str, given: frozenset[str] = GIVEN) -> list[tuple[str, i
     """(kind, start, end) of each entity, without overlap, in order."""
     spans: list[tuple[str, int, int]] = []
     low = text.lower()
-    if "@" in text or "%40" in text or "＠" in text or "&#" in text or "&com" in text or "u0040" in text or " at " in low or "at]" in low or "at)" in low or "at}" in low or "﹫" in text:
+    if "@" in text or "%40" in text or "＠" in text or "&#" in text or "&com" in text or "u0040" in text or (" at " in low and " dot " in low) or "at]" in low or "at)" in low or "at}" in low or "at >" in low or "﹫" in text:
         for m in _EMAIL.finditer(text):
             local = re.split(r"@|%40|＠|&#64;| at |\[", m.group().removeprefix("mailto:"))[0].strip()
             after = text[m.end() : m.end() + 1]
@@ -128,15 +134,17 @@ def find_entities(text: str, given: frozenset[str] = GIVEN) -> list[tuple[str, i
             _add(spans, "email", a, b, text)
     if re.search(r"\d", text):
         if re.search(r"\d{2}", text):
-            for m in _ID.finditer(text):
-                a, b = m.span("v") if m.group("v") else m.span()
-                if m.group("v") and not _plausible_id(m.group("v"), m.group()):
+            found = list(_ID.finditer(text)) + (list(_ID_NAMED.finditer(text)) if any(w in low for w in _ID_GATE) else [])
+            for m in found:
+                named = m.re is _ID_NAMED
+                a, b = m.span("v") if named else m.span()
+                if named and not _plausible_id(m.group("v"), m.group()):
                     continue
-                if m.group("v") and (g := re.match(r"\S{7,}(?= )", m.group("v"))):
+                if named and (g := re.match(r"\S{7,}(?= )", m.group("v"))):
                     b = a + g.end()
                 if re.search(r"(?i)\b(?:build|release|snapshot|version|backup|log|job|batch|migration)\s?$", text[max(0, a - 12) : a]):
                     continue
-                if not m.group("v") and re.search(r"(?i)(?:key|ticket|sha|hash|run)[=: ]\s?$", text[max(0, a - 8) : a]) and not re.match(r"\d{3}-\d\d-\d{4}|[A-Z]{2} ?\d|\d{8}-", m.group()):
+                if not named and re.search(r"(?i)(?:key|ticket|sha|hash|run)[=: ]\s?$", text[max(0, a - 8) : a]) and not re.match(r"\d{3}-\d\d-\d{4}|[A-Z]{2} ?\d|\d{8}-", m.group()):
                     continue
                 _add(spans, "id_number", a, b, text)
             for m in _CARD.finditer(text):
@@ -147,7 +155,7 @@ def find_entities(text: str, given: frozenset[str] = GIVEN) -> list[tuple[str, i
                 if not 8 <= digits <= 16 or _NO_PHONE.search(text[max(0, m.start() - 14) : m.start()]) or _NO_PHONE_AFTER.match(text[m.end() : m.end() + 16]):
                     continue
                 _add(spans, "phone", *m.span(), text)
-        for m in _ADDRESS.finditer(text):
+        for m in _ADDRESS.finditer(text) if any(w in low for w in _STREET_GATE) else ():
             part = m.group("a") or m.group("b")
             a, b = m.span()
             if part:
@@ -188,11 +196,12 @@ def _luhn(s: str) -> bool:
 
 
 def _names(text: str, low: str, spans: list, given: frozenset[str]) -> None:
-    if "," in text:
+    known = not given.isdisjoint(_ANY_WORD.findall(low))
+    if known and "," in text:
         for m in _COMMA.finditer(text, overlapped=True):
             if m.group("g").lower() in given and m.group("g")[0].isupper() and _surname(m.group("s").split()[-1], False):
                 _add(spans, "name", *m.span(), text)
-    for m in _PAIR.finditer(text):
+    for m in _PAIR.finditer(text) if known else ():
         g = m.group("g")
         first = g.lower()
         if first not in given:
@@ -237,7 +246,7 @@ def _names(text: str, low: str, spans: list, given: frozenset[str]) -> None:
     if not text.isascii():
         for m in _FOREIGN.finditer(text):
             _add(spans, "name", *m.span(), text)
-    for m in _CARRIER.finditer(text):
+    for m in _CARRIER.finditer(text) if any(w in low for w in _CARRIER_GATE) else ():
         ws = m.group("n").split()
         if all(_surname(w, False) or w.lower().rstrip(".") in ("van", "von", "de", "del", "di", "da", "la", "le", "der", "den", "al", "du") for w in ws) and not any(_CAMEL.search(w) and not w.startswith(("Mac", "Mc")) for w in ws):
             _add(spans, "name", *m.span("n"), text)
