@@ -32,7 +32,7 @@ LITERAL = 0.8
 CODE = ("ts", "tsx", "js", "jsx", "mjs", "cjs", "py", "go", "rs", "java", "kt", "c", "h", "cc", "cpp", "hpp", "cs", "rb", "php", "swift", "scala", "sh", "sql", "css", "scss", "lua", "pl", "r", "dart", "vue")
 
 _TOKEN = re.compile(
-    r"(?P<n>\n)|(?P<w>[ \t\r\f]+)|(?P<c>//[^\n]*|/\*.*?(?:\*/|\Z)|(?:^|(?<=[\s;]))\#[^\n]*|--[ \t][^\n]*)"
+    r"(?P<n>\n)|(?P<w>[ \t\r\f]+)|(?P<c>//[^\n]*|(?<![\w.])/\*.*?(?:\*/|\Z)|(?:^|(?<=[\s;]))\#[^\n]*|--[ \t][^\n]*)"
     r"|(?P<s>\"(?:[^\"\\\n]|\\.)*(?:\"|(?=\n)|\Z)|'(?:[^'\\\n]|\\.)*(?:'|(?=\n)|\Z)|`(?:[^`\\]|\\.)*(?:`|\Z))"
     r"|(?P<d>\d[\w.]*)|(?P<i>[A-Za-z_$\u0080-￿][\w$]*)|(?P<o>.)",
     re.S,
@@ -44,7 +44,7 @@ _TOOL = re.compile(
 #: Comments in which generation is only the subject.
 _ABOUT = re.compile(r"(?i)\b(?:ids?|keys?|names?|tokens?|values?|they|these|which|that|callers?|users?|must not be edited by|are generated|is generated)\b.*\bgenerated\b|\bgenerated\b.{0,60}\bby callers|\b(?:should|could|would|can|see|like|unlike|never|whether|how|why|if)\b")
 _OTHERS = re.compile(
-    r"(?i)released under|originally part of|copied (?:from|verbatim)|imported unmodified|maintained elsewhere|do not patch|vendored|third[- ]party (?:code|copy|library)|\bupstream\b|licen[cs]ed under|distributed under|spdx(?:-license-identifier)?:|\(c\).{0,60}\b(?:authors|contributors|foundation)\b|copyright.{0,60}\b(?:authors|contributors|foundation|inc\.?|ltd\.?|gmbh)\b|all rights reserved|permission is hereby granted"
+    r"(?i)released under|originally part of|copied (?:from|verbatim)|imported unmodified|maintained elsewhere|do not patch|vendored|third[- ]party (?:code|copy|library)|\bupstream\b|licen[cs]ed under|distributed under|\(c\).{0,60}\b(?:authors|contributors|foundation)\b|copyright.{0,60}\b(?:authors|contributors|foundation|inc\.?|ltd\.?|gmbh)\b|all rights reserved|permission is hereby granted"
 )
 _OWN = re.compile(r"(?i)\(c\) the [\w-]+ team|copyright \(c\) the [\w-]+ team")
 _LOCK_LINE = re.compile(r"^\s*\"?(?:resolved|integrity|checksum|resolution|dependencies|lockfileVersion|tarball)\"?:? |^\"?@?[\w./-]+@[\w.^~:*-]+\"?:?\s*$|^(?:name|version|source|checksum) = \"|^[\w./-]+ v\d[\w.-]* h1:", re.M)
