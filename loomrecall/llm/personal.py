@@ -152,7 +152,7 @@ def find_entities(text: str, given: frozenset[str] = GIVEN) -> list[tuple[str, i
                     _add(spans, "id_number", *m.span(), text)
             for m in _PHONE.finditer(text):
                 digits = sum(c.isdigit() for c in re.split(r"(?i)ext|x|#", m.group())[0])
-                if not 8 <= digits <= 16 or _NO_PHONE.search(text[max(0, m.start() - 14) : m.start()]) or _NO_PHONE_AFTER.match(text[m.end() : m.end() + 16]):
+                if not 8 <= digits <= 16 or (m.group()[0] not in "+(" and _NO_PHONE.search(text[max(0, m.start() - 14) : m.start()])) or _NO_PHONE_AFTER.match(text[m.end() : m.end() + 16]):
                     continue
                 _add(spans, "phone", *m.span(), text)
         for m in _ADDRESS.finditer(text) if any(w in low for w in _STREET_GATE) else ():
