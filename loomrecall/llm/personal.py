@@ -50,7 +50,7 @@ _PHONE = re.compile(
     r"|0\d(?:[ .]\d\d){4}|0\d{4}[ ]?\d{6}|0\d{2,4}[ /-]{1,3}\d{3,8}(?:-\d{1,5})?|0\d{3} \d{3} \d{4}|\(0\d{2,5}\) ?\d{3,8}(?: \d{3,4})?"
     rf"){_EXT}(?![\w/]|[.,:-]\d)"
 )
-_NO_PHONE = re.compile(r"(?i)(?:\b(?:key|id|run|offset|lines?|epoch|addr|port|build|version|sha|hash|ticket|order|invoice|row|rows|at|seq|rev)\b[=:# ]{1,2})$")
+_NO_PHONE = re.compile(r"(?i)(?:\b(?:key|id|run|offset|lines?|epoch|addr|port|build|version|sha|hash|ticket|order|row|rows|seq|rev)\b[=:# ]{1,2})$")
 _NO_PHONE_AFTER = re.compile(r"(?i)^\s*(?:ms|msec|seconds?|rows?|bytes?|tokens?|kb|mb|of the dump|in the byte)\b")
 
 _ID_WORD = r"(?:passport|id card|identity card|identification|personal id|national id|identity|driv(?:ing|er'?s?) licen[cs]e|licen[cs]e|(?:national )?insurance|social security|ssn|social insurance|tax|tin|vat id|steuer-?id|steuernummer|steuer(?:liche)?|personalausweis|ausweis|reisepass|führerschein|sozialversicherung\w*|versicherung\w*|passeport|carte d'identité|permis de conduire|sécurité sociale|numéro fiscal|pasaporte|dni|nie|carnet de conducir|seguridad social|codice fiscale|bank account|account|iban|bic|sort code|credit card|debit card|card|konto|kontonummer|personnummer|personal number|cpr|cpf|bsn|pesel|nhs|medicare|medical|health)"

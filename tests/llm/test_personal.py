@@ -20,6 +20,7 @@ def kinds(text):
         ("installed @scope/pkg@2.14.3 today", []),
         ("call +49 (0)30 23125173 or (796) 555-0111", [("phone", "(796) 555-0111"), ("phone", "+49 (0)30 23125173")]),
         ("Nobody picks up at +1 759 555 0197 before nine.", [("phone", "+1 759 555 0197")]),
+        ("Text me at 735-555-0117 ext. 82 or at 07700 900508", [("phone", "735-555-0117 ext. 82"), ("phone", "07700 900508")]),
         ("offset 4915 3012 5880 in the byte map", []),
         ("IP 192.0.2.867 and 00:14:55.012, key=306-372-243-579", []),
         ("his file says 929-36-2029", [("id_number", "929-36-2029")]),
