@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomrecall.functions import text as T
-from loomrecall.session import spread
 
 #: Texts to vectors, one call per Arrow batch; a model is loaded by the callable itself, once per worker.
 Provider = Callable[[list[str]], list[list[float]]]
@@ -51,6 +50,6 @@ def refresh(rows: DataFrame, ready: DataFrame, ident: str, text: str, provider:
                 [batch.column(0), pa.array([v if ok else None for v, ok in zip(got, good, strict=True)], pa.list_(pa.float32())), pa.array(["ready" if ok else "failed" for ok in good]), pa.array([None if ok else (error or "another length") for ok in good], pa.string())], names=["text_hash", "embedding", "status", "error"]
             )
 
-    made = spread(asked).mapInArrow(run, "text_hash string, embedding array<float>, status string, error string")
+    made = asked.mapInArrow(run, "text_hash string, embedding array<float>, status string, error string")
     fresh = found.where("embedding is null").select(ident, "text_hash").join(made, "text_hash").select(ident, "text_hash", "embedding", "status", "error")
     return taken.unionByName(fresh)

@@ -97,7 +97,10 @@ def env_int(name: str, default: int) -> int:
 
 
 def spread(df: DataFrame, factor: int = 1) -> DataFrame:
-    """``df`` over at least ``factor`` partitions per task slot: rows move only when the source has fewer splits than that."""
+    """``df`` over at least ``factor`` partitions per task slot: rows move only when the source has fewer splits than that.
+
+    For plain reads only: counting the partitions of a frame with a shuffle would run that shuffle.
+    """
     ship(df.sparkSession)
     want = factor * slots(df.sparkSession)
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
