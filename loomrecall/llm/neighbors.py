@@ -271,7 +271,7 @@ def search(placed: DataFrame, models: list[dict], k: int, floor: float) -> DataF
 
 def similar_vectors(rows: DataFrame, k: int = K, min_cosine: float = MIN_COSINE, probes: int = PROBES) -> DataFrame:
     """The ``k`` most similar records of every usable record with at least ``min_cosine``: record_id, neighbor_id, cosine, rank (1 is best)."""
-    vectors = materialize(spread(usable_vectors(rows)), "vectors")
+    vectors = materialize(usable_vectors(rows), "vectors")
     same = Window.partitionBy(*GROUP, "embedding").orderBy("record_id")
     reps = vectors.groupBy(*GROUP, "embedding").agg(F.min("record_id").alias("record_id"), F.count(F.lit(1)).alias("n_same"))
     reps = materialize(reps, "vector-classes")
