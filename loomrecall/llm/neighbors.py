@@ -6,7 +6,8 @@ neighbouring centroids, so a query travels once to each cell it probes, not to e
 each pair's approximate cosine with a bound on its error (the norm of the residual's rounding); every pair whose upper bound can still
 reach the threshold and the k-th best lower bound is reranked with exact cosines in double precision. Only the k best of a query leave a cell.
 
-Hot cells are cut into blocks of rows and blocks of queries. Vectors that are equal bit for bit are searched once and expanded with
+Hot cells are cut into blocks of rows; a task holds one block and streams the queries past it, a batch at a time, and more tasks share
+a cell's queries where there are many or the cluster has more slots than cells. Vectors that are equal bit for bit are searched once and expanded with
 the first k + 1 ids of their class, which is all that any top k can use.
 
 Bounds: training reads at most ``TRAIN_ROWS`` rows (and 24 MB) of a group; models are broadcast in batches of at most ``MODEL_BYTES``.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from loomrecall.session import materialize, spread
+from loomrecall.session import materialize, slots, spread
 
 K = 5
 MIN_COSINE = 0.8
@@ -37,7 +38,9 @@ TRAIN_ROWS = 40_000
 TRAIN_BYTES = 24_000_000
 MODEL_BYTES = 64_000_000
 MAX_LISTS = 4096
-BLOCK = 16_384
+#: Index rows that one task holds at a time, and query rows that one task streams past them.
+BLOCK = 65_536
+QUERY_BLOCK = 262_144
 ROUNDS = 8
 GROUP = ["provider_key", "model", "dimension"]
 
@@ -150,8 +153,14 @@ def _as_arrays(row: dict) -> dict[str, np.ndarray]:
 PLACED = "gid int, cell int, part int, is_query boolean, record_id string, vec binary, lists binary, code binary, err float"
 
 
-def place(reps: DataFrame, models: list[dict], probes: int) -> DataFrame:
-    """Rows for the cells: one index row per vector, and one query row per cell that it probes."""
+def cell_sizes(reps: DataFrame, models: list[dict], probes: int) -> DataFrame:
+    """(gid, cell, is_query, n): how many rows ``place`` makes for each cell. Assigning twice is cheaper than writing the placed rows."""
+    placed = place(reps, models, probes, counts=True)
+    return placed.groupBy("gid", "cell", "is_query").agg(F.sum("part").alias("n"))
+
+
+def place(reps: DataFrame, models: list[dict], probes: int, counts: bool = False) -> DataFrame:
+    """Rows for the cells: one index row per vector, and one query row per cell that it probes. With ``counts`` only their numbers (in ``part``)."""
     held = reps.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,6 +181,13 @@ def place(reps: DataFrame, models: list[dict], probes: int) -> DataFrame:
                     p = min(probes, dots.shape[1])
                     near = np.argpartition(-dots, p - 1, axis=1)[:, :p].astype(np.int32)
                     own = dots.argmax(1)
+                    if counts:
+                        probed = np.zeros((len(part), int(model["cell"].max()) + 1), bool)
+                        probed[np.arange(len(part))[:, None], model["cell"][near]] = True
+                        for is_query, sums in ((False, np.bincount(model["cell"][own], minlength=probed.shape[1])), (True, probed.sum(0))):
+                            m = len(sums)
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, gid, np.int32)), pa.array(np.arange(m, dtype=np.int32)), pa.array(sums.astype(np.int32)), pa.array(np.full(m, is_query)), pa.nulls(m, pa.string()), *[pa.nulls(m, pa.binary())] * 3, pa.nulls(m, pa.float32())], names=names)
+                        continue
                     codes, err = encode(x, own, model)
                     vec = [v.tobytes() for v in part]
                     name = ids[a : a + 4096]
@@ -193,45 +209,61 @@ def place(reps: DataFrame, models: list[dict], probes: int) -> DataFrame:
     return reps.select(*GROUP, "record_id", "embedding").mapInArrow(run, PLACED)
 
 
-def _search_cell(model: dict[str, np.ndarray], base: pa.Table, ask: pa.Table, k: int, floor: float) -> tuple[list, list, list]:
-    dim = model["coarse"].shape[1]
-    read = lambda t, c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
-    bv, qv = _unit(read(base, "vec", np.float32).reshape(-1, dim).astype(np.float64)), _unit(read(ask, "vec", np.float32).reshape(-1, dim).astype(np.float64))
-    b_id, q_id = np.array(base.column("record_id").to_pylist(), object), np.array(ask.column("record_id").to_pylist(), object)
-    b_rank = np.argsort(np.argsort(b_id, kind="stable"))
-    b_list, codes, err = read(base, "lists", np.int32), read(base, "code", np.uint8).reshape(len(b_id), -1), base.column("err").to_numpy()
-    wanted = ask.column("lists").to_pylist()
-    q_list, q_row = np.frombuffer(b"".join(wanted), np.int32), np.repeat(np.arange(len(q_id)), [len(w) // 4 for w in wanted])
-    by_b, by_q = np.argsort(b_list, kind="stable"), np.argsort(q_list, kind="stable")
-    books = model["books"]
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for one in np.unique(b_list):
-        bs = by_b[np.searchsorted(b_list[by_b], one) : np.searchsorted(b_list[by_b], one, "right")]
-        qs = q_row[by_q[np.searchsorted(q_list[by_q], one) : np.searchsorted(q_list[by_q], one, "right")]]
-        for a in range(0, len(qs), 1024):
-            rows = qs[a : a + 1024]
-            q32 = qv[rows].astype(np.float32)
-            tables = [p @ book.T for p, book in zip(_split(q32, books.shape[2]), books, strict=True)]
-            own = (q32 @ model["coarse"][one])[:, None]
-            for c in range(0, len(bs), 4096):
-                cols = bs[c : c + 4096]
-                near = np.repeat(own, len(cols), axis=1)
-                for m, table in enumerate(tables):
-                    near += table[:, codes[cols, m]]
-                slack = err[cols] + 1e-4
-                least = np.full(len(rows), floor)
-                if len(cols) > k:  # the query itself may be one of the k + 1 best
-                    low = near - slack
-                    least = np.maximum(least, np.partition(low, -(k + 1), axis=1)[:, -(k + 1)])
-                r, s = np.nonzero(near + slack >= least[:, None])
-                r, s = rows[r], cols[s]
-                exact = np.concatenate([np.einsum("ij,ij->i", qv[r[i : i + 65536]], bv[s[i : i + 65536]]) for i in range(0, len(r), 65536)] or [np.zeros(0)])
-                keep = (exact >= floor) & (q_id[r] != b_id[s])
-                found.append(_best(r[keep], s[keep], exact[keep], b_rank, k))
-    if not found:
-        return [], [], []
-    r, s, score = _best(*[np.concatenate(x) for x in zip(*found, strict=True)], b_rank, k)
-    return list(q_id[r]), list(b_id[s]), list(score)
+class Cell:
+    """A block of index rows, ready for queries."""
+
+    def __init__(self, base: pa.Table, model: dict[str, np.ndarray]):
+        self.model, self.dim = model, model["coarse"].shape[1]
+        self.vectors = _unit(_bytes(base, "vec", np.float32).reshape(-1, self.dim).astype(np.float64))
+        self.ids = np.array(base.column("record_id").to_pylist(), object)
+        self.rank = np.argsort(np.argsort(self.ids, kind="stable"))
+        lists = _bytes(base, "lists", np.int32)
+        self.codes, self.err = _bytes(base, "code", np.uint8).reshape(len(self.ids), -1), base.column("err").to_numpy()
+        self.order = np.argsort(lists, kind="stable")
+        self.lists, self.begins = np.unique(lists[self.order], return_index=True)
+        self.ends = np.append(self.begins[1:], len(lists))
+
+    def search(self, ask: pa.Table, k: int, floor: float) -> tuple[list, list, list]:
+        """The ``k`` best index rows of at least ``floor`` for each query row, among the lists that it probes."""
+        qv = _unit(_bytes(ask, "vec", np.float32).reshape(-1, self.dim).astype(np.float64))
+        q_id = np.array(ask.column("record_id").to_pylist(), object)
+        wanted = ask.column("lists").to_pylist()
+        q_list, q_row = np.frombuffer(b"".join(wanted), np.int32), np.repeat(np.arange(len(q_id)), [len(w) // 4 for w in wanted])
+        by_q = np.argsort(q_list, kind="stable")
+        books = self.model["books"]
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        lo, hi = np.searchsorted(q_list[by_q], self.lists), np.searchsorted(q_list[by_q], self.lists, "right")
+        for one, b0, b1, q0, q1 in zip(self.lists, self.begins, self.ends, lo, hi, strict=True):
+            bs, qs = self.order[b0:b1], q_row[by_q[q0:q1]]
+            for a in range(0, len(qs), 1024):
+                rows = qs[a : a + 1024]
+                q32 = qv[rows].astype(np.float32)
+                tables = [p @ book.T for p, book in zip(_split(q32, books.shape[2]), books, strict=True)]
+                own = (q32 @ self.model["coarse"][one])[:, None]
+                for c in range(0, len(bs), 4096):
+                    cols = bs[c : c + 4096]
+                    near = np.repeat(own, len(cols), axis=1)
+                    for m, table in enumerate(tables):
+                        near += table[:, self.codes[cols, m]]
+                    slack = self.err[cols] + 1e-4
+                    least = np.full(len(rows), floor)
+                    if len(cols) > k:  # the query itself may be one of the k + 1 best
+                        low = near - slack
+                        least = np.maximum(least, np.partition(low, -(k + 1), axis=1)[:, -(k + 1)])
+                    r, s = np.nonzero(near + slack >= least[:, None])
+                    r, s = rows[r], cols[s]
+                    exact = np.concatenate([np.einsum("ij,ij->i", qv[r[i : i + 65536]], self.vectors[s[i : i + 65536]]) for i in range(0, len(r), 65536)] or [np.zeros(0)])
+                    keep = (exact >= floor) & (q_id[r] != self.ids[s])
+                    if keep.any():
+                        found.append(_best(r[keep], s[keep], exact[keep], self.rank, k))
+        if not found:
+            return [], [], []
+        r, s, score = _best(*[np.concatenate(x) for x in zip(*found, strict=True)], self.rank, k)
+        return list(q_id[r]), list(self.ids[s]), list(score)
+
+
+def _bytes(t: pa.Table, column: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column(column).to_pylist()), kind)
 
 
 def _best(r: np.ndarray, s: np.ndarray, score: np.ndarray, b_rank: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,29 +274,45 @@ def _best(r: np.ndarray, s: np.ndarray, score: np.ndarray, b_rank: np.ndarray, k
     return r[at < k], s[at < k], score[at < k]
 
 
-def search(placed: DataFrame, models: list[dict], k: int, floor: float) -> DataFrame:
+def search(reps: DataFrame, models: list[dict], k: int, floor: float, probes: int) -> DataFrame:
     """(qid, rid, cosine): the ``k`` best of each query, exactly reranked."""
-    spark = placed.sparkSession
+    spark = reps.sparkSession
     held = spark.sparkContext.broadcast(models)
-    sizes = placed.groupBy("gid", "cell", "is_query").agg(F.count(F.lit(1)).alias("n"))
-    blocks = sizes.groupBy("gid", "cell").agg(*[F.greatest(F.lit(1), F.ceil(F.coalesce(F.max(F.when(F.col("is_query") == q, F.col("n"))), F.lit(0)) / F.lit(BLOCK))).cast("int").alias(c) for q, c in ((False, "nb"), (True, "nq"))])
-    cut = placed.join(blocks, ["gid", "cell"])
+    sizes = materialize(cell_sizes(reps, models, probes).where("n > 0"), "ivf-sizes")
+    share = max(1, -(-slots(spark) // max(1, sizes.where("is_query").count())))
+    rows_of = lambda q: F.coalesce(F.max(F.when(F.col("is_query") == q, F.col("n"))), F.lit(0))
+    blocks = sizes.groupBy("gid", "cell").agg(
+        F.greatest(F.lit(1), F.ceil(rows_of(False) / F.lit(BLOCK))).cast("int").alias("nb"), F.greatest(F.lit(share), F.ceil(rows_of(True) / F.lit(QUERY_BLOCK))).cast("int").alias("nq")
+    )
+    cut = place(reps, models, probes).drop("part").join(blocks, ["gid", "cell"])
     h = F.pmod(F.xxhash64("record_id"), F.lit(2**31 - 1))
     mine = F.when(F.col("is_query"), F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda b: b * F.col("nq") + (h % F.col("nq")).cast("int"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("nq") - 1), lambda q: (h % F.col("nb")).cast("int") * F.col("nq") + q))
     cut = cut.withColumn("part", F.explode(mine)).drop("nb", "nq")
-    key = ["gid", "cell", "part"]
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        asks = table.column("is_query")
-        base, ask = table.filter(pa.compute.invert(asks)), table.filter(asks)
-        got: tuple[list, list, list] = ([], [], [])
-        if len(base) and len(ask):
-            gid = table.column("gid")[0].as_py()
-            got = _search_cell(_as_arrays(next(m for m in held.value if m["gid"] == gid)), base, ask, k, floor)
-        return pa.table({"qid": pa.array(got[0], pa.string()), "rid": pa.array(got[1], pa.string()), "cosine": pa.array(got[2], pa.float64())})
-
-    hits = cut.groupBy(*key).applyInArrow(run, "qid string, rid string, cosine double")
+    order = ["gid", "cell", "part", "is_query"]  # a block's index rows come before its queries
+    ready = cut.repartition("gid", "cell", "part").sortWithinPartitions(*order).select(*order, "record_id", "vec", "lists", "code", "err")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models_by = {m["gid"]: m for m in held.value}
+        key, base, model = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], axis=1)
+            starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
+            for a, b in zip(starts, np.append(starts[1:], len(keys)), strict=True):
+                part = pa.Table.from_batches([batch.slice(a, b - a)])
+                if key != tuple(keys[a, :3]):
+                    key, base, model = tuple(keys[a, :3]), [], _as_arrays(models_by[int(keys[a, 0])])
+                if not keys[a, 3]:
+                    base.append(part)
+                    continue
+                if not base:
+                    continue
+                if isinstance(base, list):
+                    base = Cell(pa.concat_tables(base), model)
+                q, r, score = base.search(part, k, floor)
+                if q:
+                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.string()), pa.array(r, pa.string()), pa.array(score, pa.float64())], names=["qid", "rid", "cosine"])
+
+    hits = ready.mapInArrow(run, "qid string, rid string, cosine double")
     best = Window.partitionBy("qid").orderBy(F.desc("cosine"), "rid")
     return hits.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= k).drop("_rn")
 
@@ -280,8 +328,7 @@ def similar_vectors(rows: DataFrame, k: int = K, min_cosine: float = MIN_COSINE,
     for some in _batches(models):
         keys = reps.sparkSession.createDataFrame([tuple(m[g] for g in GROUP) for m in some], T.StructType([reps.schema[g] for g in GROUP])) if len(some) < len(models) else None
         own = reps if keys is None else reps.join(keys, GROUP, "left_semi")
-        placed = materialize(place(spread(own), some, probes), "ivf-cells")
-        part = search(placed, some, k, min_cosine)
+        part = search(spread(own) if keys is None else own, some, k, min_cosine, probes)
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:
         hits = reps.sparkSession.createDataFrame([], "qid string, rid string, cosine double")
