@@ -1,10 +1,11 @@
 """Documents that are template residue, filler, error pages or script notices instead of content.
 
 Every document is reduced to its running text (code blocks, code spans and quotations removed, numbers and ids unified). Equal running
-texts form one node. Nodes get SimHashes of their word shingles; partitioned SimHash tables (every pair of five bit blocks is a key, so
-any two hashes within three bits share one) give candidate pairs, of nodes with one SimHash only those with the least one, which are verified by Hamming distance and by Jaccard similarity of
-the shingles. Labels of trusted residue are propagated through the connected components of the verified links, and a last exact check
-on the document itself keeps the label only where the document has that kind of text.
+texts form one node, and nodes with equal sets of word shingles stand for each other. All other pairs of nodes whose shingles have a
+Jaccard similarity of at least 0.8 are found exactly: in any one order of all shingles, such two nodes share one among their first n / 5 + 1,
+so an equi-join on these prefixes, rare shingles first, gives every candidate, and each candidate is verified on the whole sets. Pairs that
+verified links already connect are not tested again. Labels of trusted residue are propagated through the connected components of the
+links, and a last exact check on the document itself keeps the label only where the document has that kind of text.
 
 Defined cases: null, empty and blank texts are no residue; equal texts share their result; whole texts of any length are read; an empty
 table gives an empty table; other columns are not read.
@@ -26,6 +27,10 @@ from loomrecall.session import materialize, spread
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: Documents that are read to tell frequent shingles from rare ones, the most shingles kept as frequent, and rows of a key that meet in one task.
+SAMPLE = 20_000
+FREQUENT = 100_000
+CELL = 1_000
 HAMMING = 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
@@ -89,6 +94,11 @@ def running_text(text: str) -> str:
     return _QUOTE.sub(" ‹q› ", _ANSWER.sub("Error 500", _SPAN.sub(" ‹c› ", _FENCE.sub("\n‹c›\n", text))))
 
 
+def unified_words(low: str) -> list[str]:
+    """Words of a lower-case running text with numbers and ids unified."""
+    return [w if w.isalpha() else "0" for w in _TOKEN.findall(low)]
+
+
 def judge(text: str | None) -> tuple[list[str] | None, bool, bool, bool]:
     """Words of the running text with numbers and ids unified (null if blank); whether a field is unfilled; whether residue certainly stands in place of the body; whether the body is so short that it could be residue."""
     if not text or not text.strip():
@@ -96,7 +106,7 @@ def judge(text: str | None) -> tuple[list[str] | None, bool, bool, bool]:
     body = running_text(text)
     field = any(c in body for c in _FIELD_SIGNS) and bool(FIELD.search(body))
     low = body.lower()
-    words = [w if w.isalpha() else "0" for w in _TOKEN.findall(low)]
+    words = unified_words(low)
     fills = not _FILL_WORDS.isdisjoint(words)
     scripts = any(w in low for w in _SCRIPT_SIGNS)
     residue = content = lines = 0
@@ -164,26 +174,57 @@ def simhash(hashes: np.ndarray) -> int:
     return int.from_bytes(word, "big", signed=True)
 
 
-JUDGED = "node binary, field boolean, trusted boolean, short boolean, sim bigint"
+def prefix_size(n: int) -> int:
+    """Shingles of a set of ``n`` among which every set with a Jaccard similarity of at least 0.8 has one, in any one order of all shingles."""
+    return n // 5 + 1
+
+
+def frequent_shingles(docs: DataFrame, doc_id: str, text: str) -> np.ndarray:
+    """The shingles that several documents of a sample share, the rarest first. Which they are decides on speed only: any order gives the same links."""
+    step = max(1, docs.count() // SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64(doc_id), F.lit(step)) == 0).select(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [shingles(unified_words(running_text(t).lower())) for t in batch.column(0).to_pylist() if t and t.strip()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).astype(np.int64))], names=["gram"])
+
+    counts = spread(some).mapInArrow(run, "gram bigint").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    top = counts.orderBy(F.desc("n"), "gram").limit(FREQUENT).toArrow()
+    return np.asarray(top.column("gram"), np.int64)[::-1].astype(np.uint64)
 
 
-def judged_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each document with the key of its running text, its evidence and its SimHash: a few bytes for any length of text."""
+JUDGED = "node binary, field boolean, trusted boolean, short boolean, same binary, n int, prefix array<bigint>"
+
+
+def judged_documents(docs: DataFrame, frequent: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each document with the key of its running text, its evidence, the key and size of its shingle set and the prefix of the set."""
     import hashlib
 
+    by_value = np.argsort(frequent)
+    sorted_frequent = frequent[by_value]
+
+    def prefix(grams: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(sorted_frequent, grams)
+        known = at < len(sorted_frequent)
+        known[known] = sorted_frequent[at[known]] == grams[known]
+        return np.concatenate([grams[~known], frequent[np.sort(by_value[at[known]])]])[: prefix_size(len(grams))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [doc_id, *[c.split()[0] for c in JUDGED.split(", ")]]
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(7)]
             keep = []
             for i, body in enumerate(batch.column(1).to_pylist()):
                 words, field, trusted, short = judge(body)
                 if words is None:
                     continue
                 keep.append(i)
-                for column, v in zip(out, (hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest(), field, trusted, short, simhash(shingles(words))), strict=True):
+                grams = shingles(words)
+                keys = [hashlib.blake2b(b, digest_size=16).digest() for b in (" ".join(words).encode(), grams.tobytes())]
+                for column, v in zip(out, (keys[0], field, trusted, short, keys[1], len(grams), prefix(grams).astype(np.int64)), strict=True):
                     column.append(v)
-            kinds = (pa.binary(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64())
+            kinds = (pa.binary(), pa.bool_(), pa.bool_(), pa.bool_(), pa.binary(), pa.int32(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names=names)
 
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -196,6 +237,48 @@ def _table_keys(sim: str = "sim"):
     return F.array(*[(F.lit(t << 40) + block[i] * F.lit(1 << 13) + block[j]) for t, (i, j) in enumerate(itertools.combinations(range(len(BLOCKS)), 2))])
 
 
+def twins(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes (node, same) with one shingle set, each to the least of them."""
+    first = nodes.groupBy("same").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return first.join(nodes.select(F.col("node").alias("b"), "same"), "same").where("a <> b").select("a", "b")
+
+
+def prefix_rows(nodes: DataFrame) -> DataFrame:
+    """One row (key, node, n, pos) per node (node, n, prefix) and shingle of its prefix, with its place."""
+    return nodes.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
+
+
+def star_candidates(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the least node of each key with the others that may be similar to it: few, and enough for most components."""
+    least = rows.groupBy("key").agg(F.min(F.struct("n", "node", "pos")).alias("l"), F.count(F.lit(1)).alias("of")).where("of > 1").drop("of")
+    both = rows.join(least, "key").where(F.col("node") != F.col("l.node"))
+    # No more shingles than stand from here on can be shared, where this is the first shared one; a Jaccard similarity of 0.8 is 4/9 of both sizes.
+    may = 9 * F.least(F.col("n") - F.col("pos"), F.col("l.n") - F.col("l.pos")) >= 4 * (F.col("n") + F.col("l.n"))
+    return both.where(may).select(F.col("l.node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def open_candidates(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """All pairs (a, b) that share a key, may be similar and lie in different ``parts`` (vertex, component).
+
+    Rows of a hot key are cut into blocks and meet in cells of two blocks, so that no task holds all of its pairs.
+    """
+    placed = rows.join(parts.select(F.col("vertex").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    keys = placed.groupBy("key").agg(F.count(F.lit(1)).alias("of"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
+    blocks = F.ceil(F.col("of") / CELL).cast("long")
+    cut = placed.join(keys.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    left = cut.select("key", F.explode(F.transform(every, lambda k: F.col("block") * F.col("blocks") + k)).alias("cell"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    right = cut.select("key", F.explode(F.transform(every, lambda k: k * F.col("blocks") + F.col("block"))).alias("cell"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    near = ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (5 * F.col("na") >= 4 * F.col("nb")) & (F.col("ca") != F.col("cb"))
+    shared = left.join(right, ["key", "cell"]).where(near).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+    # Of the node whose prefix ends first, only shingles behind the prefix can be shared besides the counted ones.
+    rest = [F.col(n) - F.floor(F.col(n) / 5) - 1 for n in ("na", "nb")]
+    return shared.where(9 * (F.col("shared") + F.greatest(*rest)) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+# Nearness by SimHash alone; find_residue does not use it, because texts similar at 0.8 differ in more bits than tables can bear.
+
+
 def same_print(nodes: DataFrame) -> DataFrame:
     """Candidate links (a, b) between nodes (node, sim) with one SimHash, each to the least of them: never all pairs of a group."""
     first = nodes.groupBy("sim").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -225,7 +308,7 @@ def node_grams(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = [shingles(judge(t)[0] or []).astype(np.int64) for t in batch.column(1).to_pylist()]
+            grams = [shingles(unified_words(running_text(t or "").lower())).astype(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.list_(pa.int64()))], names=["node", "grams"])
 
     texts = docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("t"))
@@ -233,23 +316,29 @@ def node_grams(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> Da
     return one.select("node", "t").mapInArrow(run, "node binary, grams array<bigint>")
 
 
-def find_residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per residue document: ``doc_id``, ``kind`` (``field`` or ``body``), ``component`` and whether the label came from a neighbour (``propagated``)."""
-    judged = materialize(judged_documents(docs, doc_id, text), "residue-docs")
-    nodes = judged.groupBy("node").agg(F.max("trusted").alias("trusted"), F.max("field").alias("field"), F.first("sim").alias("sim"), F.min(doc_id).alias("rep"))
+def similar_nodes(docs: DataFrame, judged: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Links (a, b) whose connected components are those of all pairs of nodes that are similar at ``SIMILARITY``."""
+    nodes = judged.groupBy("node").agg(F.first("same").alias("same"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(doc_id).alias("rep"))
     nodes = materialize(nodes, "residue-nodes")
-    prints = nodes.select("node", "sim")
     rep = nodes.select("node", "rep")
+    equal = materialize(twins(nodes), "residue-twins")
+    rows = prefix_rows(nodes.join(equal.select(F.col("b").alias("node")), "node", "left_anti"))
 
     def checked(near: DataFrame, label: str) -> DataFrame:
         near = materialize(near, f"residue-near-{label}")
         linked = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(rep, "node")
         return materialize(verified(near, materialize(node_grams(docs, linked, doc_id, text), f"residue-grams-{label}")), f"residue-links-{label}")
 
-    same = checked(same_print(prints), "same")
-    # Nodes that their SimHash's least node stands for leave the tables; the others (it, and those that only share its hash) stay.
-    alone = prints.join(same.select(F.col("b").alias("node")), "node", "left_anti")
-    links = same.unionByName(checked(near_prints(alone), "near"))
+    star = checked(star_candidates(rows), "star")
+    rest = checked(open_candidates(rows, connected_components(star, "a", "b")), "open")
+    return equal.unionByName(star).unionByName(rest)
+
+
+def find_residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per residue document: ``doc_id``, ``kind`` (``field`` or ``body``), ``component`` and whether the label came from a neighbour (``propagated``)."""
+    judged = materialize(judged_documents(docs, frequent_shingles(docs, doc_id, text), doc_id, text), "residue-docs")
+    links = similar_nodes(docs, judged, doc_id, text)
+    nodes = judged.groupBy("node").agg(F.max("trusted").alias("trusted"), F.max("field").alias("field"))
     parts = connected_components(links, "a", "b")
     placed = nodes.select("node", "trusted", "field").join(parts.select(F.col("vertex").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     labels = placed.groupBy("component").agg(F.max("trusted").alias("body_seed"), F.max("field").alias("field_seed"))
