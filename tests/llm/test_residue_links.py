@@ -72,3 +72,22 @@ def test_hot_keys_are_cut_and_stay_exact(spark, monkeypatch):
     near = {frozenset((bytes(r.a), bytes(r.b))) for r in R.open_candidates(rows, loose).collect()}
     pairs, _ = brute(texts)
     assert pairs and {frozenset((node[a], node[b])) for a, b in pairs if node[a] != node[b]} <= near
+
+
+def test_labels_reach_by_any_similar_pair(spark):
+    """Jaccard similarity is not transitive: a label goes from a to c over b, where a and c are not similar."""
+    rnd = random.Random(11)
+    texts, trusted = {}, set()
+    for _ in range(12):
+        words = ["".join(rnd.choice("bcdfgklmnprstvz") + rnd.choice("aeiou") for _ in range(3)) for _ in range(200)]
+        trusted.add(len(texts))
+        texts[len(texts)] = "Access denied. " + " ".join(words)
+        for _ in range(3):
+            words = changed(words, 3, rnd)
+            texts[len(texts)] = "Denied access. " + " ".join(words)
+    pairs, parts = brute(texts)
+    assert any((a, a + 2) not in pairs and (a, a + 1) in pairs and (a + 1, a + 2) in pairs for a in trusted)
+    seeds = {parts[k] for k in trusted}
+    want = {k: k not in trusted for k in texts if parts[k] in seeds}
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.propagated for r in R.find_residue(docs).collect()} == want
