@@ -339,6 +339,19 @@ def scan(chunks: DataFrame, redacted: bool = False) -> DataFrame:
     return source.mapInArrow(run, schema + (", chunk_text string, search_text string" if redacted else ""))
 
 
+def border_ids(seen: DataFrame) -> DataFrame:
+    """(id, within, given) of the scanned chunks that lie wholly inside a key block, or begin with the value of a name at the end of the chunk before."""
+    blocks = seen.where("opened or inside").select("file_record_id", "chunk_index", "id", "opened", "inside").distinct()
+    order = Window.partitionBy("file_record_id").orderBy("chunk_index", "id")
+    run_no = F.col("chunk_index") - F.dense_rank().over(order)
+    runs = blocks.where(F.col("file_record_id").isNotNull()).withColumn("run", run_no)
+    before = Window.partitionBy("file_record_id", "run").orderBy("chunk_index", "id").rowsBetween(Window.unboundedPreceding, -1)
+    within = runs.withColumn("after_open", F.max("opened").over(before)).where("inside and after_open").select("id", F.lit(True).alias("within"), F.lit(False).alias("given"))
+    waiting = seen.where("awaits").select("file_record_id", (F.col("chunk_index") + 1).alias("chunk_index")).distinct()
+    given = seen.where("leads").join(waiting, ["file_record_id", "chunk_index"], "left_semi").select("id", F.lit(False).alias("within"), F.lit(True).alias("given"))
+    return within.unionByName(given).groupBy("id").agg(F.max("within").alias("within"), F.max("given").alias("given"))
+
+
 def find_credentials(chunks: DataFrame) -> DataFrame:
     """Distinct (chunk_id, field_name, line_no).
 
@@ -349,21 +362,71 @@ def find_credentials(chunks: DataFrame) -> DataFrame:
 
     seen = materialize(scan(chunks), "credentials")
     own = seen.select(F.col("id").alias("chunk_id"), F.explode(F.map_from_arrays(F.array(*[F.lit(f) for f in FIELDS]), F.array("chunk_lines", "search_lines"))).alias("field_name", "ls")).select("chunk_id", "field_name", F.explode("ls").alias("line_no"))
-    blocks = seen.where("opened or inside").select("file_record_id", "chunk_index", "id", "opened", "inside").distinct()
-    order = Window.partitionBy("file_record_id").orderBy("chunk_index", "id")
-    run_no = F.col("chunk_index") - F.dense_rank().over(order)
-    runs = blocks.where(F.col("file_record_id").isNotNull()).withColumn("run", run_no)
-    before = Window.partitionBy("file_record_id", "run").orderBy("chunk_index", "id").rowsBetween(Window.unboundedPreceding, -1)
-    within = runs.where(F.lit(True)).withColumn("after_open", F.max("opened").over(before)).where("inside and after_open").select("id").distinct()
-    waiting = seen.where("awaits").select("file_record_id", (F.col("chunk_index") + 1).alias("chunk_index")).distinct()
-    given = seen.where("leads").join(waiting, ["file_record_id", "chunk_index"], "left_semi").select("id")
-    within = within.unionByName(given).distinct()
+    within = border_ids(seen).select("id")
     middle = within.join(chunks.select("id", *[F.col(f).isNotNull().alias(f) for f in FIELDS]).distinct(), "id").select(
         F.col("id").alias("chunk_id"), F.explode(F.array_compact(F.array(*[F.when(F.col(f), F.lit(f)) for f in FIELDS]))).alias("field_name"), F.lit(1).cast("long").alias("line_no")
     )
     return own.unionByName(middle).distinct()
 
 
+def border_spans(one: str, two: str | None, within: bool, given: bool) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Spans in ``chunk_text`` and ``search_text`` of what belongs to a key block or a name of the chunk before."""
+    spans: tuple[list, list] = ([], [])
+    if within and key_body(one):
+        spans[0].append((0, len(one)))
+        m = re.match(r"\s*" + r"\s+".join(map(re.escape, one.split())), two) if two else None
+        if m:
+            spans[1].append((0, m.end()))
+        elif two:
+            spans[1].extend(m.span() for w in {w for w in one.split() if len(w) >= 4} for m in re.finditer(re.escape(w), two))
+    m = _LEADING.match(one) if given and leading_value(one) else None
+    if m:
+        k = 2 if m.group(2) else 3
+        spans[0].append(m.span(k))
+        if two:
+            spans[1].extend(f.span() for f in re.finditer(re.escape(m.group(k)), two))
+    return spans
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def redact_credentials(chunks: DataFrame) -> DataFrame:
+    """Every chunk row in which ``find_credentials`` finds something, with both fields redacted: id, chunk_text, search_text.
+
+    Key bodies and values that only the chunks before give away are masked too: these few chunks are read again, with what they hold themselves.
+    """
+    from loomrecall.session import materialize
+
+    holds = (F.size("chunk_lines") > 0) | (F.size("search_lines") > 0)
+    seen = materialize(scan(chunks, redacted=True).where(holds | F.expr("opened or inside or awaits or leads")), "redacted")
+    border = materialize(border_ids(seen), "redacted-borders")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list] = ([], [])
+            keep = []
+            for i, (one, two, within, given) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
+                more = border_spans(one or "", two, within, given)
+                spans = [_merged(find_spans(t)[0] + extra) if t else [] for t, extra in zip((one, two), more, strict=True)]
+                if not any(spans):
+                    continue
+                keep.append(i)
+                for column, t, at in zip(out, (one, two), spans, strict=True):
+                    column.append(redact(t, at) if at else t)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), *[pa.array(c, pa.string()) for c in out]], names=["id", *FIELDS])
+
+    again = chunks.select("id", *FIELDS).join(border, "id").mapInArrow(run, "id string, chunk_text string, search_text string")
+    return seen.where(holds).join(border, "id", "left_anti").select("id", *FIELDS).unionByName(again)
+
+
 def redact_chunks(chunks: DataFrame) -> DataFrame:
-    """Every chunk row that holds a credential, with both fields redacted: id, chunk_text, search_text."""
+    """The chunk rows that hold a credential by themselves, with both fields redacted: id, chunk_text, search_text. ``redact_credentials`` does the whole."""
     return scan(chunks, redacted=True).where((F.size("chunk_lines") > 0) | (F.size("search_lines") > 0)).select("id", *FIELDS)

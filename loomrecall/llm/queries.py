@@ -43,7 +43,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return credentials.redact_chunks(table(spark, sf_dir, "indexed_chunks"))
+    return credentials.redact_credentials(table(spark, sf_dir, "indexed_chunks"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
