@@ -11,7 +11,9 @@ length are read; an empty table gives an empty table; other columns are not read
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,8 +24,9 @@ from pyspark.sql.window import Window
 from loomrecall.session import spread
 
 MASK = "REDACTED"
-#: Characters of a credential that is concatenated from several literals.
-MAX_JOINED = 512
+#: From these lengths on, a value in one literal or put together from several is told from embedded data by what it holds.
+LONG = 4096
+LONG_JOINED = 512
 _CORE = r"(?:pass(?:word|wd|phrase|code|wort)?|pwd|secret|token|auth|credentials?|(?:api|access|signing|private|encrypt(?:ion)?|auth|master|account|shared|storage|service|hmac|subscription|license)[_-]?key)"
 _STEMS = ("pass", "pwd", "secret", "token", "auth", "credential", "key")
 #: From a credential word: the rest of its name, what closes the name, and the operator that gives it a value.
@@ -56,12 +59,20 @@ _PLACE = re.compile(
     r"(?i)^(?:x{3,}|\*{3,}|\.{3,}|-{3,}|_{3,}|#{3,}|0+|1234567?8?9?0?|(?:.*[^a-z])?(?:change[ _-]?(?:me|it|this)|your|redacted|masked|removed|hidden|example|sample|dummy|placeholder|todo|tbd|fixme|replace|insert|secret[_-]?here|goes[_-]?here|none|null|nil|undefined|true|false|unset|empty|fake|foobar|deadbeef)(?:[^a-z].*)?)$"
 )
 _REF = re.compile(r"\$\{|\$\(|^\$|\{\{|^%[\w]+%$|^<[^<>]*>$|^\[[^\[\]]*\]$|^\{[^{}]*\}$|^(?:vault|secret|secrets|env|ssm|arn|sops|kv|op|file|aws|gcp|azure|keyring|base64)(?::|\+|/)|^(?:process|os|env|secrets|settings|config|self|this|ctx|req|request|opts|args|params|data|user|row)\.|^/[\w./-]+$|^\.{0,2}/|^https?://|\*{3,}|x{6,}|•|…|\.\.\.$|<%|%\(|^@|^&")
+#: Heads of long credentials: DER in base64 or hex, JWT, service tokens, base64 of a JSON object; and of media, archives and programs in base64 or hex.
+_HEAD = re.compile(r"(?:MII[A-Za-z0-9+/]|MIG[A-Za-z0-9+/]|MC[4o]CAQ|MH[cQ]CAQ|3082[0-9a-fA-F]{4}0201|eyJ|ewog|eyAi|b3BlbnNzaC1rZXkt|LS0tLS1CRUdJTi)[A-Za-z0-9+/=_.\-]*$")
+_DATA = re.compile(r"data:|iVBORw0KGgo|R0lGOD|/9j/|UklGR|UEsDB|H4sI|JVBERi|PHN2Zy|PD94bW|PCFET0|PGh0bW|AAAA|d09GR|T2dnU|SUQz|Qk[0-3]|TVqQ|f0VMR|KLUv|Qlpo|N3q8|89504[eE]47|47494638|[fF]{2}[dD]8[fF]{2}|504[bB]0304|1[fF]8[bB]08")
+#: Names that alone do not tell a credential from a piece of text.
+_WEAK = frozenset(("token", "tokens"))
+_ONE_ALPHABET = re.compile(r"[A-Za-z0-9+/_.~=\-]+")
 _NAMELIKE = re.compile(r"^(?:[A-Za-z]?[a-z]+(?:[A-Z][a-z]+)*|[a-z]+(?:[_.\-/:][a-z]+)+|[A-Z]+(?:_[A-Z]+)+|[A-Z]?[a-z]+\.[A-Za-z.]+)$")
 
 
 def _is_secret(v: str, bare: bool) -> bool:
-    if len(v) < 6 or len(v) > 4096 or any(c.isspace() for c in v):
+    if len(v) < 6 or any(c.isspace() for c in v):
         return False
+    if len(v) > LONG:
+        return _long_secret(v)
     if _REF.search(v) or _PLACE.match(v):
         return False
     if _PREFIXED.match(v):
@@ -79,6 +90,21 @@ def _is_secret(v: str, bare: bool) -> bool:
     return not re.fullmatch(r"(?:[A-Z][a-z]{2,}){1,2}|[a-z]{2,}(?:[A-Z][a-z]{2,})+", v) or bool(re.search(r"\d", v))
 
 
+def _long_secret(v: str, name: str = "") -> bool:
+    """Whether a long value is key material or a token: a known head (DER, JWT, base64 of JSON), or one alphabet without a pattern; media and archives are data, and so is what has no head under a name that also means a piece of text."""
+    v = re.sub(r"\\[nrt]", "", v)
+    if _DATA.match(v):
+        return False
+    if _HEAD.match(v):
+        return len(set(v)) >= 16
+    if name.lower() in _WEAK or not _ONE_ALPHABET.fullmatch(v):
+        return False
+    counts = Counter(v)
+    bits = -sum(n / len(v) * math.log2(n / len(v)) for n in counts.values())
+    # Random hex has nearly 4 bits a character and random base64 nearly 6; a repeated piece comes again at once.
+    return bits >= (3.8 if len(counts) <= 22 else 5.0) and len({v[i : i + 8] for i in range(len(v) - 7)}) > 0.9 * (len(v) - 7)
+
+
 def _name_before(text: str, start: int) -> str:
     a = start
     while a > 0 and start - a < 60 and (text[a - 1].isalnum() or text[a - 1] in "_-"):
@@ -121,7 +147,7 @@ def _strong(v: str) -> bool:
     return bool(re.search(r"[!$%^&*+~?@#]", v) or re.search(r"[a-z]+[_-]\d{3,}", v) or re.search(r"[A-Za-z]\d+[A-Za-z]", v) or len(v) >= 16)
 
 
-def _after(text: str, at: int, op: str) -> list[tuple[int, int]]:
+def _after(text: str, at: int, op: str, name: str) -> list[tuple[int, int]]:
     """Spans of the credential that is given at ``at``; several if it is put together from pieces."""
     opened = _OPEN.match(text, at)
     here = opened.end() if opened and opened.end() > at else at
@@ -141,10 +167,8 @@ def _after(text: str, at: int, op: str) -> list[tuple[int, int]]:
             spans.append((more[0], more[1]))
             value += more[2]
             at = more[1] + 1
-            if len(spans) > 200:
-                break
-        # Text of this length, put together from lines, is embedded data whatever its name is.
-        return spans if _is_secret(value, False) and (len(spans) == 1 or len(value) <= MAX_JOINED) else []
+        held = _long_secret(value, name) if len(spans) > 1 and len(value) > LONG_JOINED else _is_secret(value, False)
+        return spans if held else []
     if opened and not block:
         return []
     m = _BARE.match(text, here)
@@ -178,8 +202,8 @@ def find_spans(text: str) -> tuple[list[tuple[int, int]], bool, bool]:
         while at >= 0:
             named = True
             m = _NAMED.match(text, at)
-            if m and m.end() - at > len(stem) and _names_secret(_name_before(text, at) + m.group(1)):
-                spans.update(_after(text, m.end(), m.group(3)))
+            if m and m.end() - at > len(stem) and _names_secret(name := _name_before(text, at) + m.group(1)):
+                spans.update(_after(text, m.end(), m.group(3), name))
             at = low.find(stem, m.end(1) if m else at + len(stem))
     told = named or "pw" in low or "root" in low or "admin" in low or "login" in low
     if named:
@@ -265,7 +289,7 @@ def redact(text: str, spans: list[tuple[int, int]]) -> str:
 
 #: A chunk that ends between a credential name and its value, and a chunk that begins with a value.
 _PENDING = re.compile(r"([\w.-]+)(?:\\?[\"'`]|\])*[ \t]*(?::=|=>|=|:)[ \t]*(?:\(|[>|][+-]?)?\s*\Z")
-_LEADING = re.compile(r"\s*(?:([\"'])([^\"'\n]{6,300})\1|(\S{6,300})(?=[ \t]*(?:\r?\n|\Z)))")
+_LEADING = re.compile(r"\s*(?:([\"'])([^\"'\n]{6,})\1|(\S{6,})(?=[ \t]*(?:\r?\n|\Z)))")
 
 
 def awaits_value(text: str) -> bool:

@@ -1,5 +1,8 @@
 """Redaction of what only the chunks before give away, and long values."""
 
+import base64
+import random
+
 from loomrecall.llm import credentials as C
 
 KEY = "MIIEvQIBADANBgkqhkiG9w0BAQEFAASCBKcwggSj"
@@ -19,3 +22,31 @@ def test_redaction_covers_chunk_borders(spark):
     assert got["a1"] == ("REDACTED\nREDACTED", "REDACTED sourcefile key") and got["a2"][1] == "path REDACTED"
     assert got["b1"][0] == "    'REDACTED'\n)\napi_key = 'REDACTED'"
     assert C.redact_credentials(df.limit(0)).count() == 0
+
+
+def joined(name, value, op=" = "):
+    return f"{name}{op}(\n" + "".join(f'  "{value[i : i + 64]}" +\n' for i in range(0, len(value), 64)) + ")\n"
+
+
+def lines(text):
+    return C.starts(text, C.find_spans(text)[0])
+
+
+def random_base64(n, seed):
+    return base64.b64encode(random.Random(seed).randbytes(n)).decode()
+
+
+def test_long_values():
+    pkcs8 = "MIIEvQIBADANBgkqhkiG9w0BAQEFAASCBKcwggSj" + random_base64(1180, 1)
+    jwt = "eyJhbGciOiJSUzI1NiJ9." + random_base64(600, 2).rstrip("=") + "." + random_base64(256, 3).rstrip("=")
+    huge = random_base64(12_000, 4)
+    for text in (joined("const privateKey", pkcs8), joined("auth_token", jwt), joined("signing_secret", huge), f'signing_secret = "{huge}"', joined("secret", random.Random(5).randbytes(400).hex())):
+        assert lines("first\n" + text) in ([2], [3])
+        spans = C.find_spans(text)[0]
+        assert C.find_spans(C.redact(text, spans))[0] == [] and not any(text[a:b] in C.redact(text, spans) for a, b in spans)
+    assert C.leading_value(f"'{pkcs8}'\n)")
+
+
+def test_long_data_is_no_credential():
+    for text in (joined("icon_token", "iVBORw0KGgo" + random_base64(900, 6)), joined("secret", "Ab3/" * 400), joined("secret", "UEsDB" + random_base64(900, 7)), joined("image", random_base64(900, 8)), joined("const token", random_base64(900, 9)), f'token = "{"abcdefgh12" * 900}"'):
+        assert lines(text) == []
