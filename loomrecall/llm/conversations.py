@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomrecall.operators.ordered import POS, split_ordered
+from loomrecall.operators.sessions import assembled_turns, message_tree
 from loomrecall.session import materialize
 
 #: White space of any kind, with the blanks that Java's \s leaves out.
@@ -111,6 +112,25 @@ def reciprocal_sessions(messages: DataFrame, label: str) -> DataFrame:
     return placed.join(bad, "session_id", "left_anti").select("session_id", F.col(POS).cast("long").alias("msg_pos"), "event_id", "speaker")
 
 
+def transcript_messages(lines: DataFrame) -> DataFrame:
+    """Every transcript line, plain or JSON, once per (session_id, event_id): its parent_id, smallest offset ``at`` and speaker (``other`` if it is no user's or assistant's message)."""
+    cols = parse_line(F.col("content"))
+    rows = lines.where("session_id is not null and event_id is not null").select("session_id", "event_id", "line_offset", *[c.alias(k) for k, c in cols.items()])
+    speaker = F.when(F.col("role").isin("user", "assistant") & ~is_blank(F.col("body")), F.col("role"))
+    return rows.groupBy("session_id", "event_id").agg(F.min("parent").alias("parent_id"), F.min("line_offset").alias("at"), F.coalesce(F.min(speaker), F.lit("other")).alias("speaker"))
+
+
+def transcript_turns(lines: DataFrame) -> DataFrame:
+    """Turns of all messages by offset; messages without offset have no place and are left out."""
+    said = transcript_messages(lines).where("at is not null and speaker <> 'other'")
+    return assembled_turns(materialize(said.select("session_id", "event_id", "at", "speaker"), "transcript-messages"), "transcript-turns")
+
+
+def transcript_tree(lines: DataFrame) -> DataFrame:
+    """Turns of all messages by parent link; lines that are no message only pass the link on."""
+    return message_tree(transcript_messages(lines), "transcript-tree")
+
+
 def transcript_conversations(lines: DataFrame) -> DataFrame:
     """Conversations of transcript lines (session_id, event_id, line_offset, content).
 

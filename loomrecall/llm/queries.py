@@ -54,6 +54,14 @@ def p5_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.channel_conversations(table(spark, sf_dir, "session_turns"))
 
 
+def transcript_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.transcript_turns(table(spark, sf_dir, "transcript_lines"))
+
+
+def transcript_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.transcript_tree(table(spark, sf_dir, "transcript_lines"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -72,5 +80,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.find_residue(table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_placeholders, p1_surrogates, p2_found, p3_found, p3_searchable, p4_found, p4_redacted, p5_found, p5_channels, p6_ids, p7_found, p7_clean, p8_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_placeholders, p1_surrogates, p2_found, p3_found, p3_searchable, p4_found, p4_redacted, p5_found, p5_channels, transcript_turns, transcript_tree, p6_ids, p7_found, p7_clean, p8_found)}
 SQL: dict[str, str] = {}
