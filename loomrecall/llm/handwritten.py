@@ -12,6 +12,7 @@ chunks are judged by their path alone; empty tables give an empty table; other c
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -116,7 +117,9 @@ def told(text: str, head: bool) -> tuple[bool, bool]:
     """Whether comments at the head (or the end) say that a tool, or that somebody else, wrote the file."""
     lines = [x for x in text.replace("\r", "").split("\n") if x.strip()]
     tool = others = False
-    for line in lines[:7] if head else lines[-4:]:
+    # The whole run of comment lines at this end of the text, and a few lines at least.
+    run = sum(1 for _ in itertools.takewhile(_LINE_COMMENT.match, lines if head else reversed(lines)))
+    for line in lines[: max(7, run)] if head else lines[-max(4, run) :]:
         m = _LINE_COMMENT.match(line)
         if not m:
             continue
