@@ -3,7 +3,8 @@
 A cheap pattern finds the places where a name that means a credential is assigned, passed or announced; from there the code is lexed:
 operators, brackets, string literals with their escapes, concatenations, block scalars. A literal is a credential unless it is a
 placeholder, a mask, a reference (variable, vault, environment), a sentence, a plain word or an identifier. Key blocks, user info in
-URLs, authorization headers, connection strings and tokens with a published prefix have their own forms.
+URLs, authorization headers, connection strings and tokens with a published prefix have their own forms. Values have no upper length;
+under six characters (four in URLs) they are too short to open anything.
 
 Defined cases: null and empty texts hold nothing; equal rows count once; lines are the pieces between line feeds; whole texts of any
 length are read; an empty table gives an empty table; other columns are not read.
@@ -19,8 +20,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from loomrecall.operators.ordered import POS, split_ordered
 from loomrecall.session import spread
 
 MASK = "REDACTED"
@@ -38,8 +39,12 @@ _SQL = re.compile(r"(?i)\b(?:password|identified[ \t]+by)[ \t]+(?:=[ \t]*)?'([^'
 _TAG = re.compile(rf"(?i)<(?:[\w.-]*{_CORE})(?:[ \t][^<>]*)?>([^<>\n]+)</")
 _USER = re.compile(r"(?:-u|--user)[ \t=]+[\"']?[\w.@-]+:([^\s\"'@]+)")
 #: Credentials told in prose or comments: "login for host: admin / ...", "root:...", "pw on host is ...".
-_TOLD = re.compile(r"(?i)\b(?:log-?in|credentials?|user)\b[^\n]{0,60}?[:=][ \t]*[\w.@-]{2,30}[ \t]*/[ \t]*(\S+)|\b(?:root|admin|administrator)[ \t]*[:/][ \t]*(\S+)|\b(?:pw|pass|pwd|passwd|password|passphrase|secret|token)\b[^\n=:;\"'(){}]{0,50}?\b(?:is|was|are)[ \t]+[\"'`]?(\S+)")
-_URL = re.compile(r"://[^\s:/@'\"`<>]{0,80}:([^\s'\"`<>/@][^\s'\"`<>]{0,200}?)@(?=[\w\[$])")
+_ROOT = re.compile(r"(?i)\b(?:root|admin|administrator)[ \t]*[:/][ \t]*(\S+)")
+#: What parts a clause, a word that announces the value, and the value.
+_LOGIN = re.compile(r"(?i)([\n;{}])|\b(log-?in|credentials?|user)\b|[:=][ \t]*[\w.@-]{2,}+[ \t]*/[ \t]*(\S+)")
+_SAID = re.compile(r"(?i)([\n=:;\"'(){}])|\b(pw|pass|pwd|passwd|password|passphrase|secret|token)\b|\b(?:is|was|are)[ \t]+[\"'`]?(\S+)")
+_URL = re.compile(r"://[^\s:/@'\"`<>]*+:(?=[^\s'\"`<>/@])")
+_URL_END = re.compile(r"[^\s'\"`<>]*+")
 _HEADER = re.compile(r"(?i)authorization[\"'\]]*[ \t]*[:=,][ \t]*[\"'`]?(?:bearer|basic|token|apikey|api-key)[ \t]+([^\s\"'`,;)}]+)")
 #: Published prefixes of service tokens (fixed values).
 _PREFIXED = re.compile(
@@ -50,6 +55,9 @@ _MARKS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox"
 _COMMENT = re.compile(r"^[ \t]*(?:#|//|--|;|\*|/\*|<!--|rem\b|>)", re.I)
 _OPEN = re.compile(r"[ \t]*(?:[(\[{][ \t]*\r?\n?[ \t]*|[>|][+-]?[ \t]*(?:\r?\n[ \t]*|[ \t]+)|\r?\n[ \t]+(?=[\"'`]))")
 _STRING = re.compile(r"(?:[rbfuRBFU]{0,2}|@|\$)(\\?\"\"\"|'''|\\?[\"'`])")
+#: After a bare value: the end of the line, or what makes an expression of it.
+_NOTHING = re.compile(r"[ \t\r\f\v]*[,;]?[ \t\r\f\v]*(?=\n|\Z)")
+_GOES_ON = re.compile(r"[ \t\r\f\v]*(?:[|&=+*/?<>(]|(?:as|in|or|and|if)\b)")
 _BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>]+")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 #: Last words that turn a credential name into something else.
@@ -107,7 +115,7 @@ def _long_secret(v: str, name: str = "") -> bool:
 
 def _name_before(text: str, start: int) -> str:
     a = start
-    while a > 0 and start - a < 60 and (text[a - 1].isalnum() or text[a - 1] in "_-"):
+    while a > 0 and (text[a - 1].isalnum() or text[a - 1] in "_-"):
         a -= 1
     return text[a:start]
 
@@ -158,11 +166,12 @@ def _after(text: str, at: int, op: str, name: str) -> list[tuple[int, int]]:
             return []
         spans, value = [(lit[0], lit[1])], lit[2]
         at = lit[1] + len(_STRING.match(text, here).group(1))
+        bracket = bool(opened) and "(" in text[text.rfind("\n", 0, here) + 1 : lit[0]] + opened.group()
         while m := re.compile(r"[ \t\r]*\n?[ \t]*(?:\+|\.|\\\r?\n|~|&)?[ \t\r]*\n?[ \t]*(?=[\"'])").match(text, at):
             more = _literal(text, m.end()) if m.end() > at or text[at : at + 1] in "\"'" else None
             if not more or (not re.search(r"[+.\\~&]", text[at : m.end()]) and here == at):
                 break
-            if not re.search(r"[+.\\~&]", text[at : m.end()]) and not (opened and "(" in text[: lit[0]][-80:]):
+            if not re.search(r"[+.\\~&]", text[at : m.end()]) and not bracket:
                 break
             spans.append((more[0], more[1]))
             value += more[2]
@@ -175,7 +184,7 @@ def _after(text: str, at: int, op: str, name: str) -> list[tuple[int, int]]:
     if not m:
         return []
     value, end = m.group(), m.end()
-    if op == "=" and text[here - 1 : here] in " \t" and not (_strong(value.rstrip(".,;")) and text[end : end + 200].split("\n", 1)[0].strip() in ("", ",", ";")):
+    if op == "=" and text[here - 1 : here] in " \t" and not (_strong(value.rstrip(".,;")) and _NOTHING.match(text, end)):
         return []  # an expression of code
     rest = text[end : end + 2]
     if rest[:1] in ("(", "[", "{", "<") or (rest[:1] == "," and op != "="):
@@ -183,13 +192,38 @@ def _after(text: str, at: int, op: str, name: str) -> list[tuple[int, int]]:
     if op in (":", ":=", "=>") and not block:
         if op != ":" or rest[:1] in (";", ",", ")", "}", "]", "'", '"', "`"):
             return []
-        tail = text[end:].split("\n", 1)[0].strip() if len(text) - end < 200_000 else text[end : end + 400].split("\n", 1)[0].strip()
-        if tail and re.match(r"[|&=+*/?<>(]|(?:as|in|or|and|if)\b", tail):
+        if _GOES_ON.match(text, end):
             return []
     value = value.rstrip(".,")
     return [(here, here + len(value))] if _is_secret(value, True) else []
 
 
+def _announced(form: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
+    """Spans of the first value after an announcing word in each clause."""
+    told = False
+    for m in form.finditer(text):
+        if m.lastindex == 3 and told:
+            yield m.span(3)
+        told = m.lastindex == 2 or (told and m.lastindex is None)
+
+
+def _url_values(text: str) -> Iterator[tuple[int, int]]:
+    """Spans between the colon and the at sign of the user info in URLs."""
+    end = at = -1
+    for m in _URL.finditer(text):
+        a = m.end()
+        if a >= end:
+            end = _URL_END.match(text, a).end()
+            at = -1
+        if at < a:
+            at = text.find("@", a, end)
+            while at >= 0 and not re.match(r"[\w\[$]", text[at + 1 : at + 2]):
+                at = text.find("@", at + 1, end)
+            at = at if at >= 0 else len(text)
+        if at < end:
+            yield a, at
+
+
 def find_spans(text: str) -> tuple[list[tuple[int, int]], bool, bool]:
     """Spans of credential values in order; whether a key block that began before ends here; whether one is open at the end."""
     low = text.lower()
@@ -219,16 +253,15 @@ def find_spans(text: str) -> tuple[list[tuple[int, int]], bool, bool]:
     if "-u " in text or "--user" in text:
         spans.update(m.span(1) for m in _USER.finditer(text) if _is_secret(m.group(1), False))
     if told:
-        for m in _TOLD.finditer(text):
-            k = m.lastindex
-            v = m.group(k).rstrip(".,;\"'`)")
+        for a, b in [m.span(1) for m in _ROOT.finditer(text)] + [*_announced(_LOGIN, text), *_announced(_SAID, text)]:
+            v = text[a:b].rstrip(".,;\"'`)")
             if _is_secret(v, True) and _strong(v):
-                spans.add((m.start(k), m.start(k) + len(v)))
+                spans.add((a, a + len(v)))
     if "://" in text and "@" in text:
-        for m in _URL.finditer(text):
-            v = m.group(1)
+        for a, b in _url_values(text):
+            v = text[a:b]
             if len(v) >= 4 and not _REF.search(v) and not _PLACE.match(v) and not re.fullmatch(r"[a-z]+|\d+", v):
-                spans.add(m.span(1))
+                spans.add((a, b))
     for m in _PREFIXED.finditer(text) if any(p in text for p in _MARKS) else ():
         if _is_secret(m.group(), False):
             spans.add(m.span())
@@ -241,10 +274,10 @@ def find_spans(text: str) -> tuple[list[tuple[int, int]], bool, bool]:
                 spans.add((0, m.start()))
                 ended = True
         else:
-            if len(re.findall(r"[A-Za-z0-9+/=]", re.sub(r"\\[nr]", "", text[open_at : m.start()]))) >= 24:
+            if len(re.findall(r"[A-Za-z0-9+/=]", re.sub(rf"\\[nr]|{MASK}", "", text[open_at : m.start()]))) >= 24:
                 spans.add((open_at, m.start()))
             open_at = None
-    still = open_at is not None and not re.search(r"[^\sA-Za-z0-9+/=:,\-\\\"'.]", text[open_at:])
+    still = open_at is not None and text.find(MASK, open_at) < 0 and not re.search(r"[^\sA-Za-z0-9+/=:,\-\\\"'.]", text[open_at:])
     if still:
         spans.add((open_at, len(text)))
     out: list[tuple[int, int]] = []
@@ -257,7 +290,7 @@ def find_spans(text: str) -> tuple[list[tuple[int, int]], bool, bool]:
 def spans_before_begin(text: str, end: int) -> bool:
     """Whether what stands before an END line is no key body (then the line is only mentioned)."""
     body = re.sub(r"\\[nr]", "", text[:end]).split()
-    return not body or not re.fullmatch(r"[\"'+,]*[A-Za-z0-9+/=]{8,}[\"'+,]*", body[-1])
+    return not body or MASK in body[-1] or not re.fullmatch(r"[\"'+,]*[A-Za-z0-9+/=]{8,}[\"'+,]*", body[-1])
 
 
 _JOINT = re.compile(r"[\"'][ \t\r]*\n?[ \t]*(?:\+|\.|\\\r?\n|~|&)?[ \t\r]*\n?[ \t]*[\"']")
@@ -268,11 +301,11 @@ def starts(text: str, spans: list[tuple[int, int]]) -> list[int]:
     out = set()
     end = -1
     for a, b in spans:
-        joined = 0 <= end < a and a - end < 200 and _JOINT.fullmatch(text, end, a)
+        joined = 0 <= end < a and _JOINT.fullmatch(text, end, a)
         end = b
         if joined:
             continue
-        m = list(_KEY.finditer(text, max(0, a - 80), a))
+        m = list(_KEY.finditer(text, max(0, text.rfind("-----BEGIN ", 0, a)), a)) if a >= 5 and text.startswith("-----", a - 5) else []
         at = m[-1].start() if m and m[-1].end() == a else a
         out.add(text.count("\n", 0, at) + 1)
     return sorted(out)
@@ -288,13 +321,19 @@ def redact(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 #: A chunk that ends between a credential name and its value, and a chunk that begins with a value.
-_PENDING = re.compile(r"([\w.-]+)(?:\\?[\"'`]|\])*[ \t]*(?::=|=>|=|:)[ \t]*(?:\(|[>|][+-]?)?\s*\Z")
+_PENDING = re.compile(r"(?<![\w.-])([\w.-]+)(?:\\?[\"'`]|\])*[ \t]*(?::=|=>|=|:)[ \t]*(?:\(|[>|][+-]?)?\s*\Z")
 _LEADING = re.compile(r"\s*(?:([\"'])([^\"'\n]{6,})\1|(\S{6,})(?=[ \t]*(?:\r?\n|\Z)))")
+#: After the last value of a chunk that goes on in the next one: nothing, or a joint of a concatenation.
+_JOINT_END = re.compile(r"\s*\Z|[\"'`]\s*(?:\+|\.|\\|~|&)\s*\Z")
+#: At the start of a chunk: the rest of a value, with the quote that closes it or the end of the line.
+_REST = re.compile(r"\s*[\"'`]?([\w+/=.~!@#$%^&*-]+)(?=[\"'`]|[ \t]*[,;)}\]]*[ \t]*(?:\r?\n|\Z))")
+#: A chunk that is nothing but one more piece of a value.
+_PIECE = re.compile(r"\s*[\"'`]?([\w+/=.~!@#$%^&*-]+)(?:[\"'`][ \t]*(?:\+|\.|\\|~|&))?\s*\Z")
 
 
 def awaits_value(text: str) -> bool:
     """Whether the text ends with a credential-named assignment that has no value yet."""
-    m = _PENDING.search(text, max(0, len(text) - 200))
+    m = _PENDING.search(text, text.rfind("\n", 0, len(text.rstrip())) + 1)
     return bool(m and _names_secret(m.group(1)))
 
 
@@ -304,12 +343,23 @@ def leading_value(text: str) -> bool:
     return bool(m and (_is_secret(m.group(2), False) if m.group(2) else _is_secret(m.group(3), True) and _strong(m.group(3))))
 
 
+def goes_on(text: str, spans: list[tuple[int, int]], still: bool) -> bool:
+    """Whether the text ends inside its last credential value, which then goes on in the next chunk: in an open literal, or before a joint."""
+    if not spans or still:
+        return False
+    a, b = spans[-1]
+    opened = text[a - 1 : a] in ("'", '"', "`") and a > 0
+    return opened and bool(_JOINT_END.match(text, b))
+
+
 _BODY = re.compile(r"[\"']?[A-Za-z0-9+/=]{8,}(?:\\n)?[\"']?[+,\\]?|[+,\\]")
 
 
 def key_body(text: str) -> bool:
     """Whether the text is nothing but lines of base64, as the middle of a key block is."""
     head = text[:200].split()
+    if MASK in head:
+        return False
     return bool(head) and all(_BODY.fullmatch(w) for w in head[:3]) and all(_BODY.fullmatch(w) for w in text.split()[:-1])
 
 
@@ -325,7 +375,7 @@ def scan(chunks: DataFrame, redacted: bool = False) -> DataFrame:
             texts = [batch.column(3).to_pylist(), batch.column(4).to_pylist()]
             lines: tuple[list, list] = ([], [])
             clean: tuple[list, list] = ([], [])
-            opened, ended, inside, awaits, leads = [], [], [], [], []
+            opened, ended, inside, awaits, leads, goes, passes = [], [], [], [], [], [], []
             for one, two in zip(*texts, strict=True):
                 known: tuple | None = None
                 for k, t in enumerate((one, two)):
@@ -348,34 +398,54 @@ def scan(chunks: DataFrame, redacted: bool = False) -> DataFrame:
                 inside.append(bool(one) and key_body(one))
                 awaits.append(bool(one) and awaits_value(one))
                 leads.append(bool(one) and leading_value(one))
+                goes.append(bool(known) and goes_on(one, known[0], known[3]))
+                passes.append(bool(one) and bool(_PIECE.match(one)))
             big = pa.list_(pa.int64())
-            cols = [batch.column(0), batch.column(1), batch.column(2), pa.array(lines[0], big), pa.array(lines[1], big), pa.array(opened), pa.array(ended), pa.array(inside), pa.array(awaits), pa.array(leads)]
-            names = ["id", "file_record_id", "chunk_index", "chunk_lines", "search_lines", "opened", "ended", "inside", "awaits", "leads"]
+            cols = [batch.column(0), batch.column(1), batch.column(2), pa.array(lines[0], big), pa.array(lines[1], big), pa.array(opened), pa.array(ended), pa.array(inside), pa.array(awaits), pa.array(leads), pa.array(goes), pa.array(passes)]
+            names = ["id", "file_record_id", "chunk_index", "chunk_lines", "search_lines", "opened", "ended", "inside", "awaits", "leads", "goes", "passes"]
             if redacted:
                 cols += [pa.array(clean[0], pa.string()), pa.array(clean[1], pa.string())]
                 names += list(FIELDS)
             else:
-                keep = [i for i in range(batch.num_rows) if lines[0][i] or lines[1][i] or opened[i] or inside[i] or awaits[i] or leads[i]]
+                keep = [i for i in range(batch.num_rows) if lines[0][i] or lines[1][i] or opened[i] or inside[i] or awaits[i] or leads[i] or goes[i] or passes[i]]
                 cols = [c.take(pa.array(keep, pa.int64())) for c in cols]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    schema = "id string, file_record_id string, chunk_index int, chunk_lines array<bigint>, search_lines array<bigint>, opened boolean, ended boolean, inside boolean, awaits boolean, leads boolean"
+    schema = "id string, file_record_id string, chunk_index int, chunk_lines array<bigint>, search_lines array<bigint>, opened boolean, ended boolean, inside boolean, awaits boolean, leads boolean, goes boolean, passes boolean"
     return source.mapInArrow(run, schema + (", chunk_text string, search_text string" if redacted else ""))
 
 
+def _after_start(rows: DataFrame, label: str) -> DataFrame:
+    """(file_record_id, chunk_index, start, first): the rows (file_record_id, chunk_index, start), one per place, with the first start of their run of neighbouring places.
+
+    Places are numbered by ``split_ordered``, so a file of any size is no single task.
+    """
+    at = ["file_record_id", "chunk_index"]
+    one = rows.where("file_record_id is not null and chunk_index is not null").groupBy(*at).agg(F.max("start").alias("start"))
+    placed = split_ordered(one, at[:1], at[1:], label).withColumn("run", F.col("chunk_index") - F.col(POS))
+    first = placed.where("start").groupBy("file_record_id", "run").agg(F.min("chunk_index").alias("first"))
+    return placed.join(first, ["file_record_id", "run"]).select(*at, "start", "first")
+
+
 def border_ids(seen: DataFrame) -> DataFrame:
     """(id, within, given) of the scanned chunks that lie wholly inside a key block, or begin with the value of a name at the end of the chunk before."""
-    blocks = seen.where("opened or inside").select("file_record_id", "chunk_index", "id", "opened", "inside").distinct()
-    order = Window.partitionBy("file_record_id").orderBy("chunk_index", "id")
-    run_no = F.col("chunk_index") - F.dense_rank().over(order)
-    runs = blocks.where(F.col("file_record_id").isNotNull()).withColumn("run", run_no)
-    before = Window.partitionBy("file_record_id", "run").orderBy("chunk_index", "id").rowsBetween(Window.unboundedPreceding, -1)
-    within = runs.withColumn("after_open", F.max("opened").over(before)).where("inside and after_open").select("id", F.lit(True).alias("within"), F.lit(False).alias("given"))
+    at = ["file_record_id", "chunk_index"]
+    held = _after_start(seen.where("opened or inside").select(*at, F.col("opened").alias("start")), "credential-blocks").where("chunk_index > first").select(*at)
+    within = seen.where("inside").join(held, at, "left_semi").select("id", F.lit(True).alias("within"), F.lit(False).alias("given"))
     waiting = seen.where("awaits").select("file_record_id", (F.col("chunk_index") + 1).alias("chunk_index")).distinct()
-    given = seen.where("leads").join(waiting, ["file_record_id", "chunk_index"], "left_semi").select("id", F.lit(False).alias("within"), F.lit(True).alias("given"))
+    given = seen.where("leads").join(waiting, at, "left_semi").select("id", F.lit(False).alias("within"), F.lit(True).alias("given"))
     return within.unionByName(given).groupBy("id").agg(F.max("within").alias("within"), F.max("given").alias("given"))
 
 
+def rest_places(seen: DataFrame, border: DataFrame) -> DataFrame:
+    """(file_record_id, chunk_index) where the rest of a value stands that began in a chunk before, whatever the number of chunks between."""
+    at = ["file_record_id", "chunk_index"]
+    rows = seen.where("goes or passes").join(border.where("given").select("id", "given"), "id", "left")
+    start = F.col("goes") | (F.col("passes") & F.coalesce("given", F.lit(False)))
+    held = _after_start(rows.select(*at, start.alias("start")), "credential-pieces").where("chunk_index >= first")
+    return held.select("file_record_id", (F.col("chunk_index") + 1).alias("chunk_index")).distinct()
+
+
 def find_credentials(chunks: DataFrame) -> DataFrame:
     """Distinct (chunk_id, field_name, line_no).
 
@@ -393,7 +463,7 @@ def find_credentials(chunks: DataFrame) -> DataFrame:
     return own.unionByName(middle).distinct()
 
 
-def border_spans(one: str, two: str | None, within: bool, given: bool) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+def border_spans(one: str, two: str | None, within: bool, given: bool, rest: bool = False) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Spans in ``chunk_text`` and ``search_text`` of what belongs to a key block or a name of the chunk before."""
     spans: tuple[list, list] = ([], [])
     if within and key_body(one):
@@ -409,6 +479,12 @@ def border_spans(one: str, two: str | None, within: bool, given: bool) -> tuple[
         spans[0].append(m.span(k))
         if two:
             spans[1].extend(f.span() for f in re.finditer(re.escape(m.group(k)), two))
+    m = _REST.match(one) if rest else None
+    if m:
+        spans[0].append(m.span(1))
+        if two:
+            f = re.search(re.escape(m.group(1)), two)
+            spans[1].extend([f.span()] if f else [])
     return spans
 
 
@@ -425,20 +501,24 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def redact_credentials(chunks: DataFrame) -> DataFrame:
     """Every chunk row in which ``find_credentials`` finds something, with both fields redacted: id, chunk_text, search_text.
 
-    Key bodies and values that only the chunks before give away are masked too: these few chunks are read again, with what they hold themselves.
+    Key bodies and values that only the chunks before give away, and the rest of a value that began there, are masked too: these few
+    chunks are read again, with what they hold themselves.
     """
     from loomrecall.session import materialize
 
     holds = (F.size("chunk_lines") > 0) | (F.size("search_lines") > 0)
-    seen = materialize(scan(chunks, redacted=True).where(holds | F.expr("opened or inside or awaits or leads")), "redacted")
+    seen = materialize(scan(chunks, redacted=True).where(holds | F.expr("opened or inside or awaits or leads or goes or passes")), "redacted")
     border = materialize(border_ids(seen), "redacted-borders")
+    places = rest_places(seen, border)
+    rest = chunks.select("id", "file_record_id", "chunk_index").join(places, ["file_record_id", "chunk_index"], "left_semi").select("id", F.lit(False).alias("within"), F.lit(False).alias("given"), F.lit(True).alias("rest"))
+    border = materialize(border.withColumn("rest", F.lit(False)).unionByName(rest).groupBy("id").agg(*[F.max(c).alias(c) for c in ("within", "given", "rest")]), "redacted-again")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, list] = ([], [])
             keep = []
-            for i, (one, two, within, given) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
-                more = border_spans(one or "", two, within, given)
+            for i, (one, two, *flags) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
+                more = border_spans(one or "", two, *flags)
                 spans = [_merged(find_spans(t)[0] + extra) if t else [] for t, extra in zip((one, two), more, strict=True)]
                 if not any(spans):
                     continue
@@ -449,8 +529,3 @@ def redact_credentials(chunks: DataFrame) -> DataFrame:
 
     again = chunks.select("id", *FIELDS).join(border, "id").mapInArrow(run, "id string, chunk_text string, search_text string")
     return seen.where(holds).join(border, "id", "left_anti").select("id", *FIELDS).unionByName(again)
-
-
-def redact_chunks(chunks: DataFrame) -> DataFrame:
-    """The chunk rows that hold a credential by themselves, with both fields redacted: id, chunk_text, search_text. ``redact_credentials`` does the whole."""
-    return scan(chunks, redacted=True).where((F.size("chunk_lines") > 0) | (F.size("search_lines") > 0)).select("id", *FIELDS)

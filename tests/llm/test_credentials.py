@@ -65,9 +65,14 @@ def test_blocks_over_chunks(spark):
     got = {tuple(r) for r in C.find_credentials(df).collect()}
     assert got == {("a0", "chunk_text", 2), ("a0", "search_text", 1), ("a1", "chunk_text", 1), ("a1", "search_text", 1), ("a2", "chunk_text", 1), ("b1", "chunk_text", 1), ("b1", "search_text", 1)}
     assert C.find_credentials(df.limit(0)).count() == 0
-    assert {r.id for r in C.redact_chunks(df).collect()} == {"a0", "a2"}
+    assert {r.id for r in C.redact_credentials(df).collect()} == {"a0", "a1", "a2", "b1"}
 
 
 def test_very_long_text():
     assert lines("a" * 400_000 + "\nPASSWORD=Tundra3095$coe") == [2]
     assert lines("token " * 60_000) == []
+    assert lines("secret_key_" * 30_000 + " = x") == [] and lines("a" * 100 + '_api_key = "Tundra3095$coe"') == [1]
+    long = "Qk7" + "".join(str((i * 7919) % 97) for i in range(6000))
+    assert lines(f"postgres://{'u' * 300}:{long}@db") == [1]
+    assert lines("credentials of the new " + "staging " * 40 + "host: admin / Tundra3095coe") == [1]
+    assert lines("password" + " of the host" * 30 + " is Tundra3095$coe") == [1]

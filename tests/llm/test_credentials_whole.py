@@ -50,3 +50,27 @@ def test_long_values():
 def test_long_data_is_no_credential():
     for text in (joined("icon_token", "iVBORw0KGgo" + random_base64(900, 6)), joined("secret", "Ab3/" * 400), joined("secret", "UEsDB" + random_base64(900, 7)), joined("image", random_base64(900, 8)), joined("const token", random_base64(900, 9)), f'token = "{"abcdefgh12" * 900}"'):
         assert lines(text) == []
+
+
+def test_nothing_found_is_left_after_redaction(spark):
+    token = random_base64(7_500, 11)
+    piece = [random_base64(48, 20 + i).rstrip("=") for i in range(3)]
+    texts = {
+        "k": [f"a = 1\n-----BEGIN RSA PRIVATE KEY-----\n{KEY}", f"{BODY}\n{BODY}", f"{BODY}\n{BODY}", f"{KEY}\n-----END RSA PRIVATE KEY-----\nb = 2"],
+        "v": [f'x = 1\nclient_secret = "{piece[0]}', piece[1], f'{piece[2]}"\ny = 2\n'],
+        "j": [f'x = 1\nclient_secret = ("{piece[0]}" +', f'  "{piece[1]}" +', f'  "{piece[2]}")\ny = 2\n'],
+        "t": [f'auth_secret = "{token}"\nz = 3\n', "z = 4"],
+        "p": ["z\ndb_password =", f'"{piece[0]}"\nw = 1'],
+    }
+    rows = [(f"{f}{i}", f, i, t, t + " path words") for f, ts in texts.items() for i, t in enumerate(ts)]
+    schema = "id string, file_record_id string, chunk_index int, chunk_text string, search_text string"
+    df = spark.createDataFrame(rows, schema)
+    found = {tuple(r) for r in C.find_credentials(df).collect()}
+    assert {i for i, _, _ in found} >= {"k0", "k1", "k2", "k3", "v0", "j0", "t0", "p1"}
+    out = {r.id: (r.chunk_text, r.search_text) for r in C.redact_credentials(df).collect()}
+    assert set(out) >= {i for i, _, _ in found} | {"v1", "v2", "j1", "j2"}
+    clean = [(i, f, n, *(out.get(i) or (a, b))) for i, f, n, a, b in rows]
+    again = C.find_credentials(spark.createDataFrame(clean, schema)).collect()
+    assert not {tuple(r) for r in again} & {x for x in found if x[0] not in {"k0", "k3"}}
+    assert not any(v in t for *_, a, b in clean for t in (a, b) for v in (token, *piece, KEY, BODY))
+    assert "y = 2" in out["v2"][0] and "b = 2" in out["k3"][0]
