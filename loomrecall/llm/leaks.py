@@ -3,9 +3,12 @@
 Both sides become runs of words: text is NFC-normalized, invisible characters go, case is folded, and everything that is no letter or
 digit ends a word. Words that no test item has cannot be part of a match, so a shard keeps only runs of test words, parted by a
 sentinel. Each shard (a portion of a task's documents) is sorted into a suffix array; every suffix of every test item is
-binary-searched in it, and the matches are extended to their full length.
+binary-searched in it, and the matches are extended to their full length. Suffixes that begin alike are sorted by the word before them,
+so the places where a match could begin earlier are one range of the array and are never listed.
 
-The test side is broadcast in blocks of at most ``BLOCK_CHARS`` characters, so its size is checked and any number of items works.
+The test side is cut into blocks by the running sum of its characters, at most ``BLOCK_CHARS`` in one unless a single item is longer.
+A block's numbered words and suffix starts are made once and broadcast; each task takes the blocks one after another over the documents
+it has read and tokenized once, so any number of items works and the corpus is scanned once.
 
 Defined cases: null or empty texts match nothing; items with fewer than ``min_words`` words match nothing; repeated items count for
 each of their ids; repeated documents each come out; empty tables give an empty table; other columns are not read.
@@ -16,7 +19,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,16 +50,17 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text)
 
 
-def suffix_array(seq: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of ``seq`` in the order of their first ``depth`` values, by prefix doubling."""
+def suffix_ranks(seq: np.ndarray, depth: int) -> np.ndarray:
+    """The rank of each start of ``seq`` by its first ``depth`` values, by prefix doubling; equal ones share a rank."""
     rank = np.unique(seq, return_inverse=True)[1].astype(np.int64)
     step = 1
     while step < depth and len(seq):
+        by = min(step, depth - step)  # at the last step the two halves overlap, so that exactly ``depth`` values count
         follow = np.full(len(seq), 0, np.int64)
-        follow[:-step or None] = rank[step:] + 1 if step < len(seq) else 0
+        follow[:-by] = rank[by:] + 1
         rank = np.unique(rank * (len(seq) + 2) + follow, return_inverse=True)[1].astype(np.int64)
-        step *= 2
-    return np.argsort(rank, kind="stable")
+        step += by
+    return rank
 
 
 def _windows(seq: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
@@ -85,7 +88,7 @@ def _search(seq: np.ndarray, order: np.ndarray, want: np.ndarray, upper: bool) -
 
 
 class TestSide:
-    """The words of a block of test items as one sequence of numbers, items parted by 0."""
+    """The words of a block of test items as one sequence of numbers, items parted by 0: the arrays that are broadcast."""
 
     def __init__(self, items: list[tuple[int, str | None]], min_words: int):
         self.vocabulary: dict[str, int] = {}
@@ -122,18 +125,30 @@ def match_shard(side: TestSide, docs: list[list[str]]) -> list[np.ndarray]:
     none = [np.zeros(0, np.int64)] * 5
     if len(text) == 1 or not len(side.starts):
         return none
-    order = suffix_array(text, side.n)
+    rank = suffix_ranks(text, side.n)
+    before = np.concatenate([np.zeros(1, np.int64), text[:-1]])
+    order = np.lexsort((before, rank))
     want = _windows(side.seq, side.starts, side.n)
     low, high = _search(text, order, want, False), _search(text, order, want, True)
-    hits = high - low
+    met = high > low
+    starts, low, high = side.starts[met], low[met], high[met]
+    if not len(starts):
+        return none
+    # Of the suffixes from low to high, those behind the test word's own forerunner belong to a longer match.
+    wide = np.int64(text.max()) + 2
+    key = rank[order] * wide + before[order]
+    prior = np.where(starts > 0, side.seq[starts - 1], 0)
+    own = rank[order[low]] * wide + prior
+    cut = np.searchsorted(key, own), np.searchsorted(key, own, "right")
+    skip = np.where((prior > 0) & (prior < wide), cut[1] - cut[0], 0)
+    left, right = np.where(skip > 0, cut[0], high), np.where(skip > 0, cut[1], high)
+    begins, ends, t = np.concatenate([low, right]), np.concatenate([left, high]), np.concatenate([starts, starts])
+    hits = ends - begins
     total = int(hits.sum())
     if not total:
         return none
-    t = np.repeat(side.starts, hits)
-    x = order[np.repeat(low - (np.cumsum(hits) - hits), hits) + np.arange(total)]
-    prior = np.where(t > 0, side.seq[t - 1], 0)
-    first = (prior == 0) | (text[x - 1] != prior)  # else a longer match holds this one
-    t, x = t[first], x[first]
+    t = np.repeat(t, hits)
+    x = order[np.repeat(begins - (np.cumsum(hits) - hits), hits) + np.arange(total)]
     length = np.full(len(t), side.n, np.int64)
     grow = np.arange(len(t))
     while grow.size:
@@ -143,44 +158,57 @@ def match_shard(side: TestSide, docs: list[list[str]]) -> list[np.ndarray]:
     return [doc[x], side.owner[t], length, at[x], side.at[t]]
 
 
+def item_blocks(test: DataFrame, min_words: int) -> Iterator[TestSide]:
+    """The test items (i, t) as blocks of bounded size. They stream through the driver a block at a time."""
+    held: list[tuple[int, str]] = []
+    size = 0
+    for r in test.orderBy("i", "t").toLocalIterator():
+        if held and size + len(r.t) > BLOCK_CHARS:
+            yield TestSide(held, min_words)
+            held, size = [], 0
+        held.append((r.i, r.t))
+        size += len(r.t)
+    yield TestSide(held, min_words)
+
+
 def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text") -> DataFrame:
     """One row for each maximal run of at least ``min_words`` words shared by a document and a test item: ids, ``words``, ``doc_word``, ``item_word``."""
     test = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
-    chars = test.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, -(-int(chars) // BLOCK_CHARS))
     schema = T.StructType([T.StructField("doc_id", documents.schema[doc_id].dataType), T.StructField("item_id", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("words", "doc_word", "item_word")]])
     source = spread(documents.select(doc_id, text).where(F.length(text) >= 2 * min_words - 1))
-
-    def block(k: int) -> DataFrame:
-        rows = test.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).collect()  # at most about BLOCK_CHARS characters
-        held = source.sparkSession.sparkContext.broadcast(sorted((r.i, r.t) for r in rows))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            side = TestSide(held.value, min_words)
-            ids: list[object] = []
-            docs: list[list[str]] = []
-            size = 0
-
-            def flush() -> pa.RecordBatch:
-                doc, item, length, at, start = match_shard(side, docs)
-                return pa.RecordBatch.from_arrays([pa.array([ids[d] for d in doc], batch_type), *[pa.array(x, pa.int64()) for x in (item, length, at, start)]], names=schema.names)
-
-            batch_type = None
-            for batch in batches:
-                batch_type = batch.schema.field(0).type
-                for ident, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ids.append(ident)
-                    docs.append(words_of(body))
-                    size += len(body or "")
-                    if size >= SHARD_CHARS:
-                        yield flush()
-                        ids, docs, size = [], [], 0
-            if ids:
-                yield flush()
-
-        return source.mapInArrow(run, schema)
-
-    return reduce(DataFrame.unionByName, [block(k) for k in range(blocks)])
+    blocks = [source.sparkSession.sparkContext.broadcast(side) for side in item_blocks(test, min_words)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[object] = []
+        docs: list[list[str]] = []
+        size = 0
+        batch_type = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for held in blocks:
+                doc, item, length, at, start = match_shard(held.value, docs)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d in doc], batch_type), *[pa.array(x, pa.int64()) for x in (item, length, at, start)]], names=schema.names)
+                if len(blocks) > 1:
+                    _forget(held)
+
+        for batch in batches:
+            batch_type = batch.schema.field(0).type
+            for ident, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids.append(ident)
+                docs.append(words_of(body))
+                size += len(body or "")
+                if size >= SHARD_CHARS:
+                    yield from flush()
+                    ids, docs, size = [], [], 0
+        if ids:
+            yield from flush()
+
+    return source.mapInArrow(run, schema)
+
+
+def _forget(held: object) -> None:
+    """Let go of a broadcast's value in this Python worker; it is read again from the local file when it is next asked for."""
+    held.__dict__.pop("_value", None)
 
 
 def leaked_items(leaks: DataFrame) -> DataFrame:

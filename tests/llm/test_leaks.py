@@ -53,3 +53,31 @@ def test_blocks_of_items(spark, monkeypatch):
 
 def test_normal_form():
     assert L.words_of("Wasn’t_it ­s­oft​ é <b>X</b>") == ["wasn", "t", "it", "soft", "é", "b", "x", "b"]
+
+
+def test_matches_are_all_maximal_runs():
+    rng = random.Random(8)
+    items = [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(10, 40)))) for i in range(6)]
+    docs = [[rng.choice("abcd") for _ in range(rng.randrange(80))] for _ in range(30)] + [list("abc") * 40]
+    side = L.TestSide(items, 5)
+    got = {tuple(map(int, r)) for r in zip(*L.match_shard(side, docs), strict=True)}
+    want = set()
+    for d, w in enumerate(docs):
+        for i, t in items:
+            v = t.split()
+            for x in range(len(w)):
+                for y in range(len(v)):
+                    if w[x] == v[y] and not (x and y and w[x - 1] == v[y - 1]):
+                        n = 0
+                        while x + n < len(w) and y + n < len(v) and w[x + n] == v[y + n]:
+                            n += 1
+                        if n >= 5:
+                            want.add((d, i, n, x, y))
+    assert got == want
+
+
+def test_a_repeated_phrase_is_not_listed_from_each_of_its_words():
+    phrase = [f"p{k}" for k in range(40)]
+    side = L.TestSide([(1, " ".join(phrase))], 12)
+    doc, item, length, at, start = L.match_shard(side, [phrase * 500])
+    assert len(doc) == 500 and set(length) == {40} and set(start) == {0}
