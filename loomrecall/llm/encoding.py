@@ -1,8 +1,9 @@
 """Token ids of a corpus by a public byte-level BPE vocabulary.
 
-Inside each task the distinct words of a batch become rows of length-bucketed, padded numpy matrices. Each round, every row merges its
-leftmost pair of least rank; pairs are found in an open-addressed hash table, finished rows are taken out and the rest is compacted.
-Words already met are kept in a bounded cache of the Python worker.
+Inside each task the distinct words of a batch become rows of length-bucketed, padded numpy matrices, whatever their length. Each round,
+every row merges its leftmost pair of least rank, and from there to the right every further place of that pair: a pair with the new id
+always ranks after the pair that made it, so these are the row's next merges anyway. Pairs are found in an open-addressed hash table, finished
+rows are taken out and the rest is compacted. Words already met are kept in a bounded cache of the Python worker.
 
 Defined cases: null and empty texts give an empty list; blank texts are encoded like others; strings of special tokens are ordinary
 text; an empty table gives an empty table; repeated rows are encoded each; columns that are not named are not read.
@@ -27,8 +28,9 @@ from loomrecall.session import spread
 TOKENIZERS = os.environ.get("LOOMRECALL_TOKENIZERS", "/opt/tokenizers")
 #: The word pattern of this vocabulary family (fixed value, published with it).
 WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Widths of the padded matrices; longer words are merged one by one in ``merge_long``.
-BUCKETS = (2, 4, 6, 8, 12, 16, 24, 32, 64)
+#: Widths of the narrow matrices; from the last one on they double. Cells of one matrix.
+BUCKETS = (2, 4, 6, 8, 12, 16, 24, 32)
+CELLS = 1 << 21
 #: Entries of the word cache of one Python worker; it is emptied when full.
 CACHE = 200_000
 NONE = np.int32(2**31 - 1)
@@ -95,54 +97,60 @@ def load_vocabulary(name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> dic
     return {"bytes": byte_ids, "left": as_ids(p[0] for p in pairs), "right": as_ids(p[1] for p in pairs), "merged": as_ids("".join(p) for p in pairs)}
 
 
+def _places(hit: np.ndarray) -> np.ndarray:
+    """``hit`` without the places that overlap the one before: of a run of neighbours (as in "aaaa") every other one, from the left."""
+    if not (hit[:, 1:] & hit[:, :-1]).any():
+        return hit
+    at = np.arange(hit.shape[1])
+    begins = np.where(hit & ~np.pad(hit, ((0, 0), (1, 0)))[:, :-1], at, 0)
+    return hit & ((at - np.maximum.accumulate(begins, axis=1)) % 2 == 0)
+
+
 def merge_matrix(ids: np.ndarray, pairs: PairTable) -> np.ndarray:
     """Merge each row (padded with -1) of ``ids`` to its end; the result is padded likewise."""
-    out = ids.copy()
+    out = np.full_like(ids, -1)
     rows = np.arange(len(ids))
+    none = np.full((len(ids), 1), NONE, np.int32)
     rank, merged = pairs.find(ids[:, :-1], ids[:, 1:])
-    width = np.arange(ids.shape[1])
+    rank, merged = np.concatenate([rank, none], axis=1), np.concatenate([merged, np.zeros_like(none)], axis=1)
     while len(rows):
-        at = rank.argmin(axis=1)  # the leftmost one of equal ranks
-        line = np.arange(len(rows))
-        live = rank[line, at] != NONE
+        least = rank.min(axis=1)
+        live = least != NONE
         if not live.all():
-            out[rows[~live]] = ids[~live]
-            ids, rank, merged, rows, at = ids[live], rank[live], merged[live], rows[live], at[live]
-            line = np.arange(len(rows))
+            out[rows[~live], : ids.shape[1]] = ids[~live]
+            ids, rank, merged, rows, least = ids[live], rank[live], merged[live], rows[live], least[live]
             if not len(rows):
                 break
-        ids[line, at] = merged[line, at]
-        take = width + (width > at[:, None])
-        last = take >= ids.shape[1]
-        ids = np.where(last, -1, np.take_along_axis(ids, np.where(last, 0, take), axis=1))
-        cut = take[:, : rank.shape[1]]
-        gone = cut >= rank.shape[1]
-        cut = np.where(gone, 0, cut)
-        rank = np.where(gone, NONE, np.take_along_axis(rank, cut, axis=1))
-        merged = np.where(gone, 0, np.take_along_axis(merged, cut, axis=1))
+        hit = _places(rank == least[:, None])
+        ids[hit] = merged[hit]
+        keep = ids >= 0
+        keep[:, 1:] &= ~hit[:, :-1]
+        size = keep.sum(axis=1)
+        slot = np.arange(size.max()) < size[:, None]
+        line, at = np.nonzero(hit)
+        at = at - np.cumsum(hit, axis=1)[line, at] + 1  # where the merged ones stand in the shorter rows
+
+        def shorter(x: np.ndarray, empty: int, keep: np.ndarray = keep, slot: np.ndarray = slot) -> np.ndarray:
+            y = np.full(slot.shape, empty, np.int32)
+            y[slot] = x[keep]
+            return y
+
+        ids, rank, merged = shorter(ids, -1), shorter(rank, NONE), shorter(merged, 0)
         for side in (at - 1, at):
-            ok = (side >= 0) & (side < rank.shape[1])
+            ok = (side >= 0) & (side + 1 < ids.shape[1])
+            rank[line[~ok & (side >= 0)], side[~ok & (side >= 0)]] = NONE
             r, m = pairs.find(ids[line[ok], side[ok]], ids[line[ok], side[ok] + 1])
             rank[line[ok], side[ok]], merged[line[ok], side[ok]] = r, m
     return out
 
 
-def merge_long(ids: np.ndarray, pairs: PairTable) -> np.ndarray:
-    """Merge one long word. A pair with the new id always ranks after the pair that made it, so all places of the least pair merge in one round, from the left, without overlap."""
-    while len(ids) > 1:
-        rank, merged = pairs.find(ids[:-1], ids[1:])
-        least = rank.min()
-        if least == NONE:
-            break
-        at = np.flatnonzero(rank == least)
-        if len(at) > 1 and (np.diff(at) == 1).any():  # a run such as "aaaa": take every other place of each run
-            start = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, np.arange(len(at)), 0))
-            at = at[(np.arange(len(at)) - start) % 2 == 0]
-        ids[at] = merged[at]
-        keep = np.ones(len(ids), bool)
-        keep[at + 1] = False
-        ids = ids[keep]
-    return ids
+def widths(longest: int) -> Iterator[int]:
+    """The widths of the matrices up to that of the longest word."""
+    yield from BUCKETS
+    width = BUCKETS[-1]
+    while width < longest:
+        width *= 2
+        yield width
 
 
 class Encoder:
@@ -166,21 +174,19 @@ class Encoder:
         sizes = np.array([len(x) for x in raw])
         got: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
         lower = 0
-        for width in BUCKETS:
-            inside = np.flatnonzero((sizes > lower) & (sizes <= width))
+        for width in widths(int(sizes.max(initial=0))):
+            held = np.flatnonzero((sizes > lower) & (sizes <= width))
             lower = width
-            if not len(inside):
-                continue
-            grid = np.full((len(inside), width), -1, np.int32)
-            lens = sizes[inside]
-            mask = np.arange(width) < lens[:, None]
-            grid[mask] = self.bytes[np.concatenate([raw[i] for i in inside])]
-            done = merge_matrix(grid, self.pairs)
-            left = (done >= 0).sum(axis=1)
-            for i, row, n in zip(inside, done, left, strict=True):
-                got[i] = row[:n]
-        for i in np.flatnonzero(sizes > lower):
-            got[i] = merge_long(self.bytes[raw[i]].astype(np.int32), self.pairs)
+            step = max(1, CELLS // width)
+            for inside in (held[k : k + step] for k in range(0, len(held), step)):
+                lens = sizes[inside]
+                grid = np.full((len(inside), int(lens.max())), -1, np.int32)
+                mask = np.arange(grid.shape[1]) < lens[:, None]
+                grid[mask] = self.bytes[np.concatenate([raw[i] for i in inside])]
+                done = merge_matrix(grid, self.pairs)
+                left = (done >= 0).sum(axis=1)
+                for i, row, n in zip(inside, done, left, strict=True):
+                    got[i] = row[:n]
         size = np.array([len(x) for x in got], np.int64)
         base = len(self.flat)
         self.known.update(zip(words, range(len(self.start), len(self.start) + len(words)), strict=True))
