@@ -2,9 +2,10 @@
 
 Each chunk is lexed once. The lexer re-emits the code in canonical layout (one statement per line) and measures the original against it:
 how many lines the canonical form has per original line (extreme expansion marks minified text), how few line shapes make up the text
-(perfect uniformity marks generated text), and which share of the characters are literals (dominance marks data). Comments at the head
-and the end of a file tell of tools and of other authors, and its path of third-party folders. All measures are sums, so a file is the
-sum of its chunks and no file is ever assembled in one place, whatever its size.
+(perfect uniformity marks generated text), and which share of the characters are literals (dominance marks data). Where the layout tells
+nothing, the comments at the head and the end of a file tell of tools and of other authors, and its path of third-party folders. All
+measures are sums over the file: line shapes are counted per file before the four commonest are taken, and a comment run at a file's
+head or end may reach over any number of chunks. So a file gets the same class however it is cut, and none is ever assembled in one place.
 
 Defined cases: of rows with one chunk id the latest counts; null texts add nothing; chunks without a file are ignored; files without
 chunks are judged by their path alone; empty tables give an empty table; other columns are not read.
@@ -12,7 +13,6 @@ chunks are judged by their path alone; empty tables give an empty table; other c
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -20,14 +20,21 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from loomrecall.session import spread
+from loomrecall.session import materialize, spread
 
 #: Canonical lines per original line from which on a text is minified, and the line length it must have.
 EXPANSION = 5.0
 MIN_LINE = 110.0
-#: Share of the lines that the four commonest shapes make up in a uniform text.
+#: Share of the lines that the four commonest shapes make up in a uniform text; less is enough where lines have ``DENSE`` tokens or more.
 UNIFORM = 0.9
+UNIFORM_DENSE = 0.85
+DENSE = 12
+TOP = 4
+#: Lines that are not blank at a file's head and end in which a comment counts even behind code.
+HEAD = 7
+TAIL = 4
 #: Share of literal characters in data.
 LITERAL = 0.8
 CODE = ("ts", "tsx", "js", "jsx", "mjs", "cjs", "py", "go", "rs", "java", "kt", "c", "h", "cc", "cpp", "hpp", "cs", "rb", "php", "swift", "scala", "sh", "sql", "css", "scss", "lua", "pl", "r", "dart", "vue")
@@ -54,32 +61,40 @@ _THIRD = r"(^|/)(vendor|node_modules|bower_components|third_party|third-party|th
 _LINE_COMMENT = re.compile(r"^\s*(?://+|#+|--|/?\*+!?|;+|<!--|\"\"\"|''')\s?(.*)$")
 
 
-def canonical_lines(tokens: list[tuple[str, str]]) -> int:
-    """Lines of the code with one statement, and one bracket of a block, on a line."""
-    lines = depth = 0
-    empty = True
+#: What may stand among the comments at the head of a file, and what may close it.
+_PREAMBLE = re.compile(r"^\s*(?:#!|<\?\w*|[\"']use strict[\"']|import\b|from\s+\S+\s+import\b|package\b|use\s|using\s|#\s*(?:include|pragma|ifndef|define)\b|require\b|module\b|namespace\b|@charset|(?:const|let|var)\b.*\brequire\()")
+_CLOSING = re.compile(r"^\s*[)\]}>;,]+\s*$")
+
+
+def canonical(tokens: list[tuple[str, str]]) -> list[str]:
+    """The code again with one statement, and one bracket of a block, on a line."""
+    lines: list[str] = []
+    line: list[str] = []
+    depth = 0
     for kind, text in tokens:
+        if kind == "w":
+            continue
+        if kind == "n":
+            if line:
+                lines.append(" ".join(line))
+                line = []
+            continue
+        line.append(text)
         if kind == "o":
             if text in "([":
                 depth += 1
             elif text in ")]":
                 depth = max(0, depth - 1)
             if (text == ";" and depth == 0) or text in "{}":
-                lines += 1
-                empty = True
-                continue
-            empty = False
-        elif kind == "n":
-            if not empty:
-                lines += 1
-            empty = True
-        elif kind != "w":
-            empty = False
-    return lines + (not empty)
-
-
-def measure(text: str) -> tuple[int, int, int, int, int, int, int, int, int]:
-    """chars, lines, canonical lines, lines of the four commonest shapes, tokens, literal characters, structural characters, comment characters, lock-file lines."""
+                lines.append(" ".join(line))
+                line = []
+    if line:
+        lines.append(" ".join(line))
+    return lines
+
+
+def measure(text: str) -> tuple[tuple[int, ...], Counter]:
+    """(chars, lines, canonical lines, lines of the four commonest shapes, tokens, literal characters, structural characters, comment characters, lock-file lines), and how often each line shape comes."""
     tokens = [(m.lastgroup, m.group()) for m in _TOKEN.finditer(text)]
     chars = lit = punct = comment = count = 0
     shapes: Counter[str] = Counter()
@@ -87,7 +102,7 @@ def measure(text: str) -> tuple[int, int, int, int, int, int, int, int, int]:
     for kind, t in [*tokens, ("n", "\n")]:
         if kind == "n":
             if shape:
-                shapes["".join(shape[:60])] += 1
+                shapes["".join(shape)] += 1
                 shape = []
             continue
         if kind == "w":
@@ -108,30 +123,59 @@ def measure(text: str) -> tuple[int, int, int, int, int, int, int, int, int]:
             if t in ",[]{}:;+()|":
                 punct += n
             shape.append(t)
-    lines = sum(shapes.values())
-    top = sum(n for _, n in shapes.most_common(4))
-    return chars, lines, canonical_lines(tokens), top, count, lit, punct, comment, len(_LOCK_LINE.findall(text))
+    top = sum(n for _, n in shapes.most_common(TOP))
+    return (chars, sum(shapes.values()), len(canonical(tokens)), top, count, lit, punct, comment, len(_LOCK_LINE.findall(text))), shapes
 
 
-def told(text: str, head: bool) -> tuple[bool, bool]:
-    """Whether comments at the head (or the end) say that a tool, or that somebody else, wrote the file."""
-    lines = [x for x in text.replace("\r", "").split("\n") if x.strip()]
+def told(text: str, head: bool) -> tuple[bool, bool, bool]:
+    """Whether the run of comments at the head (or the end) says that a tool, or that somebody else, wrote the file; and whether the run fills the text.
+
+    At the head, imports and the like may stand in the run; at the end, closing brackets.
+    """
     tool = others = False
-    # The whole run of comment lines at this end of the text, and a few lines at least.
-    run = sum(1 for _ in itertools.takewhile(_LINE_COMMENT.match, lines if head else reversed(lines)))
-    for line in lines[: max(7, run)] if head else lines[-max(4, run) :]:
+    closed = ""
+    lines = text.replace("\r", "").split("\n")
+    for line in lines if head else reversed(lines):
+        if not line.strip():
+            continue
         m = _LINE_COMMENT.match(line)
-        if not m:
+        if closed:
+            body = line.strip()
+            closed = "" if closed in line else closed
+        elif m:
+            body = m.group(1).strip()
+            if head and (block := re.match(r"\s*(/\*|<!--)", line)):
+                end = "*/" if block.group(1) == "/*" else "-->"
+                closed = "" if end in line else end
+        elif (_PREAMBLE if head else _CLOSING).match(line):
             continue
-        body = m.group(1).strip()
+        else:
+            return tool, others, False
         if _TOOL.search(body) and not _ABOUT.search(body):
             tool = True
         elif head and _OTHERS.search(body) and not _OWN.search(body) and not re.match(r"[a-z]+[A-Z]\w* |`", body):
             others = True
-    return tool, others
+    return tool, others, True
+
+
+def near_ends(text: str) -> tuple[int, int | None, int | None, int | None]:
+    """Lines that are not blank; which of the first ``HEAD`` of them tells of a tool and which of somebody else; which of the last ``TAIL``, counted from the end, tells of a tool."""
+    lines = [x for x in text.replace("\r", "").split("\n") if x.strip()]
+    at: list[int | None] = [None, None, None]
+    for k, line in enumerate(lines[:HEAD]):
+        tool, others, _ = told(line, True)
+        if tool and at[0] is None:
+            at[0] = k
+        if others and at[1] is None:
+            at[1] = k
+    for k, line in enumerate(lines[: -TAIL - 1 : -1]):
+        if at[2] is None and told(line, False)[0]:
+            at[2] = k
+    return len(lines), *at
 
 
-FEATURES = "chars long, lines long, canonical long, top long, tokens long, literal long, punct long, comment long, lock long, tool_head boolean, others_head boolean, tool_tail boolean"
+SUMS = ("chars", "lines", "canonical", "top", "tokens", "literal", "punct", "comment", "lock")
+FEATURES = ", ".join(f"{c} long" for c in SUMS) + ", tool_head boolean, others_head boolean, head_only boolean, tool_tail boolean, tail_only boolean, filled int, tool_at int, others_at int, end_at int, shapes array<long>, counts array<int>"
 
 
 def chunk_features(chunks: DataFrame) -> DataFrame:
@@ -143,18 +187,24 @@ def chunk_features(chunks: DataFrame) -> DataFrame:
     schema = T.StructType([*source.schema.fields[:4], *T._parse_datatype_string(FEATURES).fields])
 
     columns = [*source.columns[:4], *names]
+    kinds = [*[pa.int64()] * 9, *[pa.bool_()] * 5, *[pa.int32()] * 4, pa.list_(pa.int64()), pa.list_(pa.int32())]
+    nothing = (*[0] * 9, False, False, True, False, True, 0, None, None, None, [], [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
             rows = []
-            for index, text in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            for text in batch.column(4).to_pylist():
                 if not text:
-                    rows.append((0,) * 9 + (False,) * 3)
+                    rows.append(nothing)
                     continue
-                tool, others = told(text, True) if index == 0 else (False, False)
-                rows.append((*measure(text), tool, others, told(text, False)[0]))
-            cols = list(zip(*rows, strict=True)) or [()] * 12
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], *[pa.array(c, pa.int64()) for c in cols[:9]], *[pa.array(c, pa.bool_()) for c in cols[9:]]], names=columns)
+                sums, shapes = measure(text)
+                tool, others, only = told(text, True)
+                tail, _, last = told(text, False)
+                rows.append((*sums, tool, others, only, tail, last, *near_ends(text), [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in shapes], list(shapes.values())))
+            cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=columns)
 
     return source.mapInArrow(run, schema)
 
@@ -169,26 +219,68 @@ def classify(path: Column) -> Column:
     third = path.rlike(_THIRD)
     minified = code & (c["canonical"] / lines >= EXPANSION) & (c["chars"] / lines >= MIN_LINE) & (c["chars"] >= 200)
     literal = code & (c["tokens"] > 20) & (c["literal"] / body >= 0.35) & ((c["literal"] + c["punct"]) / body >= LITERAL)
-    uniform = code & (c["lines"] >= 10) & (c["top"] / lines >= UNIFORM) & (c["tokens"] / lines >= F.when(ext == "sql", F.lit(9)).otherwise(F.lit(5))) & ~ext.isin("css", "scss", "sh")
+    uniform = code & (c["lines"] >= 10) & (c["top"] / lines >= F.when(c["tokens"] / lines >= DENSE, F.lit(UNIFORM_DENSE)).otherwise(F.lit(UNIFORM))) & (c["tokens"] / lines >= F.when(ext == "sql", F.lit(9)).otherwise(F.lit(5))) & ~ext.isin("css", "scss", "sh")
     lock = (c["lock"] / lines >= 0.5) | (path.rlike(_LOCK_NAME) & (c["lock"] / lines >= 0.2))
     return (
         F.when(lock, "generated")
-        .when(F.coalesce(F.col("tool_head"), F.lit(False)) | F.coalesce(F.col("tool_tail"), F.lit(False)), "generated")
-        .when(F.coalesce(F.col("others_head"), F.lit(False)) | third, "vendored")
         .when(minified, "minified")
         .when(literal, "data")
         .when(uniform, "generated")
+        .when(F.coalesce(F.col("tool_head"), F.lit(False)) | F.coalesce(F.col("tool_tail"), F.lit(False)) | F.coalesce(F.col("tool_near") | F.col("end_near"), F.lit(False)), "generated")
+        .when(F.coalesce(F.col("others_head"), F.lit(False)) | F.coalesce(F.col("others_near"), F.lit(False)) | third, "vendored")
     )
 
 
+def _told_in_file() -> list[Column]:
+    """Flags of a file from its chunks: a head run counts up to the first chunk that holds code, a run at the end from the last one on."""
+    at = F.coalesce(F.col("chunk_index"), F.lit(0))
+    code, last = F.coalesce(F.min(F.when(~F.col("head_only"), at)), F.lit(2**31 - 1)), F.coalesce(F.max(F.when(~F.col("tail_only"), at)), F.lit(-1))
+    return [*[(F.min(F.when(F.col(c), at)) <= code).alias(c) for c in ("tool_head", "others_head")], (F.max(F.when(F.col("tool_tail"), at)) >= last).alias("tool_tail")]
+
+
+def near_in_file(per_chunk: DataFrame) -> DataFrame:
+    """(file_record_id, tool_near, others_near, end_near): markers in the first and last lines of each file, over as many chunks as these lines take.
+
+    Only the first chunks of a file are numbered: a line that is not blank stands in each, so ``HEAD`` chunks hold the first ``HEAD`` lines.
+    """
+    slim = per_chunk.where("filled > 0").select("file_record_id", F.coalesce("chunk_index", F.lit(0)).alias("at"), "filled", "tool_at", "others_at", "end_at")
+    marked = slim.where("tool_at is not null or others_at is not null or end_at is not null").select("file_record_id").distinct()
+    slim = slim.join(marked, "file_record_id", "left_semi")
+
+    def first(order: Column, most: int) -> DataFrame:
+        by = Window.partitionBy("file_record_id").orderBy(order, "filled")
+        few = slim.withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= most)
+        return few.withColumn("before", F.coalesce(F.sum("filled").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+    flag = lambda at, most: F.coalesce(F.max(F.col("before") + F.col(at) < most), F.lit(False))
+    head = first(F.asc("at"), HEAD).groupBy("file_record_id").agg(flag("tool_at", HEAD).alias("tool_near"), flag("others_at", HEAD).alias("others_near"))
+    tail = first(F.desc("at"), TAIL).groupBy("file_record_id").agg(flag("end_at", TAIL).alias("end_near"))
+    return head.join(tail, "file_record_id")
+
+
+def shape_lines(per_chunk: DataFrame, sums: DataFrame) -> DataFrame:
+    """(file_record_id, top): lines of the ``TOP`` commonest shapes of each file, counted over the whole file.
+
+    The sum of the chunks' own commonest is an upper bound, so only files that it leaves in question are counted.
+    """
+    open_ = sums.where(F.col("top") >= F.lit(UNIFORM_DENSE) * F.greatest("lines", F.lit(1))).select("file_record_id")
+    each = per_chunk.select("file_record_id", F.explode(F.arrays_zip("shapes", "counts")).alias("s")).join(open_, "file_record_id", "left_semi")
+    counts = each.groupBy("file_record_id", F.col("s.shapes").alias("shape")).agg(F.sum("s.counts").alias("n"))
+    most = Window.partitionBy("file_record_id").orderBy(F.desc("n"), "shape")
+    return counts.withColumn("rn", F.row_number().over(most)).where(F.col("rn") <= TOP).groupBy("file_record_id").agg(F.sum("n").alias("top"))
+
+
 def classify_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """Per file id of either table: ``file_record_id``, ``path``, ``kind`` (null for hand-written) and the measures."""
     names = [c.split()[0] for c in FEATURES.split(", ")]
-    per_chunk = chunk_features(chunks).groupBy("file_record_id", "chunk_index", "id").agg(F.max_by(F.struct(*names), F.struct("updated_at", *names)).alias("m")).select("file_record_id", "chunk_index", "m.*")
+    latest = chunk_features(chunks).groupBy("file_record_id", "chunk_index", "id").agg(F.max_by(F.struct(*names), F.struct("updated_at", *names)).alias("m")).select("file_record_id", "chunk_index", "m.*")
     # Another id at the same place of a file is no repeated row and adds up as it is.
-    sums = per_chunk.groupBy("file_record_id").agg(*[F.sum(n).alias(n) for n in names[:9]], F.max("tool_head").alias("tool_head"), F.max("others_head").alias("others_head"), F.max_by("tool_tail", F.struct("chunk_index", "tool_tail")).alias("tool_tail"))
+    per_chunk = materialize(latest, "file-chunks")
+    sums = per_chunk.groupBy("file_record_id").agg(*[F.sum(n).alias(n) for n in SUMS], *_told_in_file())
+    sums = materialize(sums, "file-sums")
+    whole = sums.drop("top").join(shape_lines(per_chunk, sums), "file_record_id", "left").join(near_in_file(per_chunk), "file_record_id", "left")
     ids = files.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("file_record_id")).agg(F.max("path").alias("path"))
-    both = ids.join(sums, "file_record_id", "full_outer")
+    both = ids.join(whole, "file_record_id", "full_outer")
     path = F.coalesce(F.col("path"), F.regexp_replace("file_record_id", r"^file-record:(?:project:)?[^:]*:", ""))
     return both.withColumn("path", path).withColumn("kind", classify(F.col("path")))
 

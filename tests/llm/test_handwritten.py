@@ -49,7 +49,22 @@ def test_results_and_empty(spark, ts):
 
 
 def test_lexer():
-    assert H.measure("") == (0,) * 9
-    chars, lines, canonical, top, *_ = H.measure("a;b;c;\n" * 10)
-    assert (lines, canonical) == (10, 30) and top == 10
-    assert H.measure("x" * 300000)[1] == 1
+    assert H.measure("") == ((0,) * 9, {})
+    (chars, lines, canonical, top, *_), shapes = H.measure("a;b;c;\n" * 10)
+    assert (lines, canonical) == (10, 30) and top == 10 and list(shapes.values()) == [10]
+    assert H.measure("x" * 300000)[0][1] == 1
+    tokens = [(m.lastgroup, m.group()) for m in H._TOKEN.finditer("if(a){b(1;2);c}")]
+    assert H.canonical(tokens) == ["if ( a ) {", "b ( 1 ; 2 ) ;", "c }"]
+
+
+def test_classes_do_not_depend_on_the_cut(spark, ts):
+    varied = "".join(f"{'ab' * (i % 5 + 1)} = {'f(' * (i % 7)}x{i}{')' * (i % 7)}{' + y' * (i % 3)}\n" for i in range(60))
+    notice = "".join(f"# line {i} of our notes\n" for i in range(12)) + "# Code generated by protogen v3. DO NOT EDIT.\n" + HAND
+    texts = {p: (t, k) for p, (t, k) in CASES.items() if "lock" not in p} | {"src/p.py": (varied, None), "src/q.py": (notice, "generated"), "src/r.py": ("a = 1\nb = 2\n# notes\n\nc = 3\n# @generated by x (rev 9)\n" + HAND, "generated"), "src/s.py": ("a = 1\n" * 7 + "# @generated by x (rev 9)\n" + HAND, None)}
+    for size in (3, 300):
+        rows = []
+        for p, (t, _) in texts.items():
+            ls = t.rstrip("\n").split("\n")
+            rows += [(f"c:{p}:{i}", f"file-record:p:{p}", i, "\n".join(ls[a : a + size]), ts(1), 5, "clash") for i, a in enumerate(range(0, len(ls), size))]
+        got = H.classify_files(spark.createDataFrame([], FILES), spark.createDataFrame(rows, CHUNKS)).collect()
+        assert {r.path: r.kind for r in got} == {p: k for p, (_, k) in texts.items()}, size
