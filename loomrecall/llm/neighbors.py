@@ -6,11 +6,12 @@ neighbouring centroids, so a query travels once to each cell it probes, not to e
 each pair's approximate cosine with a bound on its error (the norm of the residual's rounding); every pair whose upper bound can still
 reach the threshold and the k-th best lower bound is reranked with exact cosines in double precision. Only the k best of a query leave a cell.
 
-Hot cells are cut into blocks of rows; a task holds one block and streams the queries past it, a batch at a time, and more tasks share
+Lists grow with the root of the group's size. Hot cells are cut into blocks of at most ``BLOCK`` rows and ``BLOCK_BYTES``; a task holds one block and streams the queries past it, a batch at a time, and more tasks share
 a cell's queries where there are many or the cluster has more slots than cells. Vectors that are equal bit for bit are searched once and expanded with
-the first k + 1 ids of their class, which is all that any top k can use.
+the first k + 1 ids of their class, which is all that any top k can use; the rows of a hot class are spread by salts.
 
-Bounds: training reads at most ``TRAIN_ROWS`` rows (and 24 MB) of a group; models are broadcast in batches of at most ``MODEL_BYTES``.
+Bounds: training reads a hash sample of a group, on average at most ``TRAIN_ROWS`` rows, or eight to a list, and at most ``TRAIN_BYTES``;
+models pass through the driver and are broadcast in batches of at most ``MODEL_BYTES``, a model being no larger.
 
 Defined cases: unusable rows (not ready, wrong length, null, empty, non-finite or all-zero) and superseded rows take no part; repeated
 rows count once; of rows with one id and time, the greatest vector counts; ties in cosine go to the smaller id; empty tables give an
@@ -35,13 +36,16 @@ K = 5
 MIN_COSINE = 0.8
 PROBES = 16
 TRAIN_ROWS = 40_000
-TRAIN_BYTES = 24_000_000
+TRAIN_BYTES = 64_000_000
 MODEL_BYTES = 64_000_000
-MAX_LISTS = 4096
-#: Index rows that one task holds at a time, and query rows that one task streams past them.
+#: Index rows and bytes that one task holds at a time, and query rows that one task streams past them.
 BLOCK = 65_536
+BLOCK_BYTES = 64_000_000
 QUERY_BLOCK = 262_144
 ROUNDS = 8
+#: Rows of a class of equal vectors that share one salt, and cells of a matrix of products.
+HOT = 100_000
+CELLS = 1 << 25
 GROUP = ["provider_key", "model", "dimension"]
 
 
@@ -64,11 +68,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
+def _nearest(x: np.ndarray, c: np.ndarray, half: np.ndarray | int = 0) -> np.ndarray:
+    step = max(1, CELLS // len(c))
+    return np.concatenate([(x[i : i + step] @ c.T - half).argmax(1) for i in range(0, len(x), step)])
+
+
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, spherical: bool) -> np.ndarray:
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(ROUNDS):
-        half = 0 if spherical else (c * c).sum(1) / 2
-        near = np.concatenate([(x[i : i + 8192] @ c.T - half).argmax(1) for i in range(0, len(x), 8192)])
+        near = _nearest(x, c, 0 if spherical else (c * c).sum(1) / 2)
         order = np.argsort(near, kind="stable")
         found, start = np.unique(near[order], return_index=True)
         sums = np.add.reduceat(x[order], start, axis=0)
@@ -76,19 +84,28 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, spherical: bool) ->
     return c
 
 
+def list_count(n: int, dim: int) -> int:
+    """Inverted lists of a group of ``n`` vectors: they grow with its root, as far as a model's bytes allow."""
+    return int(max(1, min(4 * round(np.sqrt(n)), MODEL_BYTES // (8 * dim))))
+
+
+def block_rows(dim: int) -> int:
+    """Index rows of one block."""
+    return int(max(1024, min(BLOCK, BLOCK_BYTES // (8 * dim))))
+
+
 def train(x: np.ndarray, n: int, seed: int = 7) -> dict[str, np.ndarray]:
     """Coarse centroids, their cells and residual codebooks of unit vectors ``x``, a sample of ``n``."""
     rng = np.random.default_rng(seed)
     x = x.astype(np.float32)
-    lists = int(min(MAX_LISTS, len(x), max(1, 4 * round(np.sqrt(n)))))
+    lists = min(list_count(n, x.shape[1]), len(x))
     coarse = _kmeans(x, lists, rng, True)
-    cells = max(1, min(lists, -(-n // BLOCK)))
+    cells = max(1, min(lists, -(-n // block_rows(x.shape[1]))))
     middle = _kmeans(coarse, cells, rng, True)
     sub = max(4, -(-x.shape[1] // 32))
-    near = np.concatenate([(x[i : i + 8192] @ coarse.T).argmax(1) for i in range(0, len(x), 8192)])
-    parts = _split(x - coarse[near], sub)
+    parts = _split(x - coarse[_nearest(x, coarse)], sub)
     books = np.stack([_pad(_kmeans(p, min(256, len(p)), rng, False), 256) for p in parts])
-    return {"coarse": coarse, "cell": (coarse @ middle.T).argmax(1).astype(np.int32), "books": books}
+    return {"coarse": coarse, "cell": _nearest(coarse, middle).astype(np.int32), "books": books}
 
 
 def _pad(c: np.ndarray, n: int) -> np.ndarray:
@@ -114,12 +131,16 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _models(vectors: DataFrame) -> list[dict]:
-    """One trained model per group, trained in one task each over a bounded sample."""
+def train_models(vectors: DataFrame) -> DataFrame:
+    """One trained model per group, each trained in one task over a bounded sample: GROUP columns, gid, coarse, cell, books, parts."""
     counts = vectors.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_n"))
-    limit = F.least(F.lit(TRAIN_ROWS), F.greatest(F.lit(256), (F.lit(TRAIN_BYTES) / (F.col("dimension") * 4)).cast("int")))
-    order = Window.partitionBy(*GROUP).orderBy(F.xxhash64("record_id"), "record_id")
-    sample = vectors.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= TRAIN_ROWS).where(F.col("_rn") <= limit)
+    size = F.col("dimension").cast("double")
+    lists = F.least(F.lit(4.0) * F.sqrt("_n"), F.lit(MODEL_BYTES) / (8 * size))
+    wanted = F.least(F.greatest(F.lit(float(TRAIN_ROWS)), 8 * lists), F.greatest(F.lit(256.0), F.lit(TRAIN_BYTES) / (4 * size)))
+    sizes = counts.select(*[F.col(g).alias(f"_{g}") for g in GROUP], "_n", wanted.alias("_rows"))
+    place = F.pmod(F.xxhash64("record_id"), F.lit(1 << 31)).cast("double") / F.lit(float(1 << 31))
+    # No rows are numbered: each is in the sample by its own hash, so a hot group is thinned out where it is read.
+    sample = vectors.join(sizes, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in GROUP]).where(place * F.col("_n") < F.col("_rows")).select(*GROUP, "embedding", "_n")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x = _unit(np.stack(pdf["embedding"].to_numpy()).astype(np.float64))
@@ -127,19 +148,19 @@ def _models(vectors: DataFrame) -> list[dict]:
         return pd.DataFrame([{**{g: pdf[g].iloc[0] for g in GROUP}, "coarse": m["coarse"].tobytes(), "cell": m["cell"].tobytes(), "books": m["books"].astype(np.float32).tobytes(), "parts": len(m["books"])}])
 
     fields = [vectors.schema[g] for g in GROUP] + [T.StructField(c, T.BinaryType()) for c in ("coarse", "cell", "books")] + [T.StructField("parts", T.IntegerType())]
-    fitted = sample.join(counts.select(*[F.col(g).alias(f"_{g}") for g in GROUP], "_n"), [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in GROUP]).groupBy(*GROUP).applyInPandas(fit, T.StructType(fields))
-    return [r.asDict() for r in materialize(fitted, "ivf-models").toLocalIterator()]
+    return materialize(sample.groupBy(*GROUP).applyInPandas(fit, T.StructType(fields)), "ivf-models")
 
 
-def _batches(models: list[dict]) -> Iterator[list[dict]]:
+def model_batches(fitted: DataFrame) -> Iterator[list[dict]]:
+    """The models as lists of at most ``MODEL_BYTES`` (or of one model), read one after another."""
     held: list[dict] = []
     size = 0
-    for m in models:
-        own = len(m["coarse"]) + len(m["books"])
+    for gid, r in enumerate(fitted.toLocalIterator()):
+        own = len(r["coarse"]) + len(r["books"])
         if held and size + own > MODEL_BYTES:
             yield held
             held, size = [], 0
-        held.append(m)
+        held.append(r.asDict() | {"gid": gid})
         size += own
     if held:
         yield held
@@ -174,8 +195,9 @@ def place(reps: DataFrame, models: list[dict], probes: int, counts: bool = False
                 dim = model["coarse"].shape[1]
                 raw = _vectors(batch.column(4).take(pa.array(rows)), dim).astype(np.float32)
                 ids = np.array(batch.column(3).take(pa.array(rows)).to_pylist(), object)
-                for a in range(0, len(rows), 4096):
-                    part = raw[a : a + 4096]
+                step = max(16, min(4096, CELLS // len(model["coarse"])))
+                for a in range(0, len(rows), step):
+                    part = raw[a : a + step]
                     x = _unit(part.astype(np.float64)).astype(np.float32)
                     dots = x @ model["coarse"].T
                     p = min(probes, dots.shape[1])
@@ -190,7 +212,7 @@ def place(reps: DataFrame, models: list[dict], probes: int, counts: bool = False
                         continue
                     codes, err = encode(x, own, model)
                     vec = [v.tobytes() for v in part]
-                    name = ids[a : a + 4096]
+                    name = ids[a : a + step]
                     n = len(part)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, gid, np.int32)), pa.array(model["cell"][own]), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, bool)), pa.array(name, pa.string()), pa.array(vec, pa.binary()), pa.array([o.tobytes() for o in own.astype(np.int32)], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(err.astype(np.float32))], names=names)
                     cells = model["cell"][near]
@@ -281,8 +303,9 @@ def search(reps: DataFrame, models: list[dict], k: int, floor: float, probes: in
     sizes = materialize(cell_sizes(reps, models, probes).where("n > 0"), "ivf-sizes")
     share = max(1, -(-slots(spark) // max(1, sizes.where("is_query").count())))
     rows_of = lambda q: F.coalesce(F.max(F.when(F.col("is_query") == q, F.col("n"))), F.lit(0))
-    blocks = sizes.groupBy("gid", "cell").agg(
-        F.greatest(F.lit(1), F.ceil(rows_of(False) / F.lit(BLOCK))).cast("int").alias("nb"), F.greatest(F.lit(share), F.ceil(rows_of(True) / F.lit(QUERY_BLOCK))).cast("int").alias("nq")
+    held_rows = spark.createDataFrame([(m["gid"], block_rows(m["dimension"])) for m in models], "gid int, block int")
+    blocks = sizes.join(held_rows, "gid").groupBy("gid", "cell").agg(
+        F.greatest(F.lit(1), F.ceil(rows_of(False) / F.first("block"))).cast("int").alias("nb"), F.greatest(F.lit(share), F.ceil(rows_of(True) / F.lit(QUERY_BLOCK))).cast("int").alias("nq")
     )
     cut = place(reps, models, probes).drop("part").join(blocks, ["gid", "cell"])
     h = F.pmod(F.xxhash64("record_id"), F.lit(2**31 - 1))
@@ -317,25 +340,38 @@ def search(reps: DataFrame, models: list[dict], k: int, floor: float, probes: in
     return hits.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= k).drop("_rn")
 
 
+def class_members(vectors: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, record_id, n_same) of every record whose vector occurs more than once.
+
+    Classes meet their records by the hash of the vector and a salt, so that a class of a third of all rows is spread. The salted hashes
+    that are broadcast are at most one for every ``HOT`` rows.
+    """
+    repeated = reps.where("n_same > 1").select(F.col("record_id").alias("rep"), *[F.col(g).alias(f"_{g}") for g in GROUP], F.col("embedding").alias("_e"), "n_same", F.xxhash64("embedding").alias("h"))
+    hot = repeated.where(F.col("n_same") > HOT).groupBy("h").agg(F.max(F.ceil(F.col("n_same") / F.lit(HOT))).cast("int").alias("salts"))
+    hot = F.broadcast(materialize(hot, "vector-hot"))
+    salts = F.coalesce("salts", F.lit(1))
+    left = vectors.withColumn("h", F.xxhash64("embedding")).join(hot, "h", "left").withColumn("salt", F.pmod(F.xxhash64("record_id"), salts.cast("long")).cast("int")).drop("salts")
+    right = repeated.join(hot, "h", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts").withColumnRenamed("h", "_h").withColumnRenamed("salt", "_salt")
+    same = [F.col("h") == F.col("_h"), F.col("salt") == F.col("_salt"), *[F.col(g).eqNullSafe(F.col(f"_{g}")) for g in GROUP], F.col("embedding") == F.col("_e")]
+    return left.join(right, same).select("rep", "record_id", "n_same")
+
+
 def similar_vectors(rows: DataFrame, k: int = K, min_cosine: float = MIN_COSINE, probes: int = PROBES) -> DataFrame:
     """The ``k`` most similar records of every usable record with at least ``min_cosine``: record_id, neighbor_id, cosine, rank (1 is best)."""
     vectors = materialize(usable_vectors(rows), "vectors")
-    same = Window.partitionBy(*GROUP, "embedding").orderBy("record_id")
     reps = vectors.groupBy(*GROUP, "embedding").agg(F.min("record_id").alias("record_id"), F.count(F.lit(1)).alias("n_same"))
     reps = materialize(reps, "vector-classes")
-    models = [m | {"gid": i} for i, m in enumerate(_models(reps))]
-    hits = None
-    for some in _batches(models):
-        keys = reps.sparkSession.createDataFrame([tuple(m[g] for g in GROUP) for m in some], T.StructType([reps.schema[g] for g in GROUP])) if len(some) < len(models) else None
-        own = reps if keys is None else reps.join(keys, GROUP, "left_semi")
-        part = search(spread(own) if keys is None else own, some, k, min_cosine, probes)
-        hits = part if hits is None else hits.unionByName(part)
-    if hits is None:
-        hits = reps.sparkSession.createDataFrame([], "qid string, rid string, cosine double")
-    hits = materialize(hits, "ivf-hits")
+    fitted = train_models(reps)
+    groups = fitted.count()
+    hits = reps.sparkSession.createDataFrame([], "qid string, rid string, cosine double")
+    for some in model_batches(fitted):
+        own = spread(reps)
+        if len(some) < groups:
+            keys = reps.sparkSession.createDataFrame([tuple(m[g] for g in GROUP) for m in some], T.StructType([T.StructField(f"_{g}", reps.schema[g].dataType) for g in GROUP]))
+            own = reps.join(keys, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in GROUP], "left_semi")
+        hits = hits.unionByName(materialize(search(own, some, k, min_cosine, probes), "ivf-hits"))
     # Back from classes of equal vectors to records: the first k + 1 ids of a class are all that a top k can use.
-    repeated = reps.where("n_same > 1").select(F.col("record_id").alias("rep"), *[F.col(g).alias(f"_{g}") for g in GROUP], F.col("embedding").alias("_e"), "n_same")
-    members = vectors.join(repeated, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in GROUP] + [F.col("embedding") == F.col("_e")]).select("rep", "record_id", "n_same")
+    members = class_members(vectors, reps)
     lead = members.withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy("record_id"))).where(F.col("at") <= k + 1)
     pairs = hits.select(F.col("qid").alias("q"), F.col("rid").alias("r"), "cosine")
     targets = pairs.join(lead.where(F.col("at") <= k).select(F.col("rep").alias("r"), F.col("record_id").alias("r2")), "r", "left").select("q", F.coalesce("r2", "r").alias("neighbor_id"), "cosine")
@@ -343,7 +379,10 @@ def similar_vectors(rows: DataFrame, k: int = K, min_cosine: float = MIN_COSINE,
     small = members.where(F.col("n_same") <= k).select(F.col("rep").alias("q"), F.col("record_id").alias("q2"))
     large = members.where(F.col("n_same") > k).select(F.col("rep").alias("q")).distinct()
     outer = targets.join(large, "q", "left_anti").join(small, "q", "left").select(F.coalesce("q2", "q").alias("record_id"), "neighbor_id", "cosine")
-    inner = members.select("rep", "record_id").join(lead.select("rep", F.col("record_id").alias("neighbor_id")), "rep").where("record_id != neighbor_id").select("record_id", "neighbor_id", F.lit(1.0).alias("cosine"))
+    salts = F.ceil(F.col("n_same") / F.lit(HOT)).cast("int")
+    firsts = lead.select("rep", F.col("record_id").alias("neighbor_id"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    spread_out = members.select("rep", "record_id", F.pmod(F.xxhash64("record_id"), salts.cast("long")).cast("int").alias("salt"))
+    inner = spread_out.join(firsts, ["rep", "salt"]).where("record_id != neighbor_id").select("record_id", "neighbor_id", F.lit(1.0).alias("cosine"))
     rank = Window.partitionBy("record_id").orderBy(F.desc("cosine"), "neighbor_id")
     return outer.unionByName(inner).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 

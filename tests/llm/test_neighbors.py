@@ -51,6 +51,11 @@ def test_copies_ties_and_odd_rows(spark):
     assert N.similar_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_lists_grow():
+    assert [N.list_count(n, 64) for n in (10**4, 10**6, 10**8)] == [400, 4000, 40_000] and N.list_count(10**12, 1536) == 5208
+    assert N.block_rows(64) == 65_536 and N.block_rows(1536) == 5208
+
+
 def test_quantizer_bounds():
     rng = np.random.default_rng(1)
     x = N._unit(rng.normal(size=(500, 20))).astype(np.float32)
@@ -61,3 +66,16 @@ def test_quantizer_bounds():
     approx = m["coarse"][near] + parts
     q = N._unit(rng.normal(size=(50, 20)))
     assert (np.abs(q @ x.T - q @ approx.T) <= err[None, :] + 1e-5).all()
+
+
+def test_hot_classes_many_models_and_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(N, "HOT", 3)
+    monkeypatch.setattr(N, "MODEL_BYTES", 9_000)
+    monkeypatch.setattr(N, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    rows = [row(f"{p}{i:03d}", rng.normal(size=6), p=p) for p in "abc" for i in range(60)]
+    rows += [row(f"hot{i:02d}", rows[5][5], p="a") for i in range(40)] + [row("none1", rows[3][5], p=None), row("none2", rows[3][5], p=None)]
+    got = {tuple(r) for r in N.similar_pairs(N.similar_vectors(spark.createDataFrame(rows, SCHEMA), probes=64)).collect()}
+    want = brute([r for r in rows if r[1]]) | {("none1", "none2")}
+    assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
+    assert {x for x in got if x[0].startswith("hot") and x[1].startswith("hot")} == {x for x in want if x[0].startswith("hot") and x[1].startswith("hot")}
