@@ -1,9 +1,9 @@
 """Personal information in free text: found, and replaced by keyed surrogates or typed placeholders.
 
 Each field is scanned for emails (plain, spelled out, encoded), phone numbers, numbers of personal papers, postal addresses and names of
-people. Replacement is keyed (HMAC): the same entity always gets the same surrogate, of its own type, script, gender and format.
-Surrogates are assigned on the distinct parts of all entities as a Spark table, and a collision check gives a fresh draw to all but one
-of the parts that met on one surrogate, so different entities stay different and repeated mentions stay recognizable.
+people, and each entity is replaced by a keyed surrogate of its own kind (``surrogates``) or a typed placeholder. Surrogates are checked on
+the distinct parts of all entities as a Spark table: parts that meet on one surrogate, or on a part that really occurs, are drawn again, so
+different entities stay different and repeated mentions stay recognizable. What is found is what was replaced.
 
 Defined cases: null and empty fields hold nothing; repeated rows count once; JSON fields are read string by string with their escapes
 decoded, broken JSON is read as plain text; whole texts of any length are read; empty tables give empty tables; extra columns are not read.
@@ -11,30 +11,24 @@ decoded, broken JSON is read as plain text; whole texts of any length are read;
 
 from __future__ import annotations
 
-import hashlib
-import hmac
+import itertools
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
-from urllib.parse import unquote
 
 import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from loomrecall.llm.surrogates import PARTICLES, draw, luhn, mark_of, parts_of, rewrite
+from loomrecall.llm.words import GIVEN
 from loomrecall.session import materialize, spread
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 
-#: Given names of women and men (a word list; more can be passed to the operators).
-FEMALE = frozenset("ágnes agnes alina amelie ana anastasia anja anna anneke aisha astrid aylin beatriz birgit camille carla carmen caroline catarina céline chiara chloé claire daniela edda elena elif elise elizabeth emily emma eva fatima fatou francesca frida gabriela giulia greta hana hannah heidi helena ingrid ines irina isabel jana jasmin jennifer jessica johanna julia karin katarina katya laura leila lena linda lucia madeleine maëlle margarita maria marisa marta mei mina mirela monika nadia natalia ngozi nina noor olga ottilie patricia paula petra pilar priya rebecca rosa ruth samira sarah selma sofia stella susanne svetlana tamsin tatiana valentina vera wanda ximena yasmin yuna zofia zoë ελένη μαρία олеся анна мария ольга елена".split())
-MALE = frozenset("abdul ahmed alejandro aleksander andreas anton antonio arjun bjarne boris bruno carlos christian christopher daniel dario darius david diego dimitri dmitri edward emeka emil enrique erik farid felix fernando francesco friedrich georg giovanni gustav hans hassan heinrich henrik hiroshi hugo ibrahim igor ivan ivor jakob jamal jan javier jens joão jonas jonathan jorge josef juan karl kenji khalid klaus kofi kwame lars leopold liam lorenzo luca lukas mateo matthias mehmet michael mikhail mohammed nikolai omar oskar otto pablo pavel pedro pierre quentin rafael raj ravi robert roberto samuel sergei stefan sven søren thiago thomas tomas ulrik viktor vladimir wei werner wilhelm wim yusuf νίκος γιώργος мирослав иван дмитрий сергей александр".split())
-GIVEN = FEMALE | MALE
-_TITLE_F = frozenset(("mrs", "ms", "miss", "frau", "mme", "mlle", "madame", "señora", "sra", "signora", "doña"))
-
 _EMAIL = regex.compile(
     r"""(?<![\w.+%@/-])(?:mailto:)?(?:\\?"[\w.+ -]{1,64}\\?"|[\p{L}\p{N}][\p{L}\p{N}._+'-]{0,63})(?:@|%40|&\#64;|&\#x40;|&commat;|\\u0040|＠|﹫|\s?[\[({<]\s?(?:at|AT|At|@)\s?[\])}>]\s?)(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,62})(?:\.|\s?[\[({]\s?(?:dot|DOT|\.)\s?[\])}]\s?|%2[Ee]|&\#46;))+\p{L}{2,24}(?![\p{L}\p{N}_])"""
     r"""|(?<![\w.+@-])[\p{L}\p{N}][\p{L}\p{N}._+'-]{0,63}\s(?:at|AT)\s(?:[\p{L}\p{N}][\p{L}\p{N}-]{0,62}\s(?:dot|DOT)\s)+\p{L}{2,24}(?![\p{L}\p{N}])"""
@@ -83,17 +77,34 @@ _FOLLOW = re.compile(
 #: Role nouns of components: two capitalized words that end in one name no person.
 _ROLE = frozenset("guard check blender worker writer index indexer observer holder tracker comparer importer exporter scanner builder cache store log filter pool loop marker list timer step pass queue dispatcher inspector refresher poller planner sweep shim stage trimmer registry switcher panel reader job matcher vector budget engine service server client manager handler router loader parser runner engineer team bot agent system project board report desk office map graph tool hook table node record token session bridge gateway monitor controller adapter module process task thread lock lease band box page view mode state flow path line key file alpha beta gamma delta build release sprint".split())
 _STOP = frozenset("the a an it its see we open both version next don't when if until once since unless while because without for with only as on at in of after during before not no yes this that these those there here what why how who can could should would may please reviewed assigned waiting thanks regards merci gruß call text send left invoice ship verification moved main project calle rue via po box ip in i you he she they from to and or but by is was are were be been has had have do does did new old just also then than so such more most very all any each every some one two three der die das und le la les et el los las y dear hi hello cc stand état estado during note ticket item".split())
+#: First words of titles, places, days and products.
+_NO_FIRST = frozenset("monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december project product team group san santa saint north south east west upper lower great grand visual google microsoft apple amazon open github gitlab apache product senior junior chief general vice last first next every each no good bad mean quiet".split())
 _W = r"\p{L}[\p{L}\p{M}'’-]*"
 _PART = r"(?:(?i:van der|van den|van de|von der|de la|de los|van|von|vom|zu|de|del|della|di|da|dos|du|le|la|el|al|bin|ibn|ter|ten|af|av)\s+)?"
 _TITLE = regex.compile(rf"(?<![\p{{L}}\p{{N}}_])(?P<t>Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Herr|Hr|Frau|Fr|Monsieur|Madame|Mme|Mlle|Señora?|Sra?|Signora?|Don|Doña|Sir|Lady|Mister)\.?\s+(?:Dr\.?\s+)?(?P<n>(?:\p{{Lu}}\.\s?)?{_PART}(?:al-|el-|O['’]|d['’])?\p{{Lu}}{_W[5:]}(?: \p{{Lu}}{_W[5:]})?)")
 _INITIAL = regex.compile(rf"(?<![\p{{L}}\p{{N}}_.])(?:\p{{Lu}}\.\s?){{1,2}}{_PART}(?:al-|O['’])?(?P<s>\p{{Lu}}[\p{{L}}'’-]{{2,}})")
-_PAIR = regex.compile(rf"(?<![\p{{L}}\p{{N}}_.@/-])(?P<g>{_W})")
 _REST = regex.compile(rf"[ \t]+(?P<x>(?:\p{{Lu}}\.(?!\p{{L}})[ \t]*)?(?P<p>{_PART})(?P<s>{_W}))")
 _COMMA = regex.compile(rf"(?<![\p{{L}}\p{{N}}_.@/-])(?P<s>{_PART}(?:al-|O['’])?\p{{Lu}}[\p{{L}}\p{{M}}'’-]+),[ \t](?P<g>{_W})(?![\p{{L}}\p{{N}}_@])")
 _FOREIGN = regex.compile(r"(?<![\p{L}\p{N}_])(?:(?=\p{Cyrillic})\p{Lu}[\p{Cyrillic}-]+(?:\s\p{Lu}[\p{Cyrillic}-]+){1,2}|(?=\p{Greek})\p{Lu}[\p{Greek}-]+(?:\s\p{Lu}[\p{Greek}-]+){1,2})(?![\p{L}\p{N}_])")
 _CARRIER = regex.compile(
     rf"(?i:\b(?:reviewed by|signed-off-by:?|co-authored-by:?|author:?|written by|approved by|reported by|my name is|i am|assigned to|cc:|thanks,|regards,|cheers,|gruß,|grüße,|viele grüße,|merci à|cordialement,|saludos,|contact card:|contact:|customer|client:|patient|employee|owner[:=]|user=|name[:=]|taken over by|i paired with|in the call|please ask|patch from|it was|waiting for|according to|notes are by|with)\s*)(?P<n>(?:\p{{Lu}}[\p{{L}}\p{{M}}'’-]+)(?:\s\p{{Lu}}[\p{{L}}\p{{M}}'’-]+)?\s{_PART}(?:al-|O['’])?\p{{Lu}}[\p{{L}}\p{{M}}'’-]+)(?![\p{{L}}\p{{N}}_(])"
 )
+#: What people do, and what is done to people: two capitalized words there name a person, whatever their given name.
+_DOES = r"(?:said|says|wrote|writes|asked|asks|replied|answered|confirmed|approved|signed|joined|called|emailed|phoned|noticed|suggested|proposed|agreed|mentioned|explained|complained|apologi[sz]ed|resigned|moved to|lives|works (?:at|for|in)|sagte|schrieb|fragte|a dit|a écrit|dijo|escribió)"
+_DONE_TO = r"(?:asked|told|met|emailed|called|phoned|thanked|interviewed|hired|invited|greeted|visited|spoke (?:to|with)|talked (?:to|with)|(?:e-?mail(?:ed)?|message|letter|call|invoice|note) (?:to|from)|emailed to|born to|married to|signed by|sent by|traf|fragte)"
+_UP = "A-ZÀ-ÖØ-Þ\u0100-\u017fΑ-ΩА-Я"
+#: Two capitalized words, with an initial or a particle between them.
+_TWO = re.compile(rf"(?<![\w.@/-])[{_UP}][\w'’-]+ (?:[{_UP}]\. )?(?:(?:van der|van den|van de|von der|de la|de los|van|von|zu|de|del|della|di|da|dos|du|le|la|el|al|bin|ibn|ter|af) )?(?:al-|O['’])?[{_UP}][\w'’-]+")
+_THEN = re.compile(rf",?(?:'s (?:phone|email|address|manager)| (?:who |also |then |just )?{_DOES}\b)")
+_BEFORE = re.compile(rf"\b{_DONE_TO} $")
+_MORE = re.compile(rf" [{_UP}]")
+#: Chinese names, mobile numbers and addresses, where a word says what they are.
+_HAN_SIGN = regex.compile(r"\p{Han}")
+_HAN_FAMILY = "王李张刘陈杨黄赵周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹黎易常武乔贺赖龚文"
+_HAN_NAME = regex.compile(rf"(?:联系人|姓名|作者|申请人|收件人|负责人|客户|员工)[:：是为]?\s*(?P<n>[{_HAN_FAMILY}]\p{{Han}}{{1,2}})(?!\p{{Han}})|(?<!\p{{Han}})(?P<m>[{_HAN_FAMILY}]\p{{Han}}{{0,2}})(?=先生|女士|小姐|老师|经理|博士|教授)")
+_HAN_PHONE = regex.compile(r"(?:电话|手机|联系方式|号码)[:：是为]?\s*(?P<n>(?:\+?86[- ]?)?1[3-9]\d[- ]?\d{4}[- ]?\d{4})(?!\d)")
+_HAN_ADDRESS = regex.compile(r"(?:\p{Han}{2,9}?[省市区县])+\p{Han}{1,12}?[路街道巷]\d+号(?:\d+[楼室])?")
+_BESIDE, _WITHIN = "_.@/-", "'’-"
 _ANY_WORD = re.compile(r"[^\W\d_]+")
 _CARRIER_GATE = ("by", "author", "my name", "i am", "assigned", "cc:", "thanks", "regards", "cheers", "grü", "gruß", "merci", "cordial", "saludos", "contact", "customer", "client", "patient", "employee", "owner", "user", "name", "paired", "the call", "please ask", "patch from", "it was", "waiting", "according", "with")
 _CAMEL = re.compile(r"[a-z][A-Z]")
@@ -148,7 +159,7 @@ def find_entities(text: str, given: frozenset[str] = GIVEN) -> list[tuple[str, i
                     continue
                 _add(spans, "id_number", a, b, text)
             for m in _CARD.finditer(text):
-                if _luhn(m.group()):
+                if luhn(re.sub(r"\D", "", m.group())):
                     _add(spans, "id_number", *m.span(), text)
             for m in _PHONE.finditer(text):
                 digits = sum(c.isdigit() for c in re.split(r"(?i)ext|x|#", m.group())[0])
@@ -167,6 +178,11 @@ def find_entities(text: str, given: frozenset[str] = GIVEN) -> list[tuple[str, i
             elif m.group("c") and not _low_address(text, m):
                 continue
             _add(spans, "address", a, b, text)
+    if not text.isascii() and _HAN_SIGN.search(text):
+        for kind, form in (("phone", _HAN_PHONE), ("address", _HAN_ADDRESS), ("name", _HAN_NAME)):
+            for m in form.finditer(text):
+                group = 0 if kind == "address" else "n" if m.group("n") else "m"
+                _add(spans, kind, *m.span(group), text)
     _names(text, low, spans, given)
     return sorted(spans, key=lambda s: s[1])
 
@@ -190,26 +206,34 @@ def _plausible_id(v: str, whole: str) -> bool:
     return digits >= 2 and len(v.replace(" ", "").replace("-", "")) >= 6 and not re.fullmatch(r"\d{1,2} [A-Z]?\w*", v)
 
 
-def _luhn(s: str) -> bool:
-    d = [int(c) for c in s if c.isdigit()][::-1]
-    return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0
+def _places(text: str, low: str, names: set[str]) -> list[tuple[int, int]]:
+    """Where the given ``names`` stand as whole words, in order."""
+    if len(low) != len(text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    out = []
+    for name in names:
+        at = low.find(name)
+        while at >= 0:
+            end = at + len(name)
+            before, after = text[at - 1 : at], text[end : end + 1]
+            if not (before.isalnum() or before in _BESIDE and before) and not (after.isalpha() or after in _WITHIN and after or unicodedata.category(after or " ")[0] == "M"):
+                out.append((at, end))
+            at = low.find(name, end)
+    return sorted(out)
 
 
 def _names(text: str, low: str, spans: list, given: frozenset[str]) -> None:
-    known = not given.isdisjoint(_ANY_WORD.findall(low))
+    known = given.intersection(_ANY_WORD.findall(low))
     if known and "," in text:
         for m in _COMMA.finditer(text, overlapped=True):
             if m.group("g").lower() in given and m.group("g")[0].isupper() and _surname(m.group("s").split()[-1], False):
                 _add(spans, "name", *m.span(), text)
-    for m in _PAIR.finditer(text) if known else ():
-        g = m.group("g")
-        first = g.lower()
-        if first not in given:
-            continue
+    for start, stop in _places(text, low, known) if known else ():
+        g = text[start:stop]
         if not g[0].isupper() and not g.islower():
             continue
         lower = g.islower()
-        at, end = m.end(), m.end()
+        at = end = stop
         found = False
         for _ in range(3):
             r = _REST.match(text, at)
@@ -226,16 +250,16 @@ def _names(text: str, low: str, spans: list, given: frozenset[str]) -> None:
             if _surname(w, lower):
                 end, found = r.end(), True
             break
-        init = regex.compile(r"[ \t]+(\p{Lu})\.(?!\p{L}{1,2}\.)").match(text, m.end())
+        init = regex.compile(r"[ \t]+(\p{Lu})\.(?!\p{L}{1,2}\.)").match(text, stop)
         if not found and init and not lower:
             end, found = init.end(), True
         if found:
-            _add(spans, "name", m.start(), end, text)
+            _add(spans, "name", start, end, text)
     for m in _TITLE.finditer(text):
         n = m.group("n")
         while n and not _surname(regex.split(r"\s", n)[-1], False):
             n = n.rpartition(" ")[0].rstrip()
-        if n and not (len(n.split()) > 1 and all(w.lower() in _PARTICLES for w in n.split())):
+        if n and not (len(n.split()) > 1 and all(w.lower() in PARTICLES for w in n.split())):
             _add(spans, "name", m.start(), m.start("n") + len(n), text)
     if "." in text:
         for m in _INITIAL.finditer(text):
@@ -250,19 +274,34 @@ def _names(text: str, low: str, spans: list, given: frozenset[str]) -> None:
         ws = m.group("n").split()
         if all(_surname(w, False) or w.lower().rstrip(".") in ("van", "von", "de", "del", "di", "da", "la", "le", "der", "den", "al", "du") for w in ws) and not any(_CAMEL.search(w) and not w.startswith(("Mac", "Mc")) for w in ws):
             _add(spans, "name", *m.span("n"), text)
+    m = _TWO.search(text)
+    while m:
+        if _acting(text, m):
+            _add(spans, "name", *m.span(), text)
+        m = _TWO.search(text, m.start() + len(m.group().split()[0]))
 
 
-_JSON_STRING = re.compile(r'"(?:[^"\\]|\\.)*"')
+def _acting(text: str, m: re.Match) -> bool:
+    """Whether two capitalized words do, or suffer, what people do."""
+    a, b = m.span()
+    if not _THEN.match(text, b) and (not _BEFORE.search(text, max(0, a - 24), a) or text[b : b + 1] in ("(", "-", "_") or _MORE.match(text, b)):
+        return False
+    ws = m.group().split()
+    named = all(_surname(w, False) or len(w) == 2 for w in ws if w[0].isupper()) and not any(_CAMEL.search(w) for w in ws)
+    return named and ws[0].lower() not in _NO_FIRST and text[max(0, a - 4) : a].lower() not in ("the ", "der ", "die ", "das ")
+
+
+_JSON_STRING = re.compile(r'"(?:[^"\\]|\\.)*+"(?P<key>\s*:)?')
 
 
 def field_strings(text: str, is_json: bool) -> list[tuple[int, int, str]]:
-    """(start, end, decoded text) of the strings to scan: the string values of a JSON text, or the text itself."""
+    """(start, end, decoded text) of the strings to scan: the string values (not the keys) of a JSON text, or the text itself."""
     if is_json and text.lstrip()[:1] in "{[":
         try:
             json.loads(text, strict=False)
         except ValueError:
             return [(0, len(text), text)]
-        return [(m.start(), m.end(), json.loads(m.group(), strict=False)) for m in _JSON_STRING.finditer(text)]
+        return [(*m.span(), json.loads(m.group(), strict=False)) for m in _JSON_STRING.finditer(text) if m.group("key") is None]
     return [(0, len(text), text)]
 
 
@@ -274,184 +313,156 @@ def _fields(memory: DataFrame, turns: DataFrame) -> DataFrame:
     return one.unionByName(two).select("r.*").where("body is not null and body <> '' and row_key is not null")
 
 
-ENTITY = "table_name string, row_key string, field_name string, kind string, value string, parts array<string>"
-
-
-def parts_of(kind: str, value: str) -> list[str]:
-    """The replaceable parts of an entity in normal form, so that mentions in another spelling share them."""
-    if kind == "name":
-        return [f"{kind}:{w}" for w in regex.findall(r"[\p{L}\p{M}'’-]{2,}", value.lower()) if w.rstrip(".") not in _PARTICLES and w not in _TITLES]
-    if kind == "email":
-        v = re.sub(r"\s?[\[({<]\s?at\s?[\])}>]\s?|\sat\s|%40|&#64;|&#x40;|&commat;|\\u0040|＠|﹫", "@", unquote(value.removeprefix("mailto:")).lower())
-        return [f"{kind}:" + re.sub(r"\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s", ".", v)]
-    if kind in ("phone", "id_number"):
-        v = re.sub(r"\(0\)", "", value)
-        return [f"{kind}:" + re.sub(r"[^0-9A-Z]", "", re.sub(r"^00", "", v.upper()))]
-    return [f"{kind}:" + " ".join(re.findall(r"\w+", value.lower()))]
-
+NAMES = ["table_name", "row_key", "field_name"]
+FOUND = "table_name string, row_key string, field_name string, body string, piece array<int>, start array<int>, stop array<int>, kind array<string>, parts array<string>"
 
-_PARTICLES = frozenset("van von der den de del della di da dos du le la el al bin ibn ter ten af av vom zu los".split())
-_TITLES = frozenset("mr mrs ms miss mx dr prof herr hr frau fr monsieur madame mme mlle señor señora sr sra signor signora don doña sir lady mister".split())
 
-
-def detect(fields: DataFrame) -> DataFrame:
-    """One row per entity: where it stands, its kind, its text and its parts."""
+def detect(fields: DataFrame, placeholders: bool = False) -> DataFrame:
+    """One row per field that holds entities: the field, per entity its string in the field, its place there and its kind, and the distinct parts of them all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in FOUND.split(", ")]
         for batch in batches:
-            where = [batch.column(i).to_pylist() for i in range(4)]
             rows: list[tuple] = []
-            for t, k, f, body in zip(*where, strict=True):
-                for _, _, s in field_strings(body, f == "content.structured"):
-                    rows += [(t, k, f, kind, s[a:b], parts_of(kind, s[a:b])) for kind, a, b in find_entities(s)]
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([*[pa.array(list(c), pa.string()) for c in cols[:5]], pa.array(list(cols[5]), pa.list_(pa.string()))], names=[c.split()[0] for c in ENTITY.split(", ")])
-
-    return spread(fields).mapInArrow(run, ENTITY)
-
-
-def find_personal(memory: DataFrame, turns: DataFrame) -> DataFrame:
-    """Distinct (table_name, row_key, field_name, kind)."""
-    return detect(_fields(memory, turns)).select("table_name", "row_key", "field_name", "kind").distinct()
+            keep: list[int] = []
+            for i, (field, body) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                at = [(n, *e, s) for n, (_, _, s) in enumerate(field_strings(body, field == "content.structured")) for e in find_entities(s)]
+                if at:
+                    parts = {p for _, kind, a, b, s in at for p in ([mark_of(kind, s[a:b])] if placeholders else parts_of(kind, s[a:b]))}
+                    rows.append(([x[0] for x in at], [x[2] for x in at], [x[3] for x in at], [x[1] for x in at], sorted(parts)))
+                    keep.append(i)
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = [pa.list_(pa.int32())] * 3 + [pa.list_(pa.string())] * 2
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(pa.array(keep, pa.int64())) for i in range(4)], *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=names)
 
+    return spread(fields).mapInArrow(run, FOUND)
 
-_SYL = ("ba be bi bo da de di do fa fe fi ga ge go ha he hi ja jo ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe po ra re ri ro sa se si so ta te ti to va ve vi vo za ze zo").split()
-_SYL_CYR = ("ба бе би бо да де ди до га го ка ке ки ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се си со та те ти то").split()
-_SYL_GRE = ("βα βε δα δε κα κε κο λα λε λι λο μα με μι μο να νε νι νο πα πε πο ρα ρε ρι ρο σα σε σι σο τα τε τι το").split()
 
+def _drawn(key: str, attempt: int):
+    @F.pandas_udf("string")
+    def drawn(part: pd.Series) -> pd.Series:
+        return pd.Series([draw(p, key, attempt) for p in part])
 
-def draw(part: str, key: str, attempt: int) -> str:
-    """The surrogate of a part for the n-th attempt: same kind, script, gender and format."""
-    kind, _, value = part.partition(":")
-    bits = int.from_bytes(hmac.new(key.encode(), f"{attempt}|{part}".encode(), hashlib.sha256).digest(), "big")
-
-    def take(n: int) -> int:
-        nonlocal bits
-        bits, r = divmod(bits, n)
-        return r
-
-    if kind == "name":
-        cyr, gre = bool(regex.search(r"\p{Cyrillic}", value)), bool(regex.search(r"\p{Greek}", value))
-        syl = _SYL_CYR if cyr else _SYL_GRE if gre else _SYL
-        stem = "".join(syl[take(len(syl))] for _ in range(4))
-        if value in FEMALE:
-            return stem[:-1] + ("а" if cyr else "α" if gre else "a")
-        if value in MALE:
-            return stem[:-1] + ("он" if cyr else "ος" if gre else "o")
-        return stem + ("ов" if cyr else "ης" if gre else "n")
-    if kind == "email":
-        return f"u{bits % 16**12:012x}@example.org"
-    if kind in ("phone", "id_number"):
-        return "".join(str(take(10)) if c.isdigit() else chr(65 + take(26)) if c.isalpha() else c for c in value)
-    return f"{1 + take(9000)} " + "".join(_SYL[take(len(_SYL))] for _ in range(4)) + " street"
+    return drawn("part")
 
 
-def surrogates(entities: DataFrame, key: str, rounds: int = 12) -> DataFrame:
-    """``part`` and ``surrogate`` for every distinct part, with no surrogate given twice within a kind.
+def redrawn_parts(parts: DataFrame, key: str, rounds: int = 24) -> DataFrame | None:
+    """(part, attempt) of the distinct ``parts`` (part) whose first draw will not do; None if there are none.
 
-    Each round draws for the open parts; of those that meet on one surrogate, or on one already given, all but the least go on to the next draw.
+    Of parts that meet on one surrogate all but the least are drawn again, and so is each whose surrogate is itself a part that occurs:
+    no two entities become one, and none becomes another real one. Only the clashing parts go from round to round.
     """
-    @F.pandas_udf("string")
-    def drawn(part: pd.Series, attempt: pd.Series) -> pd.Series:
-        return pd.Series([draw(p, key, int(n)) for p, n in zip(part, attempt, strict=True)])
-
-    todo = materialize(entities.select(F.explode("parts").alias("part")).distinct(), "pii-parts")
+    kind = F.substring_index("part", ":", 1)
+    real = parts.select(kind.alias("kind"), F.expr("substring(part, instr(part, ':') + 1)").alias("surrogate"))
+    first = materialize(parts.withColumn("kind", kind).withColumn("surrogate", _drawn(key, 0)), "pii-draw")
+
+    def clashing(tried: DataFrame, taken: list[DataFrame]) -> DataFrame:
+        met = tried.groupBy("kind", "surrogate").agg(F.min("part").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        out = tried.join(met, ["kind", "surrogate"]).where("part <> least").select("part")
+        for other in taken:
+            out = out.unionByName(tried.join(other.select("kind", "surrogate"), ["kind", "surrogate"], "left_semi").select("part"))
+        return out.distinct()
+
+    todo = materialize(clashing(first, [real]), "pii-open")
     done = None
-    for attempt in range(rounds):
-        kind = F.substring_index("part", ":", 1)
-        tried = materialize(todo.withColumn("kind", kind).withColumn("surrogate", drawn("part", F.lit(attempt))), "pii-draw")
-        if done is not None:
-            tried_free = tried.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        else:
-            tried_free = tried
-        first = tried_free.withColumn("n", F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("part"))).where("n = 1").select("part", "kind", "surrogate")
-        done = materialize(first if done is None else done.unionByName(first), "pii-given")
-        todo = materialize(todo.join(done.select("part"), "part", "left_anti"), "pii-open")
+    for attempt in range(1, rounds):
         if todo.isEmpty():
-            return done.select("part", "surrogate")
+            return done if done is None else done.select("part", "attempt")
+        tried = materialize(todo.withColumn("kind", kind).withColumn("surrogate", _drawn(key, attempt)).withColumn("attempt", F.lit(attempt)), "pii-draw")
+        todo = materialize(clashing(tried, [real, first] + ([done] if done is not None else [])), "pii-open")
+        settled = tried.join(todo, "part", "left_anti")
+        done = materialize(settled if done is None else done.unionByName(settled), "pii-given")
     raise RuntimeError("surrogates still collide; use longer ones")
 
 
-def _like(original: str, replacement: str) -> str:
-    if original.isupper():
-        return replacement.upper()
-    return replacement.capitalize() if original[:1].isupper() else replacement
-
-
-def rewrite(kind: str, value: str, given: dict[str, str]) -> str:
-    """The entity with its parts replaced in place: titles, particles, separators and case stay."""
-    parts = parts_of(kind, value)
-    if kind == "name":
-        return regex.sub(r"[\p{L}\p{M}'’-]{2,}", lambda m: _like(m.group(), given[f"name:{m.group().lower()}"]) if f"name:{m.group().lower()}" in given else m.group(), value)
-    new = given.get(parts[0], f"[{kind}]")
-    if kind in ("phone", "id_number"):
-        chars = iter(new)
-        start = 2 if re.match(r"00\d", value) else 0
-        return value[:start] + "".join(c if text_skip else next(chars, c) if c.isalnum() else c for c, text_skip in zip(value[start:], _skip(value[start:]), strict=True))
-    return new
+def surrogates(entities: DataFrame, key: str, rounds: int = 24) -> DataFrame:
+    """``part`` and ``surrogate`` for every distinct part in the ``parts`` of ``entities``, with no surrogate given twice within a kind."""
+    parts = materialize(entities.select(F.explode("parts").alias("part")).distinct(), "pii-parts")
+    again = redrawn_parts(parts, key, rounds)
+    first = parts.withColumn("surrogate", _drawn(key, 0))
+    if again is None:
+        return first
 
+    @F.pandas_udf("string")
+    def redrawn(part: pd.Series, attempt: pd.Series) -> pd.Series:
+        return pd.Series([draw(p, key, int(n)) for p, n in zip(part, attempt, strict=True)])
 
-def _skip(value: str) -> list[bool]:
-    """Characters of a national prefix in brackets, which are no part of the number."""
-    flags = [False] * len(value)
-    for m in re.finditer(r"\(0\)", value):
-        for i in range(*m.span()):
-            flags[i] = True
-    return flags
+    return first.join(again, "part", "left_anti").unionByName(again.select("part", redrawn("part", "attempt").alias("surrogate")))
 
 
-def replaced_text(body: str, is_json: bool, change) -> str:
-    """``body`` with ``change(kind, value)`` in place of each entity and every other character as it was."""
+def replaced_text(body: str, is_json: bool, at: list[tuple[int, int, int, str]], change) -> str:
+    """``body`` with ``change(kind, value)`` in place of each entity (string, start, stop, kind) and every other character as it was."""
+    strings = field_strings(body, is_json)
     out, last = [], 0
-    for a, b, s in field_strings(body, is_json):
-        spans = find_entities(s)
-        if not spans:
-            continue
-        parts, at = [], 0
-        for kind, x, y in spans:
-            parts += [s[at:x], change(kind, s[x:y])]
-            at = y
-        new = "".join([*parts, s[at:]])
+    for n, spans in itertools.groupby(at, key=lambda e: e[0]):
+        a, b, s = strings[n]
+        parts, end = [], 0
+        for _, x, y, kind in spans:
+            parts += [s[end:x], change(kind, s[x:y])]
+            end = y
+        new = "".join([*parts, s[end:]])
         whole = (a, b) == (0, len(body)) and s == body
         out += [body[last:a], new if whole else json.dumps(new, ensure_ascii=body[a:b].isascii())]
         last = b
     return "".join([*out, body[last:]])
 
 
-def redact_personal(memory: DataFrame, turns: DataFrame, key: str = "loomrecall", placeholders: bool = False) -> DataFrame:
-    """Every distinct field that holds an entity, rewritten: table_name, row_key, field_name, body.
+def replace_personal(memory: DataFrame, turns: DataFrame, key: str, placeholders: bool = False) -> DataFrame:
+    """Every field that holds an entity, rewritten: table_name, row_key, field_name, body, and the ``kinds`` of the entities that were replaced.
 
-    With ``placeholders`` an entity becomes ``[KIND_xxxxxxxx]`` with a keyed mark that is equal for equal entities. Otherwise the
-    surrogates of a field's entities are joined to it, so no table of all entities is held in one place.
+    The texts are searched once. The distinct parts of all entities are drawn for and checked as a table; a task draws for the parts of
+    its own fields again, which is cheaper than a join, and only fields with a part that had to be drawn anew are joined to these few.
+    With ``placeholders`` an entity becomes ``[KIND_xxxxxxxx]`` with a mark that is equal for equal entities and for these only.
+    ``key`` is secret: who knows it can tell whether a given entity became a given surrogate.
     """
-    fields = materialize(_fields(memory, turns).distinct(), "pii-fields")
-    names = ["table_name", "row_key", "field_name"]
-    schema = "table_name string, row_key string, field_name string, body string"
-    if placeholders:
-
-        def mark(kind: str, value: str) -> str:
-            return f"[{kind.upper()}_{hmac.new(key.encode(), '|'.join(parts_of(kind, value)).encode(), hashlib.sha256).hexdigest()[:8]}]"
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                f, old = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                new = [replaced_text(t, n == "content.structured", mark) for n, t in zip(f, old, strict=True)]
-                keep = pa.array([i for i, (x, y) in enumerate(zip(old, new, strict=True)) if x != y], pa.int64())
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).take(keep) for i in range(3)], pa.array(new, pa.string()).take(keep)], names=[*names, "body"])
-
-        return spread(fields).mapInArrow(run, schema)
-
-    entities = materialize(detect(fields), "pii-entities")
-    mapping = surrogates(entities, key)
-    wanted = entities.select(*names, F.explode("parts").alias("part")).distinct().join(mapping, "part")
-    # One field holds few entities: its part list is bounded by its own text.
-    per_field = wanted.groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("part", "surrogate"))).alias("given"))
-    rows = fields.join(per_field, names)
-
-    def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if not key:
+        raise ValueError("a secret key is needed")
+    found = materialize(detect(_fields(memory, turns), placeholders), "pii-found")
+    again = redrawn_parts(materialize(found.select(F.explode("parts").alias("part")).distinct(), "pii-parts"), key)
+    if again is None:
+        rows = found.withColumn("attempts", F.lit(None).cast("map<string,int>"))
+    else:
+        # One field holds few entities: its part list is bounded by its own text.
+        same = F.xxhash64(*NAMES, "body")
+        per = found.select(same.alias("h"), *[F.col(c).alias(f"_{c}") for c in NAMES], F.explode("parts").alias("part")).distinct().join(again, "part")
+        per = per.groupBy("h", *[f"_{c}" for c in NAMES]).agg(F.map_from_entries(F.collect_list(F.struct("part", "attempt"))).alias("attempts"))
+        rows = found.withColumn("h", same).join(per, [F.col("h") == per["h"], *[F.col(c) == F.col(f"_{c}") for c in NAMES]], "left")
+        rows = rows.select(*found.columns, "attempts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f, old, given = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            new = [replaced_text(t, n == "content.structured", lambda k, v, g=dict(g): rewrite(k, v, g)) for n, t, g in zip(f, old, given, strict=True)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], pa.array(new, pa.string())], names=[*names, "body"])
+            known: dict[str, str] = {}
+            bodies, kinds = [], []
+            columns = [batch.column(i).to_pylist() for i in (2, 3, 4, 5, 6, 7, 9)]
+            for field, body, piece, start, stop, kind, attempts in zip(*columns, strict=True):
+                tries = dict(attempts or ())
+                gone: set[str] = set()
+
+                def surrogate(part: str, tries: dict = tries) -> str:
+                    if part in tries:
+                        return draw(part, key, tries[part])
+                    if part not in known:
+                        known[part] = draw(part, key, 0)
+                    return known[part]
+
+                def change(k: str, value: str, gone: set = gone, surrogate=surrogate) -> str:
+                    new = surrogate(mark_of(k, value)) if placeholders else rewrite(k, value, key, surrogate)
+                    if new != value:
+                        gone.add(k)
+                    return new
+
+                bodies.append(replaced_text(body, field == "content.structured", list(zip(piece, start, stop, kind, strict=True)), change))
+                kinds.append(sorted(gone))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], pa.array(bodies, pa.string()), pa.array(kinds, pa.list_(pa.string()))], names=[*NAMES, "body", "kinds"])
+
+    return rows.mapInArrow(run, "table_name string, row_key string, field_name string, body string, kinds array<string>")
+
+
+def find_personal(memory: DataFrame, turns: DataFrame, key: str) -> DataFrame:
+    """Distinct (table_name, row_key, field_name, kind) of the entities that were replaced."""
+    return replace_personal(memory, turns, key).select(*NAMES, F.explode("kinds").alias("kind")).distinct()
+
 
-    return rows.select(*names, "body", "given").mapInArrow(swap, schema)
+def redact_personal(memory: DataFrame, turns: DataFrame, key: str, placeholders: bool = False) -> DataFrame:
+    """The distinct rewritten fields: table_name, row_key, field_name, body."""
+    return replace_personal(memory, turns, key, placeholders).select(*NAMES, "body").distinct()

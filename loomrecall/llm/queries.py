@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,16 +14,25 @@ from loomrecall.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def secret_key(spark: SparkSession) -> str:
+    """The key of surrogates: ``spark.loomrecall.pii.key``, or a random one for this application, which nobody can look entities up with."""
+    context = spark.sparkContext
+    if not hasattr(context, "_loomrecall_key"):
+        context._loomrecall_key = secrets.token_hex(32)
+    return spark.conf.get("spark.loomrecall.pii.key", None) or context._loomrecall_key
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal.find_personal(table(spark, sf_dir, "memory_records"), table(spark, sf_dir, "session_turns"))
+    """What the surrogate operator replaced."""
+    return personal.find_personal(table(spark, sf_dir, "memory_records"), table(spark, sf_dir, "session_turns"), secret_key(spark))
 
 
 def p1_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal.redact_personal(table(spark, sf_dir, "memory_records"), table(spark, sf_dir, "session_turns"), placeholders=True)
+    return personal.redact_personal(table(spark, sf_dir, "memory_records"), table(spark, sf_dir, "session_turns"), secret_key(spark), placeholders=True)
 
 
 def p1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal.redact_personal(table(spark, sf_dir, "memory_records"), table(spark, sf_dir, "session_turns"))
+    return personal.redact_personal(table(spark, sf_dir, "memory_records"), table(spark, sf_dir, "session_turns"), secret_key(spark))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
