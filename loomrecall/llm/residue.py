@@ -1,11 +1,15 @@
 """Documents that are template residue, filler, error pages or script notices instead of content.
 
 Every document is reduced to its running text (code blocks, code spans and quotations removed, numbers and ids unified). Equal running
-texts form one node, and nodes with equal sets of word shingles stand for each other. All other pairs of nodes whose shingles have a
-Jaccard similarity of at least 0.8 are found exactly: in any one order of all shingles, such two nodes share one among their first n / 5 + 1,
-so an equi-join on these prefixes, rare shingles first, gives every candidate, and each candidate is verified on the whole sets. Pairs that
-verified links already connect are not tested again. Labels of trusted residue are propagated through the connected components of the
-links, and a last exact check on the document itself keeps the label only where the document has that kind of text.
+texts form one node. Nodes whose text certainly stands in place of a body are trusted, and their label is propagated through all links: pairs
+of nodes whose word shingles have a Jaccard similarity of at least 0.8. Only links at a labelled node can carry a label, so each round looks
+for the similar nodes of the newly labelled ones, until it finds no more; that gives the labelled part of the connected components.
+
+Candidates of a round come from partitioned SimHash tables (blocks of the bits as keys, Hamming distance checked) and from an equi-join of
+shingle prefixes against the least labelled node of each key; equal shingle sets need no check, all others are verified on the whole sets.
+SimHashes alone would lose most links at 0.8, so when these rounds have ended, all labelled nodes are joined with the others on the prefixes: in any one
+order of all shingles, two nodes similar at 0.8 share one among their first n / 5 + 1, and that join, rare shingles first, loses none. A last
+exact check on the document itself keeps the label only where the document has that kind of text. Unfilled fields are told by each document alone.
 
 Defined cases: null, empty and blank texts are no residue; equal texts share their result; whole texts of any length are read; an empty
 table gives an empty table; other columns are not read.
@@ -22,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomrecall.operators.components import connected_components
 from loomrecall.session import materialize, spread
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Documents that are read to tell frequent shingles from rare ones, the most shingles kept as frequent, and rows of a key that meet in one task.
-SAMPLE = 20_000
+SAMPLE = 5_000
 FREQUENT = 100_000
 CELL = 1_000
+#: Bits in which SimHashes of candidates differ at most, and the blocks (first bit, bits) of which two make a key.
 HAMMING = 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
@@ -194,7 +198,7 @@ def frequent_shingles(docs: DataFrame, doc_id: str, text: str) -> np.ndarray:
     return np.asarray(top.column("gram"), np.int64)[::-1].astype(np.uint64)
 
 
-JUDGED = "node binary, field boolean, trusted boolean, short boolean, same binary, n int, prefix array<bigint>"
+JUDGED = "node binary, field boolean, trusted boolean, short boolean, same binary, sim bigint, n int, prefix array<bigint>"
 
 
 def judged_documents(docs: DataFrame, frequent: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -213,7 +217,7 @@ def judged_documents(docs: DataFrame, frequent: np.ndarray, doc_id: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [doc_id, *[c.split()[0] for c in JUDGED.split(", ")]]
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             keep = []
             for i, body in enumerate(batch.column(1).to_pylist()):
                 words, field, trusted, short = judge(body)
@@ -222,9 +226,9 @@ def judged_documents(docs: DataFrame, frequent: np.ndarray, doc_id: str = "doc_i
                 keep.append(i)
                 grams = shingles(words)
                 keys = [hashlib.blake2b(b, digest_size=16).digest() for b in (" ".join(words).encode(), grams.tobytes())]
-                for column, v in zip(out, (keys[0], field, trusted, short, keys[1], len(grams), prefix(grams).astype(np.int64)), strict=True):
+                for column, v in zip(out, (keys[0], field, trusted, short, keys[1], simhash(grams), len(grams), prefix(grams).astype(np.int64)), strict=True):
                     column.append(v)
-            kinds = (pa.binary(), pa.bool_(), pa.bool_(), pa.bool_(), pa.binary(), pa.int32(), pa.list_(pa.int64()))
+            kinds = (pa.binary(), pa.bool_(), pa.bool_(), pa.bool_(), pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names=names)
 
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -237,10 +241,13 @@ def _table_keys(sim: str = "sim"):
     return F.array(*[(F.lit(t << 40) + block[i] * F.lit(1 << 13) + block[j]) for t, (i, j) in enumerate(itertools.combinations(range(len(BLOCKS)), 2))])
 
 
-def twins(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes (node, same) with one shingle set, each to the least of them."""
-    first = nodes.groupBy("same").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return first.join(nodes.select(F.col("node").alias("b"), "same"), "same").where("a <> b").select("a", "b")
+def print_candidates(front: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a labelled node and a node whose SimHashes lie within ``HAMMING`` bits. The tables hold distinct SimHashes, the least labelled node for each."""
+    known = front.groupBy("sim").agg(F.min("node").alias("a"))
+    a = known.select("a", F.col("sim").alias("sa"), F.explode(_table_keys()).alias("key"))
+    b = nodes.select("sim").distinct().select(F.col("sim").alias("sb"), F.explode(_table_keys()).alias("key"))
+    near = b.join(a, "key").where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= HAMMING).groupBy("sb").agg(F.min("a").alias("a"))
+    return nodes.select(F.col("node").alias("b"), F.col("sim").alias("sb")).join(near, "sb").select("a", "b")
 
 
 def prefix_rows(nodes: DataFrame) -> DataFrame:
@@ -248,53 +255,36 @@ def prefix_rows(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
 
 
-def star_candidates(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the least node of each key with the others that may be similar to it: few, and enough for most components."""
-    least = rows.groupBy("key").agg(F.min(F.struct("n", "node", "pos")).alias("l"), F.count(F.lit(1)).alias("of")).where("of > 1").drop("of")
-    both = rows.join(least, "key").where(F.col("node") != F.col("l.node"))
+def star_candidates(front: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the least labelled node of each key with the nodes that may be similar to it: few, and enough for most."""
+    least = prefix_rows(front).groupBy("key").agg(F.min(F.struct("n", "node", "pos")).alias("l"))
+    both = prefix_rows(nodes).join(least, "key")
     # No more shingles than stand from here on can be shared, where this is the first shared one; a Jaccard similarity of 0.8 is 4/9 of both sizes.
     may = 9 * F.least(F.col("n") - F.col("pos"), F.col("l.n") - F.col("l.pos")) >= 4 * (F.col("n") + F.col("l.n"))
-    return both.where(may).select(F.col("l.node").alias("a"), F.col("node").alias("b")).distinct()
+    return both.where(may).select(F.col("l.node").alias("a"), F.col("node").alias("b"))
 
 
-def open_candidates(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """All pairs (a, b) that share a key, may be similar and lie in different ``parts`` (vertex, component).
+def all_candidates(labelled: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All pairs (a, b) of a labelled and another node that share a key of their prefixes and may be similar.
 
     Rows of a hot key are cut into blocks and meet in cells of two blocks, so that no task holds all of its pairs.
     """
-    placed = rows.join(parts.select(F.col("vertex").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    keys = placed.groupBy("key").agg(F.count(F.lit(1)).alias("of"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
-    blocks = F.ceil(F.col("of") / CELL).cast("long")
-    cut = placed.join(keys.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    known = prefix_rows(labelled)
+    keys = known.groupBy("key").agg(F.count(F.lit(1)).alias("na"))
+    rows = prefix_rows(nodes).join(keys, "key").drop("na")
+    blocks = F.ceil(F.greatest("na", "nb") / F.lit(CELL)).cast("long")
+    cuts = keys.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("nb")), "key").select("key", blocks.alias("blocks"))
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    left = cut.select("key", F.explode(F.transform(every, lambda k: F.col("block") * F.col("blocks") + k)).alias("cell"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = cut.select("key", F.explode(F.transform(every, lambda k: k * F.col("blocks") + F.col("block"))).alias("cell"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    near = ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (5 * F.col("na") >= 4 * F.col("nb")) & (F.col("ca") != F.col("cb"))
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    left = known.join(cuts, "key").select("key", F.explode(F.transform(every, lambda k: mine * F.col("blocks") + k)).alias("cell"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    right = rows.join(cuts, "key").select("key", F.explode(F.transform(every, lambda k: k * F.col("blocks") + mine)).alias("cell"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    near = (5 * F.col("na") >= 4 * F.col("nb")) & (5 * F.col("nb") >= 4 * F.col("na"))
     shared = left.join(right, ["key", "cell"]).where(near).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
     # Of the node whose prefix ends first, only shingles behind the prefix can be shared besides the counted ones.
     rest = [F.col(n) - F.floor(F.col(n) / 5) - 1 for n in ("na", "nb")]
     return shared.where(9 * (F.col("shared") + F.greatest(*rest)) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-# Nearness by SimHash alone; find_residue does not use it, because texts similar at 0.8 differ in more bits than tables can bear.
-
-
-def same_print(nodes: DataFrame) -> DataFrame:
-    """Candidate links (a, b) between nodes (node, sim) with one SimHash, each to the least of them: never all pairs of a group."""
-    first = nodes.groupBy("sim").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return first.join(nodes.select(F.col("node").alias("b"), "sim"), "sim").where("a <> b").select("a", "b")
-
-
-def near_prints(nodes: DataFrame) -> DataFrame:
-    """Candidate links (a, b) between nodes (node, sim) whose SimHashes lie within ``HAMMING`` bits. The tables hold distinct SimHashes."""
-    keyed = nodes.select("sim").distinct().select("sim", F.explode(_table_keys()).alias("key"))
-    a, b = keyed.select(F.col("sim").alias("sa"), "key"), keyed.select(F.col("sim").alias("sb"), "key")
-    near = a.join(b, "key").where((F.col("sa") < F.col("sb")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= HAMMING)).select("sa", "sb").distinct()
-    left, right = nodes.select(F.col("node").alias("a"), F.col("sim").alias("sa")), nodes.select(F.col("node").alias("b"), F.col("sim").alias("sb"))
-    shared = left.join(right, F.col("sa") == F.col("sb")).where("a < b").select("a", "b")
-    return near.join(left, "sa").join(right, "sb").select("a", "b").unionByName(shared)
-
-
 def verified(links: DataFrame, grams: DataFrame) -> DataFrame:
     """The links (a, b) whose nodes share enough shingles; ``grams`` is (node, grams) of the nodes in question."""
     left, right = grams.select(F.col("node").alias("a"), F.col("grams").alias("ga")), grams.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
@@ -316,35 +306,55 @@ def node_grams(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> Da
     return one.select("node", "t").mapInArrow(run, "node binary, grams array<bigint>")
 
 
-def similar_nodes(docs: DataFrame, judged: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Links (a, b) whose connected components are those of all pairs of nodes that are similar at ``SIMILARITY``."""
-    nodes = judged.groupBy("node").agg(F.first("same").alias("same"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(doc_id).alias("rep"))
-    nodes = materialize(nodes, "residue-nodes")
-    rep = nodes.select("node", "rep")
-    equal = materialize(twins(nodes), "residue-twins")
-    rows = prefix_rows(nodes.join(equal.select(F.col("b").alias("node")), "node", "left_anti"))
-
-    def checked(near: DataFrame, label: str) -> DataFrame:
-        near = materialize(near, f"residue-near-{label}")
-        linked = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(rep, "node")
-        return materialize(verified(near, materialize(node_grams(docs, linked, doc_id, text), f"residue-grams-{label}")), f"residue-links-{label}")
-
-    star = checked(star_candidates(rows), "star")
-    rest = checked(open_candidates(rows, connected_components(star, "a", "b")), "open")
-    return equal.unionByName(star).unionByName(rest)
+def reached_nodes(docs: DataFrame, judged: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(node) of the trusted nodes and of all that links at ``SIMILARITY`` connect with them, over any number of other nodes."""
+    fields = ["node", "same", "sim", "n", "prefix"]
+    nodes = judged.select(*fields, F.col(doc_id).alias("rep"))
+    one = [F.first(c).alias(c) for c in fields[1:]] + [F.min("rep").alias("rep")]
+    front = materialize(judged.where("trusted").select(*fields, F.col(doc_id).alias("rep")).groupBy("node").agg(*one), "residue-front")
+    labelled = front
+
+    def found(near: DataFrame, label: str) -> DataFrame | None:
+        """The nodes of verified candidate links (a, b) that are not labelled yet, or None."""
+        done = labelled.select(F.col("node").alias("b"))
+        near = materialize(near.where("a <> b").join(done, "b", "left_anti").distinct(), f"residue-near-{label}")
+        if near.isEmpty():
+            return None
+        ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        linked = nodes.select("node", "rep").join(ends, "node").groupBy("node").agg(F.min("rep").alias("rep"))
+        held = materialize(node_grams(docs, linked, doc_id, text), f"residue-grams-{label}")
+        return verified(near, held).select(F.col("b").alias("node")).distinct()
+
+    def twins(front: DataFrame) -> DataFrame:
+        done = labelled.select("node")
+        return nodes.select("node", "same").join(front.select("same").distinct(), "same", "left_semi").select("node").distinct().join(done, "node", "left_anti")
+
+    def grow(new: DataFrame) -> DataFrame:
+        return materialize(nodes.join(new, "node", "left_semi").groupBy("node").agg(*one), "residue-front")
+
+    whole = False
+    while not front.isEmpty():
+        if whole:
+            new = found(all_candidates(labelled, nodes), "all")
+        else:
+            new = found(print_candidates(front, nodes).unionByName(star_candidates(front, nodes)), "star")
+            equal = twins(front)
+            new = equal if new is None else new.unionByName(equal).distinct()
+        front = materialize(labelled.limit(0), "residue-front") if new is None else grow(new)
+        if front.isEmpty():
+            if whole:
+                break
+            front, whole = labelled, True
+            continue
+        labelled, whole = labelled.unionByName(front), False
+    return labelled.select("node")
 
 
 def find_residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per residue document: ``doc_id``, ``kind`` (``field`` or ``body``), ``component`` and whether the label came from a neighbour (``propagated``)."""
+    """Per residue document: ``doc_id``, ``kind`` (``field`` or ``body``) and whether the label came by a link (``propagated``)."""
     judged = materialize(judged_documents(docs, frequent_shingles(docs, doc_id, text), doc_id, text), "residue-docs")
-    links = similar_nodes(docs, judged, doc_id, text)
-    nodes = judged.groupBy("node").agg(F.max("trusted").alias("trusted"), F.max("field").alias("field"))
-    parts = connected_components(links, "a", "b")
-    placed = nodes.select("node", "trusted", "field").join(parts.select(F.col("vertex").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    labels = placed.groupBy("component").agg(F.max("trusted").alias("body_seed"), F.max("field").alias("field_seed"))
-    judged_small = judged.select(doc_id, "node", "field", "trusted", "short")
-    known = labels.where("body_seed or field_seed").join(placed.select("node", "component"), "component")
-    rows = judged_small.join(known, "node")
+    reached = reached_nodes(docs, judged, doc_id, text).withColumn("reached", F.lit(True))
+    rows = judged.where("field or trusted or short").select(doc_id, "node", "field", "trusted", "short").join(reached, "node", "left")
     # The exact check: a field must be unfilled in this very text, and a body must be short enough to be replaced.
-    kind = F.when(F.col("field_seed") & F.col("field"), "field").when(F.col("body_seed") & (F.col("trusted") | F.col("short")), "body")
-    return rows.select(doc_id, kind.alias("kind"), F.hex("component").alias("component"), (~F.col("trusted") & ~F.col("field")).alias("propagated")).where("kind is not null")
+    kind = F.when(F.col("field"), "field").when(F.coalesce("reached", F.lit(False)) & (F.col("trusted") | F.col("short")), "body")
+    return rows.select(doc_id, kind.alias("kind"), (~F.col("trusted") & ~F.col("field")).alias("propagated")).where("kind is not null")

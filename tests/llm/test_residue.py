@@ -2,8 +2,6 @@
 
 import random
 
-import numpy as np
-
 from loomrecall.llm import residue as R
 
 REAL = "The poller counts late rows. It took 9 ms to drain the queue. We decided to keep the audit trail because the order was unstable. See the notes."
@@ -33,25 +31,17 @@ def test_propagation(spark):
     assert 3 not in got or got[3] is True
 
 
-def test_links_are_exact_within_hamming(spark):
+def test_tables_hold_all_prints_within_hamming(spark):
     random.seed(4)
-    nodes = []
-    for c in range(40):
-        words = [random.choice("abcdefghij") + str(random.randrange(50)) for _ in range(80)]
-        for j in range(3):
-            w = list(words)
-            if j:
-                w[random.randrange(80)] = f"x{c}{j}"
-            nodes.append((f"{c}-{j}".encode(), " ".join(w)))
-    grams = {k: R.shingles(t.split()) for k, t in nodes}
-    sims = {k: R.simhash(g) for k, g in grams.items()}
-    df = spark.createDataFrame([(bytearray(k), sims[k], grams[k].astype(np.int64).tolist()) for k, _ in nodes], "node binary, sim long, grams array<long>")
-    got = {tuple(sorted((bytes(r.a), bytes(r.b)))) for r in R.verified(R.same_print(df).unionByName(R.near_prints(df)), df).collect()}
-    want = set()
-    keys = [k for k, _ in nodes]
-    for i, a in enumerate(keys):
-        for b in keys[i + 1 :]:
-            inter = len(np.intersect1d(grams[a], grams[b]))
-            if bin((sims[a] ^ sims[b]) & (2**64 - 1)).count("1") <= 3 and inter >= 0.8 * (len(grams[a]) + len(grams[b]) - inter):
-                want.add(tuple(sorted((a, b))))
-    assert want and want <= got
+    sims = [random.getrandbits(64) - (1 << 63) for _ in range(40)]
+    sims += [s ^ (1 << random.randrange(63)) ^ (1 << random.randrange(63)) ^ (1 << random.randrange(63)) for s in sims] + sims[:3]
+    df = spark.createDataFrame([(bytearray(str(i).encode()), s) for i, s in enumerate(sims)], "node binary, sim long")
+    got = {bytes(r.b) for r in R.print_candidates(df.where("node < '2'"), df).collect()}
+    near = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1") <= 3
+    assert got == {str(i).encode() for i, s in enumerate(sims) if any(near(s, x) for k, x in enumerate(sims) if str(k) < "2")}
+
+
+def test_simhash_is_the_majority_of_bits():
+    grams = R.shingles("a b c d e f g h".split())
+    bits = [sum(int(g) >> k & 1 for g in grams) * 2 > len(grams) for k in range(64)]
+    assert R.simhash(grams) & (2**64 - 1) == sum(b << k for k, b in enumerate(bits))
