@@ -119,16 +119,16 @@ def judge(text: str | None) -> tuple[list[str] | None, bool, bool, bool]:
         if not line:
             continue
         lines += 1
-        if _SIDE.match(line) or (("|" in line or " > " in line or "  " in line) and len(line) < 70 and not re.search(r"[.!?:]", line)):
+        if _SIDE.match(line) or (("|" in line or " > " in line or "  " in line) and not re.search(r"[.!?:]", line)):
             continue
-        if lines <= 3 and not residue and not content and len(line) < 50 and len(line.split()) <= 6 and not re.search(r"[.!?:;,\d]|‹", line) and not FILLER.match(line) and not ERROR.match(line) and not (fills and _fill_share(line)):
+        if lines <= 3 and not residue and not content and len(line.split()) <= 6 and not re.search(r"[.!?:;,\d]|‹", line) and not FILLER.match(line) and not ERROR.match(line) and not (fills and _fill_share(line)):
             continue  # a heading without a sign
         line = re.sub(r"^(?:[-*+>]|\d+[.)])\s+", "", line)
         for s in _SPLIT.split(line):
             s = s.strip(" \t*_")
             if s == "‹c›" or not _TOKEN.search(s):
                 continue
-            if (fills and _fill_share(s)) or FILLER.match(s) or (s.count(" ") < 18 and "‹" not in s and (ERROR.match(s) or (scripts and _SCRIPT_WORD.search(s) and SCRIPT.search(s)))):
+            if (fills and _fill_share(s)) or FILLER.match(s) or ("‹" not in s and (ERROR.match(s) or (scripts and _SCRIPT_WORD.search(s) and SCRIPT.search(s)))):
                 residue += 1
             elif not _SIDE.match(s) and not _AFTER.match(s):
                 content += 1
