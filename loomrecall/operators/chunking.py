@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomrecall.functions import constants as C
 from loomrecall.session import spread
@@ -15,28 +17,33 @@ from loomrecall.session import spread
 _BLANKS = r"^[ \t\r\n\f\x{0b}]+|[ \t\r\n\f\x{0b}]+$"
 
 
-def line_chunks(df: DataFrame, ident: str, text: str) -> DataFrame:
-    """Texts without a blank line: one chunk per line that is not blank. Columns: ident, chunk_index, line, content."""
-    plain = df.where(F.col(text).isNotNull() & ~F.col(text).rlike(r"\r?\n[ \t\f]*\r?\n"))
-    lines = plain.select(ident, F.posexplode(F.split(text, r"\r?\n")).alias("pos", "raw"))
-    kept = lines.select(ident, (F.col("pos") + 1).cast("long").alias("line"), F.regexp_replace("raw", _BLANKS, "").alias("content")).where("content <> ''")
-    from pyspark.sql.window import Window
+#: A blank line inside a text.
+GAP = r"\r?\n[ \t\f]*\r?\n"
+
 
-    return kept.withColumn("chunk_index", (F.row_number().over(Window.partitionBy(ident).orderBy("line")) - 1).cast("long"))
+def line_chunks(df: DataFrame, ident: str, text: str) -> DataFrame:
+    """Plain text: without a blank line one chunk per line that is not blank, else windows of lines. Columns: ident, chunk_index, line, content. Null texts give no rows."""
+    known = df.where(F.col(text).isNotNull())
+    gap = F.col(text).rlike(GAP)
+    lines = known.where(~gap).select(ident, F.posexplode(F.split(text, r"\r?\n")).alias("pos", "raw"))
+    single = lines.select(ident, (F.col("pos") + 1).cast("long").alias("line"), F.regexp_replace("raw", _BLANKS, "").alias("content")).where("content <> ''")
+    windows = window_chunks(known.where(gap), ident, text).select(ident, F.col("start_line").alias("line"), "content", "window")
+    both = single.withColumn("window", F.col("line")).unionByName(windows)
+    return both.withColumn("chunk_index", (F.row_number().over(Window.partitionBy(ident).orderBy("window")) - 1).cast("long")).drop("window")
 
 
 def window_chunks(df: DataFrame, ident: str, text: str, size: int = C.CHUNK_LINES, overlap: int = C.CHUNK_OVERLAP) -> DataFrame:
     """Windows of ``size`` lines that overlap by ``overlap``; blank lines at a window's borders are cut off, blank windows fall away.
 
-    Columns: ident, window, start_line, end_line (from 1), content. Null texts give no rows.
+    Columns: ident, window, start_line, end_line (from 1), content. Null texts give no rows. A row carries its own window only: the lines
+    of a text are cut before they are exploded.
     """
     step = size - overlap
-    lines = F.split(text, r"\r?\n")
     n = F.size("lines")
     count = F.when(n <= size, F.lit(1)).otherwise(F.ceil((n - size) / F.lit(step)).cast("int") + 1)
-    base = df.where(F.col(text).isNotNull()).select(ident, lines.alias("lines"))
-    wins = base.select(ident, "lines", F.explode(F.sequence(F.lit(0), count - 1)).alias("window"))
-    cut = wins.withColumn("part", F.slice("lines", F.col("window") * step + 1, size))
+    base = df.where(F.col(text).isNotNull()).select(ident, F.split(text, r"\r?\n").alias("lines"))
+    parts = F.transform(F.sequence(F.lit(0), count - 1), lambda w: F.slice("lines", w * step + 1, size))
+    cut = base.select(ident, F.posexplode(parts).alias("window", "part"))
     full = F.filter(F.transform("part", lambda x, i: F.when(F.regexp_replace(x, _BLANKS, "") != "", i)), lambda i: i.isNotNull())
     marked = cut.withColumn("full", full).where(F.size("full") > 0)
     return marked.select(
@@ -59,15 +66,24 @@ _BOUNDARY = {k: re.compile(v) for k, v in BOUNDARIES.items()}
 _FAMILY = {"java": "jvm", "kotlin": "jvm", "scala": "jvm", "csharp": "jvm"}
 
 
-def _window_end(lines: list[str], start: int, pattern: re.Pattern[str]) -> int:
-    end = min(len(lines), start + C.CHUNK_LINES)
-    if end == len(lines):
-        return end
-    for i in range(end - 1, max(start + 1, end - C.BOUNDARY_LOOKBACK), -1):
-        bare = lines[i].strip().lower()
-        if not bare or pattern.search(bare):
-            return i + 1
-    return end
+_SPACE = " \t\r\n\f\v"
+
+
+def code_windows(lines: list[str], language: str) -> Iterator[tuple[int, int]]:
+    """(first, behind the last) line of each window. All places where a window may end are found first; each window then looks its own up."""
+    pattern = _BOUNDARY[_FAMILY.get(language, language if language in _BOUNDARY else "other")]
+    bare = [x.strip(_SPACE).lower() for x in lines]
+    places = [i + 1 for i, x in enumerate(bare) if not x or pattern.search(x)]
+    at, n = 0, len(lines)
+    while True:
+        full = at + C.CHUNK_LINES
+        if full >= n:
+            yield at, n
+            return
+        nearest = places[k - 1] if (k := bisect_right(places, full)) else 0
+        stop = nearest if nearest > max(at + 2, full - C.BOUNDARY_LOOKBACK + 1) else full
+        yield at, stop
+        at = max(at + 1, stop - C.CHUNK_OVERLAP)
 
 
 def code_chunks(df: DataFrame, ident: str, text: str, lang: str) -> DataFrame:
@@ -82,18 +98,13 @@ def code_chunks(df: DataFrame, ident: str, text: str, lang: str) -> DataFrame:
         for batch in batches:
             rows = []
             for key, body, language in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                pattern = _BOUNDARY[_FAMILY.get(language, language if language in _BOUNDARY else "other")]
                 lines = re.split(r"\r?\n", body)
-                start = index = 0
-                while start < len(lines):
-                    end = _window_end(lines, start, pattern)
-                    full = [i for i in range(start, end) if lines[i].strip()]
-                    if full:
-                        rows.append((key, index, full[0] + 1, full[-1] + 1, "\n".join(lines[start:end]).strip()))
+                index = 0
+                for a, b in code_windows(lines, language):
+                    held = [i for i in range(a, b) if lines[i].strip(_SPACE)]
+                    if held:
+                        rows.append((key, index, held[0] + 1, held[-1] + 1, "\n".join(lines[a:b]).strip(_SPACE)))
                         index += 1
-                    if end == len(lines):
-                        break
-                    start = max(start + 1, end - C.CHUNK_OVERLAP)
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field(0).type), *[pa.array(c, pa.int64()) for c in cols[1:4]], pa.array(cols[4], pa.string())], names=[ident, "chunk_index", "start_line", "end_line", "content"])
 

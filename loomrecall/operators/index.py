@@ -46,17 +46,19 @@ def bm25(df: DataFrame, key: list[str], tokens: Column, terms: list[str], length
     return joined.groupBy(*key).agg(F.sum(bm25_term(F.col("tf"), F.col("df"), F.col("_n"), F.col("_len"), average)).alias("score"))
 
 
-def bm25_many(df: DataFrame, queries: DataFrame, group: list[str], key: list[str], tokens: Column, length: Column) -> DataFrame:
+def bm25_many(df: DataFrame, queries: DataFrame, group: list[str], key: list[str], tokens: Column) -> DataFrame:
     """(query_text, group..., key..., score) for a table of queries (query_text, group...), each against the texts of its own group.
 
-    Postings are joined with the queries' terms on (group, token); no text meets a query that it shares no token with.
+    Tokens are joined with the queries' terms on (group, token) before they are counted, so only those that a query asks for are grouped;
+    Spark broadcasts the terms where they are small. No text meets a query that it shares no token with.
     """
-    sized = df.select(*group, *key, length.alias("_len"), tokens.alias("_toks"))
+    # The tokens of a text are made once and written with their number; the texts themselves are not carried on.
+    sized = materialize(df.select(*group, *key, tokens.alias("_toks")).select(*group, *key, F.size("_toks").alias("_len"), "_toks"), "bm25-tokens")
     stats = sized.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.sum("_len").alias("_total"))
-    post = sized.select(*group, *key, "_len", F.explode("_toks").alias("token")).groupBy(*group, *key, "_len", "token").agg(F.count(F.lit(1)).alias("tf"))
     terms = queries.select(*group, "query_text", F.explode(F.array_distinct(T.tokens(F.col("query_text")))).alias("token"))
     wanted = terms.select(*group, "token").distinct()
-    found = post.join(wanted, [*group, "token"], "left_semi")
+    asked = sized.select(*group, *key, "_len", F.explode("_toks").alias("token")).join(wanted, [*group, "token"], "left_semi")
+    found = materialize(asked.groupBy(*group, *key, "_len", "token").agg(F.count(F.lit(1)).alias("tf")), "bm25-postings")
     freq = found.groupBy(*group, "token").agg(F.count(F.lit(1)).alias("df"))
     joined = found.join(freq, [*group, "token"]).join(stats, group).join(terms, [*group, "token"])
     average = F.when(F.col("_total") > 0, F.col("_total") / F.col("_n")).otherwise(F.lit(1.0))

@@ -219,8 +219,9 @@ def symbol_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = current_chunks(table(spark, sf_dir, "indexed_chunks"))
     q = F.trim("query_text")
     symbols = table(spark, sf_dir, "search_results").where(T.is_symbol_query(q) & q.rlike(r"^[A-Za-z_][A-Za-z0-9_]*$")).select("project_key", q.alias("symbol")).distinct()
-    words = chunks.select("id", "project_key", "chunk_text", F.explode(F.array_distinct(T.raw_words(F.col("chunk_text")))).alias("symbol"))
-    hit = words.join(symbols, ["project_key", "symbol"])
+    words = chunks.select("id", "project_key", F.explode(F.array_distinct(T.raw_words(F.col("chunk_text")))).alias("symbol"))
+    # Words meet the symbols without their texts; only the texts of hits are fetched.
+    hit = words.join(symbols, ["project_key", "symbol"]).join(chunks.select("id", "chunk_text"), "id")
     return hit.groupBy("project_key", "symbol").agg(F.count(F.lit(1)).alias("mentions"), F.count_if(fusion.defines(F.col("chunk_text"), F.col("symbol"))).alias("definitions"))
 
 
@@ -248,8 +249,5 @@ def definition_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 def find_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest rows of the seed's own kind, the seed left out (seeds: every row whose id is divisible by 100)."""
     rows = table(spark, sf_dir, "embeddings")
-    seeds = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
-    cs = V.cosine(F.col("q"), F.col("embedding"))
-    near = rows.join(seeds, "label").where("query_id <> vec_id").select("query_id", "vec_id", cs.alias("cosine"))
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), "vec_id")
-    return near.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").withColumn("cosine", F.round("cosine", 6))
+    near = vectors.exact_neighbors(rows, rows.where("vec_id % 100 = 0"), "vec_id", "embedding", 5, by="label")
+    return near.withColumn("cosine", F.round("cosine", 6))

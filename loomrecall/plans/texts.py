@@ -166,28 +166,43 @@ def stripped_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.where("content is not null").select("event_id", "line_offset", F.md5(T.strip_tool_traces(F.col("content"))).alias("clean_hash"))
 
 
+_TRIM = "'^[ \\t\\r\\n\\f\\v]+|[ \\t\\r\\n\\f\\v]+$', '', 'g'"
+_WINDOWS_SQL = f"""s AS (SELECT doc_id, string_split_regex(text, '\\r?\\n') AS lines FROM documents WHERE text IS NOT NULL), n AS (SELECT *, len(lines) AS n FROM s),
+  w AS (SELECT doc_id, lines, unnest(range(0, CASE WHEN n <= 50 THEN 1 ELSE ceil((n - 50) / 45.0)::BIGINT + 1 END)) AS win FROM n), c AS (SELECT doc_id, win, list_slice(lines, win * 45 + 1, win * 45 + 50) AS part FROM w),
+  f AS (SELECT *, list_filter(range(1, len(part) + 1), lambda i: regexp_replace(part[i], {_TRIM}) <> '') AS fl FROM c),
+  wins AS (SELECT doc_id, win, win * 45 + fl[1] AS start_line, win * 45 + fl[-1] AS end_line, sha256(regexp_replace(array_to_string(part, chr(10)), {_TRIM})) AS content_hash FROM f WHERE len(fl) > 0)"""
+
+
 @query(
-    """WITH p AS (SELECT doc_id, unnest(string_split_regex(text, '\\r?\\n')) AS raw, generate_subscripts(string_split_regex(text, '\\r?\\n'), 1) AS line FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '\\r?\\n[ \\t\\f]*\\r?\\n')),
-  t AS (SELECT doc_id, line, regexp_replace(raw, '^[ \\t\\r\\n\\f\\v]+|[ \\t\\r\\n\\f\\v]+$', '', 'g') AS content FROM p)
-  SELECT doc_id, line::BIGINT AS line, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS chunk_index, sha256(content) AS content_hash FROM t WHERE content <> ''"""
+    f"""WITH {_WINDOWS_SQL}, g AS (SELECT doc_id, text, regexp_matches(text, '\\r?\\n[ \\t\\f]*\\r?\\n') AS gap FROM documents WHERE text IS NOT NULL),
+  p AS (SELECT doc_id, unnest(string_split_regex(text, '\\r?\\n')) AS raw, generate_subscripts(string_split_regex(text, '\\r?\\n'), 1) AS line FROM g WHERE NOT gap), t AS (SELECT doc_id, line, regexp_replace(raw, {_TRIM}) AS content FROM p),
+  b AS (SELECT doc_id, line, line AS nth, sha256(content) AS content_hash FROM t WHERE content <> '' UNION ALL SELECT doc_id, start_line, win, content_hash FROM wins JOIN g USING (doc_id) WHERE gap)
+  SELECT doc_id, line::BIGINT AS line, row_number() OVER (PARTITION BY doc_id ORDER BY nth) - 1 AS chunk_index, content_hash FROM b"""
 )
 def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.line_chunks(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "line", "chunk_index", F.sha2("content", 256).alias("content_hash"))
 
 
-@query(
-    """WITH s AS (SELECT doc_id, string_split_regex(text, '\\r?\\n') AS lines FROM documents WHERE text IS NOT NULL), n AS (SELECT *, len(lines) AS n FROM s),
-  w AS (SELECT doc_id, lines, unnest(range(0, CASE WHEN n <= 50 THEN 1 ELSE ceil((n - 50) / 45.0)::BIGINT + 1 END)) AS win FROM n), c AS (SELECT doc_id, win, list_slice(lines, win * 45 + 1, win * 45 + 50) AS part FROM w),
-  f AS (SELECT *, list_filter(range(1, len(part) + 1), lambda i: regexp_replace(part[i], '^[ \\t\\r\\n\\f\\v]+|[ \\t\\r\\n\\f\\v]+$', '', 'g') <> '') AS fl FROM c)
-  SELECT doc_id, win AS "window", win * 45 + fl[1] AS start_line, win * 45 + fl[-1] AS end_line, sha256(regexp_replace(array_to_string(part, chr(10)), '^[ \\t\\r\\n\\f\\v]+|[ \\t\\r\\n\\f\\v]+$', '', 'g')) AS content_hash FROM f WHERE len(fl) > 0"""
-)
+@query(f'WITH {_WINDOWS_SQL} SELECT doc_id, win AS "window", start_line, end_line, content_hash FROM wins')
 def window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.window_chunks(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "window", "start_line", "end_line", F.sha2("content", 256).alias("content_hash"))
 
 
-@query()
+_FAMILY_SQL = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in {**{x: x for x in chunking.BOUNDARIES if x not in ("jvm", "other")}, "java": "jvm", "kotlin": "jvm", "scala": "jvm", "csharp": "jvm"}.items()) + " ELSE 'other' END"
+_BOUNDARY_SQL = "CASE family " + " ".join(f"WHEN '{k}' THEN regexp_matches(x, '{v}')" for k, v in chunking.BOUNDARIES.items()) + " END"
+
+
+@query(
+    f"""WITH RECURSIVE {CHUNKS_SQL}, t AS (SELECT id, chunk_text, {PATH_SQL} AS path FROM chunks WHERE chunk_text IS NOT NULL), e AS (SELECT *, {_EXT_SQL} AS ext FROM t), l AS (SELECT id, string_split_regex(chunk_text, '\\r?\\n') AS lines, {_LANG_SQL} AS lang FROM e),
+  u AS (SELECT id, {_FAMILY_SQL} AS family, unnest(list_transform(lines, lambda y: lower(regexp_replace(y, {_TRIM})))) AS x, generate_subscripts(lines, 1) AS i FROM l), pl AS (SELECT id, list(i) AS places FROM u WHERE x = '' OR {_BOUNDARY_SQL} GROUP BY id),
+  b AS (SELECT l.id, lines, len(lines) AS n, coalesce(places, []) AS places FROM l LEFT JOIN pl USING (id)),
+  w AS (SELECT id, 0 AS win, 0::BIGINT AS a, (CASE WHEN n <= 50 THEN n ELSE coalesce(list_max(list_filter(places, lambda p: p <= 50 AND p > 39)), 50) END)::BIGINT AS z FROM b
+    UNION ALL SELECT id, win + 1, a, (CASE WHEN a + 50 >= n THEN n ELSE coalesce(list_max(list_filter(places, lambda p: p <= a + 50 AND p > greatest(a + 2, a + 39))), a + 50) END)::BIGINT FROM (SELECT w.id, w.win, greatest(w.a + 1, w.z - 5) AS a, b.n, b.places FROM w JOIN b USING (id) WHERE w.z < b.n)),
+  c AS (SELECT w.id, win, a, list_slice(lines, a + 1, z) AS part FROM w JOIN b USING (id)), f AS (SELECT *, list_filter(range(1, len(part) + 1), lambda i: regexp_replace(part[i], {_TRIM}) <> '') AS fl FROM c)
+  SELECT id, row_number() OVER (PARTITION BY id ORDER BY win) - 1 AS chunk_index, a + fl[1] AS start_line, a + fl[-1] AS end_line, sha256(regexp_replace(array_to_string(part, chr(10)), {_TRIM})) AS content_hash FROM f WHERE len(fl) > 0"""
+)
 def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boundary-aware windows over the text of every chunk (a state along the lines that SQL cannot carry; tested against brute force)."""
+    """Boundary-aware windows over the text of every chunk."""
     chunks = current_chunks(table(spark, sf_dir, "indexed_chunks")).select("id", "chunk_text", T.language(chunk_path("file_record_id")).alias("lang"))
     return chunking.code_chunks(chunks, "id", "chunk_text", "lang").select("id", "chunk_index", "start_line", "end_line", F.sha2("content", 256).alias("content_hash"))
 

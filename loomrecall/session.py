@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,11 +52,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session, or a fresh one of our own where that is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session. Only a local session may leave it unset and gets a fresh folder (tests)."""
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     if configured:
         return configured.rstrip("/")
     context = spark.sparkContext
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
     if not hasattr(context, "_loomrecall_dir"):  # the setting can't be changed in a running session
         context._loomrecall_dir = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return context._loomrecall_dir
@@ -67,6 +70,7 @@ def _own_dir(spark: SparkSession) -> str:
 
 def sweep(spark: SparkSession) -> None:
     """Delete the tables that this application has written into the shared folder; call it when no result of it is needed any more."""
+    spark.sparkContext.__dict__.pop("_loomrecall_kept", None)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -86,6 +90,27 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
+def table_version(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> tuple:
+    """What changes when one of the tables is written: files, bytes and times below each."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        fs = path.getFileSystem(conf)
+        size = fs.getContentSummary(path)
+        newest = max([f.getModificationTime() for f in fs.listStatus(path)], default=0)
+        out.append((name, size.getFileCount(), size.getLength(), newest))
+    return (sf_dir, *out)
+
+
+def kept(spark: SparkSession, label: str, version: tuple, build: Callable[[], tuple[DataFrame, ...]]) -> tuple[DataFrame, ...]:
+    """Written tables that ``build`` makes once per application and version of its sources."""
+    held = spark.sparkContext.__dict__.setdefault("_loomrecall_kept", {})
+    if (label, version) not in held:
+        held[label, version] = build()
+    return held[label, version]
+
+
 def slots(spark: SparkSession) -> int:
     """Task slots of the cluster as Spark reports them."""
     return max(1, spark.sparkContext.defaultParallelism)
