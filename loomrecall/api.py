@@ -66,21 +66,20 @@ class Engine:
     def graph(self) -> tuple[DataFrame, DataFrame]:
         """Vertices and edges, built once per engine."""
         if self._graph is None:
-            chunks = current_chunks(self._table("indexed_chunks"))
-            syms = materialize(codegraph.symbols(chunks), "graph-symbols")
-            self._graph = materialize(codegraph.nodes(current_files(self._table("file_records")), syms), "graph-nodes"), materialize(codegraph.edges(chunks, syms), "graph-edges")
+            self._graph = codegraph.code_graph(current_chunks(self._table("indexed_chunks")), current_files(self._table("file_records")))[1:]
         return self._graph
 
     def graph_query(self, text: str, limit: int = 10) -> DataFrame:
         """Vertices for a text with their degrees."""
         n, e = self.graph()
         hit = n.withColumn("score", codegraph.match_score(F.col("label"), F.col("source_file"), text)).where("score is not null").orderBy(F.desc("score"), "label", "id").limit(limit)
-        return hit.join(codegraph.degrees(e), ["project_key", "id"], "left").fillna(0, ["in_degree", "out_degree"])
+        return hit.join(codegraph.degrees(e, hit), ["project_key", "id"], "left").fillna(0, ["in_degree", "out_degree"])
 
     def graph_explain(self, text: str, limit: int = 10) -> DataFrame:
         """The best vertex for a text with its best edges."""
         best = self.graph_query(text, 1)
-        return codegraph.top_adjacent(self.graph()[1], best.select("project_key", "id"), limit)
+        n, e = self.graph()
+        return codegraph.labelled(codegraph.top_adjacent(e, best.select("project_key", "id"), limit), n)
 
     def graph_path(self, source: str, target: str, max_depth: int = 4) -> DataFrame:
         """A shortest path between the best vertices for two texts."""

@@ -139,24 +139,9 @@ def strip_tool_traces(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, r"\r?\n"), line), "\n")
 
 
-def feature_key(path: Column) -> Column:
-    """The feature a source file belongs to by words of its name, else its folder."""
-    p = slashed(path)
-    name = F.lower(F.element_at(F.split(p, "/"), -1))
-    tests = F.when(p.contains("/tests/") | p.startswith("tests/"), "tests:").otherwise("")
-    src = F.when(p.contains("/src/"), "src:").otherwise("")
-    prefix = F.when(tests != "", tests).otherwise(src)
-    any_of = lambda *ws: F.exists(F.array(*[F.lit(w) for w in ws]), lambda w: name.contains(w))
-    # The buckets and their words.
-    buckets = (
-        ("file-search", ("file-search",)), ("graph", ("graph",)), ("mcp", ("mcp",)), ("session-capture", ("session", "capture", "transcript")),
-        ("memory", ("memory", "store", "retrieval", "search-index")), ("queue", ("queue", "worker")), ("semantic", ("embedding", "semantic")), ("contracts", ("identity", "normalizer", "contract")),
-    )
-    out = F.when(path.isNull(), F.lit("external"))
-    for key, words in buckets:
-        out = out.when(any_of(*words), F.concat(prefix, F.lit(key)))
-    own = F.element_at(F.split(F.regexp_replace(F.element_at(F.split(p, "/"), -1), r"\.[^.]+$", ""), "-"), 1)
-    return out.when(tests != "", F.concat(tests, F.lit("other"))).when(src != "", F.concat(src, F.coalesce(F.nullif(own, F.lit("")), F.lit("other")))).otherwise(F.coalesce(F.nullif(F.array_join(F.slice(F.split(p, "/"), 1, 2), "/"), F.lit("")), F.lit("root")))
+def folder(path: Column) -> Column:
+    """The folder of a path, ``.`` at the root and for null."""
+    return F.coalesce(F.nullif(F.regexp_replace(slashed(path), r"/?[^/]*$", ""), F.lit("")), F.lit("."))
 
 
 def escape_html(c: Column) -> Column:

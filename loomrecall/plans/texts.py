@@ -91,19 +91,12 @@ def keyword_match_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current_files(table(spark, sf_dir, "file_records")).select("id", hits.cast("long").alias("hits")).where("hits > 0").withColumn("ratio", F.round(F.col("hits") / F.lit(float(len(KEYWORDS))), 6))
 
 
-_FEATURE_SQL = """CASE WHEN path IS NULL THEN 'external' WHEN contains(nm, 'file-search') THEN pre || 'file-search' WHEN contains(nm, 'graph') THEN pre || 'graph' WHEN contains(nm, 'mcp') THEN pre || 'mcp'
-  WHEN contains(nm, 'session') OR contains(nm, 'capture') OR contains(nm, 'transcript') THEN pre || 'session-capture' WHEN contains(nm, 'memory') OR contains(nm, 'store') OR contains(nm, 'retrieval') OR contains(nm, 'search-index') THEN pre || 'memory'
-  WHEN contains(nm, 'queue') OR contains(nm, 'worker') THEN pre || 'queue' WHEN contains(nm, 'embedding') OR contains(nm, 'semantic') THEN pre || 'semantic' WHEN contains(nm, 'identity') OR contains(nm, 'normalizer') OR contains(nm, 'contract') THEN pre || 'contracts'
-  WHEN tst <> '' THEN 'tests:other' WHEN pre <> '' THEN 'src:' || coalesce(nullif(list_extract(string_split(regexp_replace(list_extract(string_split(p, '/'), -1), '\\.[^.]+$', ''), '-'), 1), ''), 'other')
-  ELSE coalesce(nullif(array_to_string(list_slice(string_split(p, '/'), 1, 2), '/'), ''), 'root') END"""
+FOLDER_SQL = "coalesce(nullif(regexp_replace(replace({}, '\\', '/'), '/?[^/]*$', ''), ''), '.')"
 
 
-@query(
-    f"""WITH {FILES_SQL}, a AS (SELECT path, replace(path, '\\', '/') AS p FROM files), b AS (SELECT *, lower(list_extract(string_split(p, '/'), -1)) AS nm, CASE WHEN contains(p, '/tests/') OR starts_with(p, 'tests/') THEN 'tests:' ELSE '' END AS tst,
-  CASE WHEN contains(p, '/tests/') OR starts_with(p, 'tests/') THEN 'tests:' WHEN contains(p, '/src/') THEN 'src:' ELSE '' END AS pre FROM a) SELECT {_FEATURE_SQL} AS feature, count(*) AS files FROM b GROUP BY 1"""
-)
-def feature_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return current_files(table(spark, sf_dir, "file_records")).groupBy(T.feature_key(F.col("path")).alias("feature")).agg(F.count(F.lit(1)).alias("files"))
+@query(f"WITH {FILES_SQL} SELECT {FOLDER_SQL.format('path')} AS folder, count(*) AS files FROM files GROUP BY 1")
+def folder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return current_files(table(spark, sf_dir, "file_records")).groupBy(T.folder(F.col("path")).alias("folder")).agg(F.count(F.lit(1)).alias("files"))
 
 
 _KEY_SQL = "concat_ws(':', scope, lower(trim(namespace)), coalesce(nullif(lower(trim(parent_context)), ''), 'root'), regexp_replace(lower(trim(leaf_name)), '\\s+', '-', 'g'))"

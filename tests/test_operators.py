@@ -137,9 +137,22 @@ def test_binary_and_skip(spark):
 
 
 def test_imports_resolve(spark):
-    chunks = spark.createDataFrame([("p", "file-record:p:src/a.ts", "import { x } from './lib/b.js';\nimport y from '../c';")], "project_key string, file_record_id string, chunk_text string")
-    files = spark.createDataFrame([("p", "src/lib/b.ts", "B"), ("p", "c/index.ts", "C"), ("q", "c.ts", "Q")], "project_key string, path string, id string")
-    assert {(r.spec, r.target) for r in codegraph.imports(chunks, files).collect()} == {("./lib/b.js", "B"), ("../c", "C")}
+    chunks = spark.createDataFrame(
+        [("p", "file-record:p:src/a.ts", "import { x } from './lib/b';\nimport y from '../c';\nconst z = require('zod');\nexport * from './../../out';"), ("p", "file-record:p:pkg/sub/m.py", "import os\nfrom ..util import f\nfrom . import g\n  from .n.o import h"), ("p", "file-record:p:notes.md", "import nothing")],
+        "project_key string, file_record_id string, chunk_text string",
+    )
+    files = spark.createDataFrame([("p", "src/lib/b.ts", "B"), ("p", "src/lib/b.js", "BJ"), ("p", "c/index.ts", "C"), ("q", "c.ts", "Q"), ("p", "pkg/util.py", "U"), ("p", "pkg/sub/__init__.py", "S"), ("p", "pkg/sub/n/o.py", "O"), ("p", "out.ts", "OUT")], "project_key string, path string, id string")
+    got = {r.spec: (r.target, r.resolved) for r in codegraph.imports(chunks, files).collect()}
+    assert got == {"./lib/b": ("B", True), "../c": ("C", True), "zod": ("import:p:zod", False), "./../../out": ("OUT", True), "os": ("import:p:os", False), "..util": ("U", True), ".": ("S", True), ".n.o": ("O", True)}
+
+
+def test_heritage(spark):
+    rows = [("p", "f1", "class Base {}\ninterface Shape<T> {\n"), ("p", "f2", "export class Round<T> extends lib.Base<T> implements Shape<number>, Missing {\n}\nclass Py(Base, metaclass=M):\n  pass\nclass Base2(Py2, mod.Py):\n"), ("q", "f3", "class Other extends Base {"), ("p", "f4", "class Self extends Self {\nconst run = async (a, b) => a\nlet two = x => x")]
+    chunks = spark.createDataFrame([(*r, 1) for r in rows], "project_key string, file_record_id string, chunk_text string, start_line int")
+    syms = codegraph.symbols(chunks)
+    got = {(r.source, r.target) for r in codegraph.heritage(chunks, syms).collect()}
+    assert got == {("f2#Round", "f1#Base"), ("f2#Round", "f1#Shape"), ("f2#Py", "f1#Base"), ("f2#Base2", "f2#Py")}
+    assert {r.label for r in syms.where("kind = 'function'").collect()} == {"run", "two"}
 
 
 def test_shortest_path(spark):
