@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from loomrecall.functions import constants as C
 from loomrecall.operators import sessions as S
 from loomrecall.plans.registry import query
-from loomrecall.session import table
+from loomrecall.session import materialize, table
+from loomrecall.sources.transcripts import BLANK_SQL, LINES_SQL, line_messages
 
 _TURNS_SQL = "turns AS (SELECT DISTINCT session_id, id, turn_ts, user_text, assistant_text FROM session_turns WHERE session_id IS NOT NULL AND NOT regexp_matches(user_text, '^[\\s\\p{Z}]*$') AND NOT regexp_matches(assistant_text, '^[\\s\\p{Z}]*$'))"
 
@@ -92,16 +93,34 @@ def event_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT session_id, event_id, min(line_offset) AS pos, min(lower(regexp_extract(content, '^\\s*((?i)user|assistant)\\s*:', 1))) AS speaker FROM transcript_lines WHERE session_id IS NOT NULL AND line_offset IS NOT NULL AND regexp_matches(content, '(?is)^\\s*(user|assistant)\\s*:\\s*\\S') GROUP BY 1, 2),
-  o AS (SELECT *, sum(CASE WHEN speaker = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY pos, event_id ROWS UNBOUNDED PRECEDING) - 1 AS turn FROM t)
+    f"""WITH {LINES_SQL}, t AS (SELECT session_id, event_id, min(line_offset) AS pos, min(CASE WHEN role IN ('user', 'assistant') AND NOT {BLANK_SQL.format('body')} THEN role END) AS speaker FROM lines_read WHERE session_id IS NOT NULL AND event_id IS NOT NULL GROUP BY 1, 2),
+  o AS (SELECT *, sum(CASE WHEN speaker = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY pos, event_id ROWS UNBOUNDED PRECEDING) - 1 AS turn FROM t WHERE pos IS NOT NULL AND speaker IS NOT NULL)
   SELECT session_id, turn::BIGINT AS turn, min(event_id) FILTER (WHERE speaker = 'user') AS user_event, (count(*) - 1)::BIGINT AS replies FROM o WHERE turn >= 0 GROUP BY 1, 2"""
 )
 def assembled_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns from the plain-text transcript lines: each user message with the number of replies up to the next one."""
-    lines = table(spark, sf_dir, "transcript_lines").where("session_id is not null and line_offset is not null").where(F.col("content").rlike(r"(?is)^\s*(user|assistant)\s*:\s*\S"))
-    said = lines.select("session_id", "event_id", "line_offset", F.lower(F.regexp_extract("content", r"(?i)^\s*(user|assistant)\s*:", 1)).alias("speaker"))
-    messages = said.groupBy("session_id", "event_id").agg(F.min("line_offset").alias("at"), F.min("speaker").alias("speaker"))
-    return S.assembled_turns(messages)
+    """Turns from all transcript lines, plain and JSON: each user message with the number of replies up to the next one."""
+    said = line_messages(table(spark, sf_dir, "transcript_lines")).where("at is not null and speaker <> 'other'")
+    return S.assembled_turns(materialize(said.select("session_id", "event_id", "at", "speaker"), "turn-messages"))
+
+
+@query(
+    f"""WITH {LINES_SQL}, t AS (SELECT session_id, event_id, min(line_offset) AS line_offset, min(parent) AS parent_id, coalesce(min(CASE WHEN role IN ('user', 'assistant') AND NOT {BLANK_SQL.format('body')} THEN role END), 'other') AS speaker FROM lines_read WHERE session_id IS NOT NULL AND event_id IS NOT NULL GROUP BY 1, 2)
+  SELECT session_id, event_id, line_offset AS "at", parent_id, speaker FROM t"""
+)
+def transcript_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event of every transcript with its speaker, place and parent."""
+    return line_messages(table(spark, sf_dir, "transcript_lines")).select("session_id", "event_id", "at", "parent_id", "speaker")
+
+
+@query(
+    f"""WITH RECURSIVE {LINES_SQL}, t AS (SELECT session_id, event_id, min(parent) AS parent_id, coalesce(min(CASE WHEN role IN ('user', 'assistant') AND NOT {BLANK_SQL.format('body')} THEN role END), 'other') AS speaker FROM lines_read WHERE session_id IS NOT NULL AND event_id IS NOT NULL GROUP BY 1, 2),
+  up AS (SELECT session_id, event_id, event_id AS start, parent_id, 0 AS n FROM t WHERE speaker = 'assistant' UNION SELECT p.session_id, p.event_id, up.start, p.parent_id, up.n + 1 FROM up JOIN t p ON p.session_id = up.session_id AND p.event_id = up.parent_id WHERE p.speaker <> 'user' AND up.n < 100),
+  top AS (SELECT up.session_id, up.start, p.event_id AS user_event FROM up JOIN t p ON p.session_id = up.session_id AND p.event_id = up.parent_id WHERE p.speaker = 'user')
+  SELECT t.session_id, t.event_id AS user_event, count(top.start) AS replies FROM t LEFT JOIN top ON top.session_id = t.session_id AND top.user_event = t.event_id WHERE t.speaker = 'user' GROUP BY 1, 2"""
+)
+def message_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns from the parent links of all transcript lines."""
+    return S.message_tree(line_messages(table(spark, sf_dir, "transcript_lines")), "message-trees")
 
 
 @query(
