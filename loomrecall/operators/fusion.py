@@ -91,6 +91,12 @@ def definition_boost(df: DataFrame, by: list[str], query: str, path: str, text:
     return held.withColumn(score, F.col(score) + gain).drop("_top")
 
 
+def with_definitions(cands: DataFrame, rows: DataFrame, query: str, text: str, key: list[str], score: str) -> DataFrame:
+    """``cands``, and with score 0 the ``rows`` that define the symbol of a symbol query but are no candidates. Both have ``query`` and the ``key`` columns."""
+    new = rows.where(T.is_symbol_query(F.col(query)) & F.coalesce(defines(F.col(text), T.symbol_name(F.col(query))), F.lit(False))).join(cands.select(query, *key), [query, *key], "left_anti")
+    return cands.unionByName(new.withColumn(score, F.lit(0.0)).select(*cands.columns))
+
+
 def embedded_boost(df: DataFrame, by: list[str], query: str, path: str, text: str, score: str) -> DataFrame:
     """Questions that hold symbols: chunks that define one of them gain one and a half times the best score, half as much again if the file is named after one."""
     names = F.array_distinct(F.regexp_extract_all(F.col(query), F.lit(C.EMBEDDED_SYMBOL), F.lit(0)))

@@ -10,7 +10,7 @@ from loomrecall.functions import constants as C
 from loomrecall.functions import text as T
 from loomrecall.functions import vectors as V
 from loomrecall.operators import fusion, index, vectors
-from loomrecall.operators.tables import CHUNKS_SQL, RECORDS_SQL, current_chunks, current_records, tokens_sql
+from loomrecall.operators.tables import CHUNKS_SQL, PATH_SQL, RECORDS_SQL, chunk_path, current_chunks, current_records, tokens_sql
 from loomrecall.plans.index import _MEM_TERMS, _MEM_TEXT_SQL, TERMS, bm25_sql, memory_bm25_scores
 from loomrecall.plans.registry import query
 from loomrecall.plans.texts import _PENALTY_SQL, STEM_SQL, split_sql
@@ -242,6 +242,40 @@ def definition_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.definition_boost(held, _BY, "query_text", "file_path", "chunk_text", "score").select(*_OUT, F.round("score", 6).alias("score"))
 
 
+@query(
+    f"""WITH {CHUNKS_SQL}, {_HITS_SQL}, j AS (SELECT h.*, c.chunk_text, h.file_path AS p FROM hits h LEFT JOIN (SELECT file_record_id, chunk_index, min(chunk_text) AS chunk_text FROM chunks GROUP BY 1, 2) c ON c.file_record_id = 'file-record:' || h.project_key || ':' || h.file_path AND c.chunk_index = h.chunk_index),
+  pv AS (SELECT *, {STEM_SQL} AS st, lower(coalesce(list_extract(list_filter(string_split(p, '/'), lambda x: x <> ''), -2), '')) AS par FROM j), vs AS (SELECT *, list_filter(list_concat({split_sql("st")}, {split_sql("par")}), lambda x: x <> '') AS v FROM pv),
+  nm AS (SELECT query_text, project_key, file_path, chunk_index, chunk_text, v, unnest(list_distinct(regexp_extract_all(query_text, '{C.EMBEDDED_SYMBOL}'))) AS symbol FROM vs),
+  hd AS (SELECT query_text, project_key, file_path, chunk_index, bool_or(coalesce(regexp_matches(chunk_text, '{_DEF_SQL.replace("sy.symbol", "symbol")}'), false)) AS def, bool_or(list_contains(v, lower(symbol))) AS named FROM nm GROUP BY ALL)
+  SELECT j.query_text, j.project_key, j.file_path, j.chunk_index, round(score + CASE WHEN NOT regexp_matches(trim(j.query_text), '{C.SYMBOL_QUERY}') AND coalesce(def, false) THEN max(score) OVER (PARTITION BY j.query_text) * 3.0::DOUBLE * {C.EMBEDDED_BOOST_SCALE}::DOUBLE * CASE WHEN named THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END ELSE 0 END, 6) AS score
+  FROM j LEFT JOIN hd ON hd.query_text = j.query_text AND hd.project_key = j.project_key AND hd.file_path = j.file_path AND hd.chunk_index = j.chunk_index"""
+)
+def embedded_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logged hits of questions that hold symbols, the chunks that define one of them first."""
+    texts = current_chunks(table(spark, sf_dir, "indexed_chunks")).groupBy("file_record_id", "chunk_index").agg(F.min("chunk_text").alias("chunk_text"))
+    hits = logged_hits(spark, sf_dir).withColumn("file_record_id", F.concat(F.lit("file-record:"), "project_key", F.lit(":"), "file_path"))
+    held = hits.join(texts, ["file_record_id", "chunk_index"], "left")
+    return fusion.embedded_boost(held, _BY, "query_text", "file_path", "chunk_text", "score").select(*_OUT, F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""WITH {CHUNKS_SQL}, {_HITS_SQL}, sy AS (SELECT DISTINCT query_text, project_key, trim(regexp_extract(trim(query_text), '(?s)^(?:.*(?:::|\\\\|->|\\.))?(.*)$', 1)) AS symbol FROM hits WHERE regexp_matches(trim(query_text), '{C.SYMBOL_QUERY}')),
+  w AS (SELECT DISTINCT id, project_key, {PATH_SQL} AS file_path, chunk_index, chunk_text, unnest(regexp_extract_all(chunk_text, '[A-Za-z_][A-Za-z0-9_]*')) AS symbol FROM chunks),
+  d AS (SELECT DISTINCT sy.query_text, sy.project_key, w.file_path, w.chunk_index FROM sy JOIN w ON w.project_key = sy.project_key AND w.symbol = sy.symbol WHERE regexp_matches(chunk_text, '{_DEF_SQL}')),
+  u AS (SELECT query_text, project_key, file_path, chunk_index, score FROM hits WHERE query_text IN (SELECT query_text FROM sy) UNION ALL SELECT d.*, 0.0::DOUBLE FROM d WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_text = d.query_text AND h.project_key = d.project_key AND h.file_path = d.file_path AND h.chunk_index = d.chunk_index))
+  SELECT query_text, project_key, file_path, chunk_index, round(score, 6) AS score FROM u"""
+)
+def injected_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The logged hits of symbol queries, and the chunks of the same project that define the symbol without having been hit."""
+    hits = logged_hits(spark, sf_dir).where(T.is_symbol_query(F.col("query_text"))).select(*_OUT, "score")
+    symbols = hits.select("query_text", "project_key", T.symbol_name(F.col("query_text")).alias("symbol")).distinct()
+    chunks = current_chunks(table(spark, sf_dir, "indexed_chunks"))
+    words = chunks.select("id", "project_key", F.explode(F.array_distinct(T.raw_words(F.col("chunk_text")))).alias("symbol"))
+    texts = chunks.select("id", chunk_path("file_record_id").alias("file_path"), "chunk_index", "chunk_text")
+    named = words.join(symbols, ["project_key", "symbol"]).join(texts, "id").select(*_OUT, "chunk_text").distinct()
+    return fusion.with_definitions(hits, named, "query_text", "chunk_text", _OUT[1:], "score").select(*_OUT, F.round("score", 6).alias("score")).distinct()
+
+
 @query(
     f"""WITH c AS (SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS cs FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
   SELECT query_id, vec_id, round(cs, 6) AS cosine, row_number() OVER (PARTITION BY query_id ORDER BY round(cs, 9) DESC, vec_id) AS rank FROM c QUALIFY rank <= 5"""

@@ -34,7 +34,8 @@ def bursts(stream: DataFrame, ts: str, key: str, gap: str, delay: str) -> DataFr
 def keyed_sink(path: str, key: str, payload: list[str], created: str, updated: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that upserts each batch into versions below ``path``.
 
-    Version n is the store after batch n. A batch that is run again writes its version again from the one before, so a replay changes nothing.
+    Version n is the store after batch n. A batch that is run again writes its version again from the one before, so a replay changes nothing;
+    older versions than that one are deleted.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -46,5 +47,7 @@ def keyed_sink(path: str, key: str, payload: list[str], created: str, updated: s
             old = rows.limit(0).withColumn("writes", F.lit(0).cast("long"))
         out = upsert(old.select(key, *payload, created, updated), rows, key, payload, created, updated)
         out.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version={batch_id - 2}")
+        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
     return write

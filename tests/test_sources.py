@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomrecall.api import Engine
@@ -23,7 +24,11 @@ def test_scan_tree(spark, tmp_path):
 
 def test_corpus_roundtrip(spark, tmp_path):
     lines = [{"id": "a", "content": "one"}, {"id": "a", "content": {"text": "two", "structured": {"k": 1}}, "scope": "user"}, {"id": "a", "content": "gone", "lifecycle": "deleted"}, {"id": "b", "content": {"text": None}}]
-    (tmp_path / "c.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\n\n{broken\n")
+    (tmp_path / "c.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\n\n")
+    (tmp_path / "bad.jsonl").write_text(json.dumps(lines[0]) + "\n{broken\n[1]\n")
+    assert sorted(r.value for r in corpus.broken_lines(spark, str(tmp_path / "bad.jsonl")).collect()) == ["[1]", "{broken"]
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        corpus.read_jsonl(spark, str(tmp_path / "bad.jsonl")).collect()
     got = {r.id: (r.text, r.scope, r.structured) for r in corpus.read_jsonl(spark, str(tmp_path / "c.jsonl")).collect()}
     assert got == {"a": ("two", "user", '{"k":1}'), "b": (None, "project", None)}
     (tmp_path / "s.json").write_text(json.dumps({"version": 1, "records": lines[:1]}))
@@ -32,6 +37,9 @@ def test_corpus_roundtrip(spark, tmp_path):
     assert corpus.read_jsonl(spark, str(tmp_path / "out")).first().text == "x"
     corpus.bucketed_store(spark.createDataFrame([("a", 1), ("b", 1)], "id string, v int"), str(tmp_path / "store"), 64)
     corpus.bucketed_store(spark.createDataFrame([("a", 2)], "id string, v int"), str(tmp_path / "store"), 64)
+    corpus.bucketed_store(spark.createDataFrame([(f"x{i}", i) for i in range(9)], "id string, v int"), str(tmp_path / "few"), 1)
+    corpus.bucketed_store(spark.createDataFrame([("x3", 33), ("y", 1)], "id string, v int"), str(tmp_path / "few"), 1)
+    assert {(r.id, r.v) for r in spark.read.parquet(str(tmp_path / "few")).collect()} == {(f"x{i}", 33 if i == 3 else i) for i in range(9)} | {("y", 1)}
     assert {(r.id, r.v) for r in spark.read.parquet(str(tmp_path / "store")).collect()} == {("a", 2), ("b", 1)}
 
 
@@ -104,6 +112,8 @@ def test_keyed_sink_replays(spark, tmp_path):
     a, b = spark.createDataFrame([("a", "x", "1", "1")], s), spark.createDataFrame([("a", "y", "2", "2"), ("b", "z", "2", "2")], s)
     for frame, n in ((a, 0), (b, 1), (b, 1)):
         write(frame, n)
+    write(a.limit(0), 2)
+    assert sorted(p.name for p in (tmp_path / "kv").iterdir()) == ["version=1", "version=2"]
     assert {(r.id, r.text, r.created) for r in spark.read.parquet(str(tmp_path / "kv" / "version=1")).collect()} == {("a", "y", "1"), ("b", "z", "2")}
     assert upsert(a, b, "id", ["text"], "created", "updated").count() == 2
 
@@ -118,3 +128,32 @@ def test_engine(spark, tables):
     assert best.count() == 3
     rid = spark.read.parquet(f"{tables}/record_embeddings.parquet").where("status = 'ready'").orderBy("record_id").first().record_id
     assert e.related(rid, 3).count() <= 3
+
+
+def test_engine_modes(spark, tables):
+    e = Engine(spark, tables)
+    chunks = spark.read.parquet(f"{tables}/indexed_chunks.parquet").dropDuplicates(["id"])
+    pos = F.pmod(F.xxhash64("id"), F.lit(97)).cast("double")
+    vectors = chunks.select("id", F.array(pos, F.lit(7.0), F.lit(1.0)).alias("embedding"))
+    near = e.search_files("cached query", 5, mode="semantic", vectors=vectors, query_vector=[0.0, 7.0, 1.0]).collect()
+    both = e.search_files("cached query", 5, mode="hybrid", vectors=vectors, query_vector=[0.0, 7.0, 1.0], alpha=0.5).collect()
+    assert len(near) == len(both) == 5 and [r["rank"] for r in both] == [1, 2, 3, 4, 5]
+    symbol = e.search_files("HotScope", 5).collect()
+    assert all(r.score >= 0 for r in symbol)
+    for wrong in ({"mode": "semantic"}, {"mode": "other"}, {"mode": "hybrid", "vectors": vectors}):
+        with pytest.raises(ValueError):
+            e.search_files("x", **wrong)
+    one = chunks.where("start_line is not null and end_line is not null").orderBy("id").first()
+    path = one.file_record_id.split(":", 3)[3] if one.file_record_id.startswith("file-record:project:") else one.file_record_id.split(":", 2)[2]
+    assert e.related_chunks(one.project_key, path, one.start_line, vectors, 3).count() <= 3
+
+
+def test_tables_of_a_version_are_kept(spark, tables):
+    from loomrecall import session
+
+    version = session.table_version(spark, tables, ("indexed_chunks", "file_records"))
+    made = []
+    build = lambda: made.append(1) or (spark.range(1),)
+    assert session.kept(spark, "t", version, build) is session.kept(spark, "t", version, build) and len(made) == 1
+    session.kept(spark, "t", (*version, "newer"), build)
+    assert len(made) == 2
