@@ -17,118 +17,58 @@ from pyspark.sql.window import Window
 from loomrecall.operators.ordered import POS, split_ordered
 from loomrecall.operators.sessions import assembled_turns, message_tree
 from loomrecall.session import materialize
-
-#: White space of any kind, with the blanks that Java's \s leaves out.
-BLANK = r"^[\s\p{Z}\x{1c}-\x{1f}\x{85}\x{180e}]*$"
-
-
-def is_blank(c: Column) -> Column:
-    """True for null and for texts of white space only."""
-    return c.isNull() | c.rlike(BLANK)
-
-
-def _get(v: Column, path: str, kind: str) -> Column:
-    return F.try_variant_get(v, path, kind)
-
-
-def _kind(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
-
-
-def parse_line(content: Column) -> dict[str, Column]:
-    """Columns of one transcript line: ``broken``, ``role`` (lower case or null), ``body`` and ``parent`` (null if there is none)."""
-    raw = F.ltrim(content)
-    is_json = raw.startswith("{")
-    doc = F.when(is_json, F.try_parse_json(raw))
-    message, item = _get(doc, "$.message", "variant"), _get(doc, "$.item", "variant")
-    payload = _get(doc, "$.payload", "variant")
-    inner = _get(doc, "$.payload.message", "variant")
-
-    def has_object(v: Column) -> Column:
-        return _kind(v).startswith("OBJECT")
-
-    def has_role(v: Column) -> Column:
-        return has_object(v) & (_kind(_get(v, "$.role", "variant")) == "STRING")
-
-    said = (
-        F.when(has_object(message), message).when(has_role(item), item).when(has_object(inner), inner).when(has_role(payload), payload).when(has_role(doc), doc)
-    )
-    role_kind = _kind(_get(said, "$.role", "variant"))
-    body = _get(said, "$.content", "variant")
-    parts = F.filter(_get(said, "$.content", "array<variant>"), lambda x: (_get(x, "$.type", "string") == "text") & _get(x, "$.text", "string").isNotNull())
-    text = F.when(_kind(body) == "STRING", _get(said, "$.content", "string")).when(
-        _kind(body).startswith("ARRAY"), F.array_join(F.transform(parts, lambda x: _get(x, "$.text", "string")), " ")
-    )
-    plain = r"(?is)^\s*(user|assistant)\s*:(.*)$"
-    parent = F.coalesce(_get(said, "$.parentId", "string"), _get(payload, "$.parentId", "string"), _get(doc, "$.parentId", "string"))
-    role = F.when(is_json, F.when(role_kind == "STRING", F.lower(F.trim(_get(said, "$.role", "string"))))).otherwise(F.lower(F.nullif(F.regexp_extract(content, plain, 1), F.lit(""))))
-    return {
-        "broken": is_json & doc.isNull(),
-        "role": role,
-        "body": F.when(is_json, text).otherwise(F.regexp_extract(content, plain, 2)),
-        "parent": parent,
-    }
-
+from loomrecall.sources.transcripts import is_blank, line_messages, parse_line
 
 def calibrated_gap(rows: DataFrame, channel: str, ts: str, share: float = 0.98, factor: float = 3.0) -> float:
     """Seconds of silence that end a conversation: ``factor`` times the ``share`` quantile of the pauses between neighbouring rows of a channel.
 
-    Read over all rows (``percentile_approx`` is a mergeable sketch). Without any pause the gap is infinite.
+    Read over all rows, exactly: pauses are counted by length before they are ordered. Without any pause the gap is infinite.
     """
     usable = rows.where(F.col(channel).isNotNull() & F.col(ts).isNotNull()).select(channel, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t")).withColumn("_i", F.monotonically_increasing_id())
     pauses = split_ordered(usable, [channel], ["_t", "_i"], "pauses", around={"_after": "_t"}).select((F.col("_after") - F.col("_t")).alias("p")).where("p is not null")
-    got = pauses.agg(F.percentile_approx("p", share, 10000).alias("q")).first()["q"]
+    counts = pauses.groupBy((F.floor(F.col("p") / 1_000_000) * 1_000_000).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    got = counts.agg(F.percentile("p", share, F.col("n")).alias("q")).first()["q"]
     return float("inf") if got is None else factor * got / 1e6
 
 
-def split_at_gaps(rows: DataFrame, channel: str, ts: str, ident: str, gap_s: float, label: str) -> DataFrame:
-    """Number the conversations of each channel: ``part`` grows by one after a silence longer than ``gap_s`` seconds.
+def sessionize(rows: DataFrame, channel: list[str], order: list[str], label: str, ts: str | None = None, gap_s: float = float("inf"), around: dict[str, str] | None = None) -> DataFrame:
+    """Order the rows of each channel and split them at silences: adds ``pos`` within the channel, ``part`` (grows by one after a silence of more than ``gap_s`` seconds), and ``around`` as in ``split_ordered``.
 
-    Rows without channel or time are left out. The channel may be hot: slices of it are numbered apart and joined by their sums.
+    A channel that is a session of its own has no such silence: without ``ts``, or with an infinite gap, it is one part. The channel may be
+    hot: slices of it are numbered apart and joined by their sums. Where silences count, rows without channel or time are left out.
     """
-    usable = rows.where(F.col(channel).isNotNull() & F.col(ts).isNotNull())
-    placed = split_ordered(usable, [channel], [ts, ident], label, around={"_next_ts": ts})
+    around = around or {}
+    if ts is None or gap_s == float("inf"):
+        return split_ordered(rows, channel, order, label, around=around).withColumn("part", F.lit(0).cast("long"))
+    rows = rows.where(" and ".join(f"`{c}` is not null" for c in (*channel, ts)))
+    placed = split_ordered(rows, channel, order, label, around={**around, "_next_ts": ts})
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    ends = placed.where((micros("_next_ts") - micros(ts)) > F.lit(gap_s * 1e6)).select(F.col(channel).alias("_c"), F.col(POS).alias("_end"))
-    # Conversations are intervals of positions; an interval join on (channel, block of positions) keeps a hot channel apart.
-    marked = placed.join(ends, (F.col(channel) == F.col("_c")) & (F.col(POS) == F.col("_end")), "left").withColumn("_cut", F.col("_end").isNotNull().cast("long"))
-    marked = marked.drop("_c", "_end").withColumn("_block", F.floor(F.col(POS) / F.lit(4096)))
-    per = marked.groupBy(channel, "_block").agg(F.sum("_cut").alias("_cuts"))
-    before = per.withColumn("_base", F.coalesce(F.sum("_cuts").over(Window.partitionBy(channel).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_cuts")
-    inside = Window.partitionBy(channel, "_block").orderBy(POS).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        marked.withColumn("_in", F.coalesce(F.sum("_cut").over(inside), F.lit(0)))
-        .join(before, [channel, "_block"])
-        .withColumn("part", F.col("_base") + F.col("_in"))
-        .drop("_block", "_cut", "_in", "_base", "_next_ts")
-    )
+    # A row that ends a part adds to the number of all later ones: per block of positions first, then within the block.
+    marked = placed.withColumn("_cut", F.coalesce((micros("_next_ts") - micros(ts)) > F.lit(gap_s * 1e6), F.lit(False)).cast("long")).withColumn("_block", F.floor(F.col(POS) / F.lit(4096)))
+    per = marked.groupBy(*channel, "_block").agg(F.sum("_cut").alias("_cuts"))
+    before = per.withColumn("_base", F.coalesce(F.sum("_cuts").over(Window.partitionBy(*channel).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_cuts")
+    inside = Window.partitionBy(*channel, "_block").orderBy(POS).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = marked.withColumn("_in", F.coalesce(F.sum("_cut").over(inside), F.lit(0))).join(before, [*channel, "_block"])
+    return numbered.withColumn("part", F.col("_base") + F.col("_in")).drop("_block", "_cut", "_in", "_base", "_next_ts")
 
 
 def reciprocal_sessions(messages: DataFrame, label: str) -> DataFrame:
     """Positions for messages (session_id, event_id, speaker, at), and only the sessions whose first message is the user's and where each user message is directly followed by an assistant's."""
-    placed = split_ordered(messages, ["session_id"], ["at", "event_id"], label, around={"_next": "speaker"})
+    placed = sessionize(messages, ["session_id"], ["at", "event_id"], label, around={"_next": "speaker"})
     wrong = ((F.col(POS) == 0) & (F.col("speaker") != "user")) | ((F.col("speaker") == "user") & ~F.coalesce(F.col("_next") == "assistant", F.lit(False)))
     bad = placed.where(wrong).select("session_id").distinct()
     return placed.join(bad, "session_id", "left_anti").select("session_id", F.col(POS).cast("long").alias("msg_pos"), "event_id", "speaker")
 
 
-def transcript_messages(lines: DataFrame) -> DataFrame:
-    """Every transcript line, plain or JSON, once per (session_id, event_id): its parent_id, smallest offset ``at`` and speaker (``other`` if it is no user's or assistant's message)."""
-    cols = parse_line(F.col("content"))
-    rows = lines.where("session_id is not null and event_id is not null").select("session_id", "event_id", "line_offset", *[c.alias(k) for k, c in cols.items()])
-    speaker = F.when(F.col("role").isin("user", "assistant") & ~is_blank(F.col("body")), F.col("role"))
-    return rows.groupBy("session_id", "event_id").agg(F.min("parent").alias("parent_id"), F.min("line_offset").alias("at"), F.coalesce(F.min(speaker), F.lit("other")).alias("speaker"))
-
-
 def transcript_turns(lines: DataFrame) -> DataFrame:
     """Turns of all messages by offset; messages without offset have no place and are left out."""
-    said = transcript_messages(lines).where("at is not null and speaker <> 'other'")
+    said = line_messages(lines).where("at is not null and speaker <> 'other'")
     return assembled_turns(materialize(said.select("session_id", "event_id", "at", "speaker"), "transcript-messages"), "transcript-turns")
 
 
 def transcript_tree(lines: DataFrame) -> DataFrame:
     """Turns of all messages by parent link; lines that are no message only pass the link on."""
-    return message_tree(transcript_messages(lines), "transcript-tree")
+    return message_tree(line_messages(lines), "transcript-tree")
 
 
 def transcript_conversations(lines: DataFrame) -> DataFrame:
@@ -157,7 +97,7 @@ def turn_conversations(turns: DataFrame) -> DataFrame:
     rows = turns.where(F.col("session_id").isNotNull()).select("session_id", F.col("id").alias("event_id"), F.col("turn_ts").alias("at"), (is_blank(F.col("user_text")) | is_blank(F.col("assistant_text"))).alias("blank"))
     once = rows.groupBy("session_id", "event_id").agg(F.min("at").alias("at"), F.max("blank").alias("blank"))
     bad = once.where("blank").select("session_id").distinct()
-    placed = split_ordered(once.join(bad, "session_id", "left_anti").drop("blank"), ["session_id"], ["at", "event_id"], "turns")
+    placed = sessionize(once.join(bad, "session_id", "left_anti").drop("blank"), ["session_id"], ["at", "event_id"], "turns")
     both = F.explode(F.array(F.struct(F.lit(0).alias("o"), F.lit("user").alias("speaker")), F.struct(F.lit(1).alias("o"), F.lit("assistant").alias("speaker"))))
     return placed.select("session_id", "event_id", POS, both.alias("m")).select("session_id", (F.col(POS) * 2 + F.col("m.o")).cast("long").alias("msg_pos"), "event_id", F.col("m.speaker").alias("speaker"))
 
@@ -175,10 +115,10 @@ def channel_conversations(turns: DataFrame) -> DataFrame:
     channel = F.concat_ws("/", F.coalesce("agent", F.lit("unknown")), F.coalesce("model", F.lit("unknown")))
     rows = turns.where(F.col("turn_ts").isNotNull()).select(channel.alias("channel"), "id", "session_id", "turn_ts", (~is_blank(F.col("user_text")) & ~is_blank(F.col("assistant_text"))).alias("replied")).dropDuplicates(["id"])
     gap = calibrated_gap(rows.where(F.col("session_id").isNotNull()), "session_id", "turn_ts")
-    parts = split_at_gaps(rows, "channel", "turn_ts", "id", gap, "channels")
+    parts = sessionize(rows, ["channel"], ["turn_ts", "id"], "channels", "turn_ts", gap)
     return (
         parts.groupBy("channel", "part")
-        .agg(F.min("turn_ts").alias("first_ts"), F.max("turn_ts").alias("last_ts"), F.count(F.lit(1)).alias("n_turns"), F.approx_count_distinct("session_id").alias("n_sessions"), F.max("replied").alias("replied"))
+        .agg(F.min("turn_ts").alias("first_ts"), F.max("turn_ts").alias("last_ts"), F.count(F.lit(1)).alias("n_turns"), F.count_distinct("session_id").alias("n_sessions"), F.max("replied").alias("replied"))
         .where("replied")
         .drop("replied")
     )

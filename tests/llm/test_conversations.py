@@ -40,7 +40,7 @@ def test_turns(spark, ts):
 def test_gap_split(spark, ts):
     rows = [("c", ts(m), f"i{m:04d}") for m in [0, 1, 2, 100, 101, 400]] + [("d", ts(0), "k"), (None, ts(0), "n"), ("c", None, "m")]
     df = spark.createDataFrame(rows, "ch string, t timestamp_ntz, i string")
-    got = {r.i: r.part for r in V.split_at_gaps(df, "ch", "t", "i", 600.0, "gaps").collect()}
+    got = {r.i: r.part for r in V.sessionize(df, ["ch"], ["t", "i"], "gaps", "t", 600.0).collect()}
     assert got == {"i0000": 0, "i0001": 0, "i0002": 0, "i0100": 1, "i0101": 1, "i0400": 2, "k": 0}
     assert V.calibrated_gap(df.limit(0), "ch", "t") == float("inf")
     assert V.calibrated_gap(df, "ch", "t", 0.5, 2.0) == 120.0
