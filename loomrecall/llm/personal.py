@@ -424,9 +424,9 @@ def replace_personal(memory: DataFrame, turns: DataFrame, key: str, placeholders
     else:
         # One field holds few entities: its part list is bounded by its own text.
         same = F.xxhash64(*NAMES, "body")
-        per = found.select(same.alias("h"), *[F.col(c).alias(f"_{c}") for c in NAMES], F.explode("parts").alias("part")).distinct().join(again, "part")
-        per = per.groupBy("h", *[f"_{c}" for c in NAMES]).agg(F.map_from_entries(F.collect_list(F.struct("part", "attempt"))).alias("attempts"))
-        rows = found.withColumn("h", same).join(per, [F.col("h") == per["h"], *[F.col(c) == F.col(f"_{c}") for c in NAMES]], "left")
+        per = found.select(same.alias("_h"), *[F.col(c).alias(f"_{c}") for c in NAMES], F.explode("parts").alias("part")).distinct().join(again, "part")
+        per = per.groupBy("_h", *[f"_{c}" for c in NAMES]).agg(F.map_from_entries(F.collect_list(F.struct("part", "attempt"))).alias("attempts"))
+        rows = found.withColumn("h", same).join(per, [F.col("h") == F.col("_h"), *[F.col(c) == F.col(f"_{c}") for c in NAMES]], "left")
         rows = rows.select(*found.columns, "attempts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

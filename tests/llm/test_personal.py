@@ -151,3 +151,13 @@ def test_surrogates_avoid_entities_that_occur(spark, monkeypatch):
 def test_key_is_needed(spark):
     with pytest.raises(ValueError):
         P.replace_personal(*frames(spark), key="")
+
+
+def test_parts_that_were_drawn_again_reach_their_texts(spark, monkeypatch):
+    m, t = frames(spark)
+    real = P.draw
+    monkeypatch.setattr(P, "draw", lambda part, key, n: "garsadze" if n == 0 and part.startswith("name:") else real(part, key, n))
+    got = {(r.row_key, r.field_name): r.body for r in P.redact_personal(m, t, "k").collect()}
+    first, last = got[("m1", "content.text")].split(",")[0].split()
+    assert got[("t1", "user_text")] == f"Ms {last} asked {first} {last}" and first != last and "garsadze" not in " ".join(got.values()).lower()
+    assert {tuple(r) for r in P.find_personal(m, t, "k").collect()} >= {("memory_records", "m1", "content.text", "name"), ("session_turns", "t1", "user_text", "name")}
