@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomrecall.session import materialize, slots
+from loomrecall.session import materialize, slots, source_bytes
 
 SLICE = "_slice"
 POS = "pos"
+#: Bytes of the source tables for each slice, so that slices stay small when the tables grow.
+SLICE_BYTES = 64_000_000
 
 
 def range_slices(df: DataFrame, key: list[str], order: list[str], label: str) -> DataFrame:
@@ -22,7 +24,7 @@ def range_slices(df: DataFrame, key: list[str], order: list[str], label: str) ->
 
     It is written because the borders come from a sample: they must be the same for every later read.
     """
-    n = 4 * slots(df.sparkSession)
+    n = max(4 * slots(df.sparkSession), -(-source_bytes(df) // SLICE_BYTES))
     ranged = df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in key + order])
     return materialize(ranged.withColumn(SLICE, F.spark_partition_id()), label)
 

@@ -116,6 +116,13 @@ def slots(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
+def source_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that ``df`` is read from, as Spark's statistics give them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 62)  # rows that the driver holds have no size
+
+
 def env_int(name: str, default: int) -> int:
     """Integer from the environment, or ``default``."""
     return int(os.environ.get(name, default))
