@@ -265,13 +265,14 @@ def star_candidates(front: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def all_candidates(labelled: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All pairs (a, b) of a labelled and another node that share a key of their prefixes and may be similar.
+    """All pairs (a, b) of a labelled and an unlabelled node that share a key of their prefixes and may be similar.
 
     Rows of a hot key are cut into blocks and meet in cells of two blocks, so that no task holds all of its pairs.
     """
     known = prefix_rows(labelled)
     keys = known.groupBy("key").agg(F.count(F.lit(1)).alias("na"))
-    rows = prefix_rows(nodes).join(keys, "key").drop("na")
+    # Copies of a text are one node, and labelled nodes look for others only.
+    rows = prefix_rows(nodes).join(keys.select("key"), "key", "left_semi").distinct().join(labelled.select("node"), "node", "left_anti")
     blocks = F.ceil(F.greatest("na", "nb") / F.lit(CELL)).cast("long")
     cuts = keys.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("nb")), "key").select("key", blocks.alias("blocks"))
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
