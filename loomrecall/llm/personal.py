@@ -17,6 +17,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -110,6 +111,18 @@ _CARRIER_GATE = ("by", "author", "my name", "i am", "assigned", "cc:", "thanks",
 _CAMEL = re.compile(r"[a-z][A-Z]")
 
 
+def _signs(words: tuple[str, ...]) -> ahocorasick.Automaton:
+    """Finds the first of many words in one pass over a text."""
+    out = ahocorasick.Automaton()
+    for w in words:
+        out.add_word(w, 1)
+    out.make_automaton()
+    return out
+
+
+_ID_SIGNS, _STREET_SIGNS, _CARRIER_SIGNS = _signs(_ID_GATE), _signs(_STREET_GATE), _signs(_CARRIER_GATE)
+
+
 def _surname(w: str, lower: bool) -> bool:
     bare = w.strip("'’-")
     low = bare.lower()
@@ -145,7 +158,7 @@ def find_entities(text: str, given: frozenset[str] = GIVEN) -> list[tuple[str, i
             _add(spans, "email", a, b, text)
     if re.search(r"\d", text):
         if re.search(r"\d{2}", text):
-            found = list(_ID.finditer(text)) + (list(_ID_NAMED.finditer(text)) if any(w in low for w in _ID_GATE) else [])
+            found = list(_ID.finditer(text)) + (list(_ID_NAMED.finditer(text)) if next(_ID_SIGNS.iter(low), None) else [])
             for m in found:
                 named = m.re is _ID_NAMED
                 a, b = m.span("v") if named else m.span()
@@ -158,15 +171,17 @@ def find_entities(text: str, given: frozenset[str] = GIVEN) -> list[tuple[str, i
                 if not named and re.search(r"(?i)(?:key|ticket|sha|hash|run)[=: ]\s?$", text[max(0, a - 8) : a]) and not re.match(r"\d{3}-\d\d-\d{4}|[A-Z]{2} ?\d|\d{8}-", m.group()):
                     continue
                 _add(spans, "id_number", a, b, text)
-            for m in _CARD.finditer(text):
+            # Eight digits are the fewest that a card or phone number has.
+            long = len(re.findall(r"\d", text)) >= 8
+            for m in _CARD.finditer(text) if long else ():
                 if luhn(re.sub(r"\D", "", m.group())):
                     _add(spans, "id_number", *m.span(), text)
-            for m in _PHONE.finditer(text):
+            for m in _PHONE.finditer(text) if long else ():
                 digits = sum(c.isdigit() for c in re.split(r"(?i)ext|x|#", m.group())[0])
                 if not 8 <= digits <= 16 or (m.group()[0] not in "+(" and _NO_PHONE.search(text[max(0, m.start() - 14) : m.start()])) or _NO_PHONE_AFTER.match(text[m.end() : m.end() + 16]):
                     continue
                 _add(spans, "phone", *m.span(), text)
-        for m in _ADDRESS.finditer(text) if any(w in low for w in _STREET_GATE) else ():
+        for m in _ADDRESS.finditer(text) if next(_STREET_SIGNS.iter(low), None) else ():
             part = m.group("a") or m.group("b")
             a, b = m.span()
             if part:
@@ -270,7 +285,7 @@ def _names(text: str, low: str, spans: list, given: frozenset[str]) -> None:
     if not text.isascii():
         for m in _FOREIGN.finditer(text):
             _add(spans, "name", *m.span(), text)
-    for m in _CARRIER.finditer(text) if any(w in low for w in _CARRIER_GATE) else ():
+    for m in _CARRIER.finditer(text) if next(_CARRIER_SIGNS.iter(low), None) else ():
         ws = m.group("n").split()
         if all(_surname(w, False) or w.lower().rstrip(".") in ("van", "von", "de", "del", "di", "da", "la", "le", "der", "den", "al", "du") for w in ws) and not any(_CAMEL.search(w) and not w.startswith(("Mac", "Mc")) for w in ws):
             _add(spans, "name", *m.span("n"), text)
