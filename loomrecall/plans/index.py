@@ -66,10 +66,10 @@ def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT query_text, project_key, id, score, row_number() OVER (PARTITION BY query_text, project_key ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10"""
 )
 def bm25_query_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best chunks for every logged query within its project, all queries in one pass over the postings."""
+    """The ten best chunks for every logged query within its project, all queries of a project in one pass over blocks of its chunks."""
     chunks = current_chunks(table(spark, sf_dir, "indexed_chunks")).where("search_text is not null")
     queries = table(spark, sf_dir, "search_results").select("project_key", "query_text").distinct()
-    scored = index.bm25_many(chunks, queries, ["project_key"], ["id"], T.tokens(F.col("search_text")))
+    scored = index.bm25_many(chunks, queries, ["project_key"], ["id"], T.tokens(F.col("search_text")), limit=10)
     w = Window.partitionBy("query_text", "project_key").orderBy(F.desc("score"), "id")
     return scored.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 10")
 

@@ -1,8 +1,11 @@
 """Operators against brute force and on edge cases."""
 
+import math
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +105,45 @@ def test_bm25_ties_and_empty(spark):
     assert index.bm25(df.limit(0), ["i"], T.tokens(F.col("t")), ["a"]).count() == 0
 
 
+def test_bm25_many_keeps_the_best_of_each_block_only(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [(g, f"{g}{i:03}", " ".join(rng.choices("abcde", k=rng.randint(0, 6)))) for g, n in (("x", 240), ("y", 7), ("z", 3)) for i in range(n)] + [(None, "n", "a")]
+    asked = [(g, t) for g in ("x", "y", "w", None) for t in ("a", "b c", "a a d e", "a b c d e", "Q", "", "--")]
+    df, queries = spark.createDataFrame(texts, "g string, i string, t string"), spark.createDataFrame(asked + asked[:3], "g string, query_text string")
+
+    want = []
+    for g, q in asked:
+        own = [(i, t.split()) for h, i, t in texts if g and h == g]
+        average = sum(len(t) for _, t in own) / len(own) if own else 1
+        scores = Counter()
+        for w in set(q.lower().replace("-", "").split()):
+            df_w = sum(w in t for _, t in own)
+            for i, t in own:
+                if w in t:
+                    tf = t.count(w)
+                    scores[i] += math.log1p((len(own) - df_w + 0.5) / (df_w + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / average))
+        want += [(g, q, i, round(s, 6)) for i, s in sorted(scores.items(), key=lambda x: (-round(x[1], 6), x[0]))[:5]]
+    assert len(want) > 30
+
+    for sizes in ((1 << 15, 1 << 22, 1 << 16), (40, 1 << 22, 2), (1 << 15, 200, 3)):
+        for name, n in zip(("BLOCK_TEXTS", "BLOCK_TOKENS", "BLOCK_QUERIES"), sizes, strict=True):
+            monkeypatch.setattr(index, name, n)
+        rows = index.bm25_many(df, queries, ["g"], ["i"], T.tokens(F.col("t")), limit=5).collect()
+        got = {}
+        for r in sorted(rows, key=lambda r: (-round(r.score, 6), r.i)):
+            got.setdefault((r.g, r.query_text), []).append((r.g, r.query_text, r.i, round(r.score, 6)))
+        assert sorted(x for best in got.values() for x in best[:5]) == sorted(want)
+        # Ties may double the five of each of up to six blocks, but there is no row for each text that shares a word with a query (here up to 200).
+        assert max(map(len, got.values())) < (10 if sizes[0] > 240 and sizes[1] > 2000 else 60)
+
+
+def test_leading_scores_and_ties():
+    score = np.array([0, 1, 2, 2, 0, 2, 1.9999999, 3, 2, 1])
+    assert index._leading(score, 2).tolist() == [7, 2, 3, 6]  # what rounds to the same stays, of equal scores the first
+    assert index._leading(score, 20).tolist() == [1, 2, 3, 5, 6, 7, 8, 9]
+    assert index._leading(np.zeros(3), 2).tolist() == []
+
+
 def test_saturation_and_penalty(spark):
     df = spark.createDataFrame([("q", "a.py", 0, 1.0), ("q", "a.py", 1, 0.9), ("q", "tests/b.py", 0, 2.0), ("q", "c.py", 0, 0.5)], "q string, f string, c int, score double")
     got = [(r.f, r.c, round(r.score, 3)) for r in fusion.saturated(df, ["q"], "f", "score", ["c"], 3).orderBy("rank").collect()]
